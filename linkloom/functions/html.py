@@ -7,6 +7,7 @@ Patterns use no lookarounds, so Java and RE2 read them alike. For pages whose ne
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from html.entities import name2codepoint
 
@@ -37,7 +38,11 @@ def _char(codepoint: Column) -> Column:
 
 def _decode_piece(piece: Column) -> Column:
     """``amp;rest`` -> ``&rest``; anything that is not an entity gets its ``&`` back."""
-    name = F.regexp_extract(piece, r"\A(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,7});", 1)
+    pattern = r"\A(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,7});"
+    return let(F.regexp_extract(piece, pattern, 1), lambda name: _replace_entity(name, piece))
+
+
+def _replace_entity(name: Column, piece: Column) -> Column:
     rest = F.substr(piece, F.length(name) + 2)
     dec = F.regexp_extract(name, r"\A#([0-9]+)\z", 1)
     hexa = F.regexp_extract(name, r"\A#[xX]([0-9a-fA-F]+)\z", 1)
@@ -54,10 +59,15 @@ def _decode_piece(piece: Column) -> Column:
     )
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def decode_entities(text: Column) -> Column:
     """Named and numeric character references, decoded in one pass (``&amp;lt;`` -> ``&lt;``)."""
     pieces = F.transform(F.split(text, "&"), lambda p, i: F.when(i == 0, p).otherwise(_decode_piece(p)))
-    return F.when(text.contains("&"), F.array_join(pieces, "")).otherwise(text)
+    return F.array_join(pieces, "")
 
 
 def drop_comments(html: Column) -> Column:
@@ -77,7 +87,7 @@ def title_text(html: Column) -> Column:
     """First head title, entities decoded; NULL when there is none or it is empty."""
     head = F.regexp_extract(html, HEAD_PART, 1)
     title = F.regexp_extract(drop_comments(head), TITLE, 1)
-    return decode_entities(F.nullif(title, F.lit("")))
+    return let(title, lambda t: F.when(t != "", decode_entities(t)))
 
 
 def body_text(html: Column, strip_script: bool = False) -> Column:
@@ -99,7 +109,8 @@ def anchor_tokens(html: Column) -> Column:
 def unquote(token: Column) -> Column:
     """An attribute value as written -> its text."""
     quoted = token.startswith('"') | token.startswith("'")
-    return decode_entities(F.when(quoted, F.substr(token, F.lit(2), F.length(token) - 2)).otherwise(token))
+    plain = F.when(quoted, F.substr(token, F.lit(2), F.length(token) - 2)).otherwise(token)
+    return F.when(token.contains("&"), decode_entities(plain)).otherwise(plain)
 
 
 def region_pattern(tag: str, attr: str | None = None, value: str | None = None, match: str = "equals") -> str:
@@ -172,7 +183,7 @@ def trim_space(text: Column) -> Column:
 
 def dash_clean(day: Column) -> Column:
     """Text that ends in dashes loses them, then is trimmed."""
-    return F.when(day.endswith("-"), trim_space(F.rtrim(day, F.lit("-")))).otherwise(day)
+    return let(day, lambda d: F.when(d.endswith("-"), trim_space(F.rtrim(d, F.lit("-")))).otherwise(d))
 
 
 def _scope(markup: Column, rule: FieldRule) -> Column:
@@ -183,36 +194,45 @@ def _scope(markup: Column, rule: FieldRule) -> Column:
 
 def _region_text(inner: Column, rule: FieldRule) -> Column:
     if rule.text == "own":
-        inner = F.when(inner.startswith("<"), inner).otherwise(F.substring_index(inner, "<", 1))
+        inner = let(inner, lambda r: F.when(r.startswith("<"), r).otherwise(F.substring_index(r, "<", 1)))
     return decode_entities(strip_tags(inner))
 
 
-def field_column(html: Column, rule: FieldRule) -> Column:
-    """A rule as one native column. ``must`` gives NULL where the element is missing."""
-    scope = _scope(markup_only(html), rule)
+def _field(markup: Column, rule: FieldRule) -> Column:
+    """A rule over markup without comments and scripts."""
+    scope = _scope(markup, rule)
     if rule.take == "attr":
         where = rf"(?is)<{rule.tag}\b{_where(rule.attr_name, rule.attr_value, rule.match)}[^>]*>"
         element = F.regexp_extract(scope, where, 0)
         token = F.regexp_extract(element, rf"""(?is)\s{rule.attr}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
-        return F.when(token != "", unquote(token))
+        return let(token, lambda t: F.when(t != "", unquote(t)))
     if rule.take == "join":
         found = F.regexp_extract_all(scope, F.lit(rule.pattern()), F.lit(1))
         return trim_space(F.array_join(F.transform(found, lambda r: _region_text(r, rule)), "\n"))
-    text = _region_text(F.regexp_extract(scope, rule.pattern(), 1), rule)
     if rule.take == "must":
-        return F.when(scope.rlike(rule.pattern()), trim_space(text) if rule.trim else text)
+        found = F.regexp_extract_all(scope, F.lit(rule.pattern()), F.lit(1))
+        text = _region_text(F.try_element_at(found, F.lit(1)), rule)
+        return trim_space(text) if rule.trim else text
     if rule.take != "first":
         raise ValueError(f"unknown take {rule.take!r}")
-    text = trim_space(text)
+    text = trim_space(_region_text(F.regexp_extract(scope, rule.pattern(), 1), rule))
     return dash_clean(text) if rule.dash_clean else text
 
 
-def field_columns(html: Column, rules: list[FieldRule]) -> dict[str, Column]:
-    """All rules as named columns of one projection."""
-    return {r.name: field_column(html, r) for r in rules}
+def fields(html: Column, rules: list[FieldRule]) -> Column:
+    """All rules as one struct; the page is freed of comments and scripts once.
+
+    A ``must`` field is NULL where its element is missing.
+    """
+    return let(markup_only(html), lambda m: F.struct(*(_field(m, r).alias(r.name) for r in rules)))
 
 
 def missing_must(html: Column, rules: list[FieldRule]) -> Column:
     """``missing_<field>`` of the first ``must`` rule without an element, else NULL."""
-    checks = [F.when(field_column(html, r).isNull(), F.lit(f"missing_{r.name}")) for r in rules if r.take == "must"]
-    return F.coalesce(*checks) if checks else F.lit(None).cast("string")
+    needed = [r for r in rules if r.take == "must"]
+    if not needed:
+        return F.lit(None).cast("string")
+    return let(
+        markup_only(html),
+        lambda m: F.coalesce(*(F.when(_field(m, r).isNull(), F.lit(f"missing_{r.name}")) for r in needed)),
+    )

@@ -19,8 +19,8 @@ def page_record(url: Column, title: Column, text: Column) -> Column:
     return F.struct(url.alias("url"), title.alias("title"), text.alias("text"))
 
 
-def talk_record(url: Column, fields: dict[str, Column]) -> Column:
-    """Talk record with its nested speaker."""
+def talk_record(url: Column, fields: Column | dict[str, Column]) -> Column:
+    """Talk record with its nested speaker, from a struct (or mapping) of fields."""
     return F.struct(
         url.alias("url"),
         fields["title"].alias("title"),

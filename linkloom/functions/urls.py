@@ -52,7 +52,8 @@ def with_url_parts(df: DataFrame, url: str = "url", prefix: str = "") -> DataFra
         {
             f"{prefix}scheme": F.lower(f"{p}scheme"),
             f"{prefix}host": F.expr(
-                f"if(startswith({p}rest, '//'), substring_index(substr({p}rest, 3), '/', 1), '')"
+                f"CASE WHEN startswith({p}rest, '//') THEN substring_index(substr({p}rest, 3), '/', 1) "
+                f"WHEN {p}rest IS NOT NULL THEN '' END"
             ),
         }
     )

@@ -72,9 +72,16 @@ def rules_extractor(rules: list[FieldRule], hrefs: Callable[[Column], Column] |
     """``url`` plus one field per rule, in rule order."""
 
     def record(html: Column, url: Column) -> Column:
-        return F.struct(url.alias("url"), *(c.alias(n) for n, c in H.field_columns(html, rules).items()))
+        got = H.fields(html, rules)
+        return H.let(got, lambda f: F.struct(url.alias("url"), *(f[r.name].alias(r.name) for r in rules)))
 
-    return Extractor(record, hrefs, lambda html, url: H.missing_must(html, rules))
+    return Extractor(record, hrefs, _failure(rules))
+
+
+def _failure(rules: list[FieldRule]) -> Callable[[Column, Column], Column] | None:
+    if not any(r.take == "must" for r in rules):
+        return None
+    return lambda html, url: H.missing_must(html, rules)
 
 
 # --- fixed values: field rules and paths of the two calendar sites ---------------------------
@@ -115,8 +122,10 @@ def event_extractor() -> Extractor:
     """The nine-field event record as native columns; no links."""
 
     def record(html: Column, url: Column) -> Column:
-        fields = {"url": url, **H.field_columns(html, EVENT_RULES)}
-        return F.struct(*(fields[n].alias(n) for n in EVENT_FIELDS))
+        return H.let(
+            H.fields(html, EVENT_RULES),
+            lambda f: F.struct(*((url if n == "url" else f[n]).alias(n) for n in EVENT_FIELDS)),
+        )
 
     return Extractor(record)
 
@@ -125,9 +134,9 @@ def talk_extractor() -> Extractor:
     """The talk record with its nested speaker as native columns; a missing required element
     fails the row."""
     return Extractor(
-        lambda html, url: talk_record(url, H.field_columns(html, TALK_RULES)),
+        lambda html, url: H.let(H.fields(html, TALK_RULES), lambda f: talk_record(url, f)),
         None,
-        lambda html, url: H.missing_must(html, TALK_RULES),
+        _failure(TALK_RULES),
     )
 
 
@@ -186,13 +195,14 @@ def _over_own_rows(fn: Callable) -> Callable:
 def with_extraction(
     df: DataFrame, handlers: list[tuple[str, Extractor]], handler: str, html: str, url: str, live: Column
 ) -> DataFrame:
-    """Adds ``record``, ``hrefs`` and ``failure`` under the extractor of each row's handler.
+    """Adds ``record``, ``hrefs``, ``failure`` under the extractor of each row's handler, and
+    ``has_record``, which says whether there is a record without building it.
 
     Handlers that share an extractor share one branch, so its expressions are evaluated once.
     ``live`` marks the rows to extract at all.
     """
     record, hrefs, failure = F.lit(None).cast("string"), F.expr(NO_HREFS), F.lit(None).cast("string")
-    page, at = F.col(html), F.col(url)
+    page, at, has_record = F.col(html), F.col(url), F.lit(False)
     shared: dict[int, tuple[Extractor, list[str]]] = {}
     for name, extractor in handlers:
         shared.setdefault(id(extractor), (extractor, []))[1].append(name)
@@ -205,13 +215,17 @@ def with_extraction(
             df = df.withColumn(parsed[-1], udf(F.when(mine, page), F.when(mine, at)))
             out = F.col(parsed[-1])
             record = F.when(mine, out["record"]).otherwise(record)
+            has_record = has_record | (mine & out["record"].isNotNull())
             hrefs = F.when(mine, F.coalesce(out["hrefs"], F.expr(NO_HREFS))).otherwise(hrefs)
             failure = F.when(mine, out["error"]).otherwise(failure)
             continue
         if extractor.record is not None:
             record = F.when(mine, record_json(extractor.record(page, at))).otherwise(record)
+            has_record = has_record | mine
         if extractor.hrefs is not None:
             hrefs = F.when(mine, extractor.hrefs(page)).otherwise(hrefs)
         if extractor.failure is not None:
             failure = F.when(mine, extractor.failure(page, at)).otherwise(failure)
-    return df.withColumns({"record": record, "hrefs": hrefs, "failure": failure}).drop(*parsed)
+    return df.withColumns(
+        {"record": record, "hrefs": hrefs, "failure": failure, "has_record": has_record}
+    ).drop(*parsed)

@@ -63,10 +63,11 @@ def with_host(df: DataFrame, registry: Registry, host: str, prefix: str = "", ho
     return registry.lookup.join(df, host, {n: f"{prefix}{n}" for n in names}, how)
 
 
-def canonical_form(registry: Registry, url: Column, prefix: str = "") -> Column:
+def canonical_form(registry: Registry, url: Column, prefix: str = "", known: bool = False) -> Column:
     """Canonical URL from parts and host columns; NULL if rejected.
 
-    A host without a canonicalizer keeps the URL as it is.
+    A host without a canonicalizer keeps the URL as it is. ``known``: URLs of unregistered hosts
+    are of no interest and may come out NULL.
     """
     source, host = F.col(f"{prefix}canon_source"), F.col(f"{prefix}canon_host")
     scheme, path, query = (F.col(f"{prefix}{c}") for c in ("scheme", "path", "query"))
@@ -74,11 +75,14 @@ def canonical_form(registry: Registry, url: Column, prefix: str = "") -> Column:
     html_only = F.coalesce(registry.per_source(lambda s: s.html_only or None, source), F.lit(False))
     trimmed = canonical_path(path)
     by_policy = F.when(~html_only | is_html_path(trimmed), canonical_url(scheme, host, path, F.when(drop, F.lit("")).otherwise(query)))
-    out = F.when(source.isNull(), url)
+    cases = [] if known and all(s.canonicalizes for s in registry.sources) else [(source.isNull(), url)]
     for s in registry.sources:
         if s.canonical_form is not None:
-            out = out.when(source == s.name, s.canonical_form(scheme, F.col(f"{prefix}host"), path, query))
-    return out.otherwise(by_policy)
+            cases.append((source == s.name, s.canonical_form(scheme, F.col(f"{prefix}host"), path, query)))
+    out = by_policy
+    for test, value in reversed(cases):
+        out = F.when(test, value).otherwise(out)
+    return out
 
 
 def reject_reason(registry: Registry, prefix: str = "") -> Column:
@@ -114,14 +118,14 @@ def with_route(df: DataFrame, registry: Registry, url: str = "url", out: str = "
     return routed.drop(*drop)
 
 
-def canonical_links(df: DataFrame, registry: Registry, url: Column, prefix: str, link: str = "link", handler: str = "handler", how: str = "inner", reason: str | None = None) -> DataFrame:
+def canonical_links(df: DataFrame, registry: Registry, url: Column, prefix: str, link: str = "link", handler: str = "handler", how: str = "left", reason: str | None = None) -> DataFrame:
     """Canonical link and its handler from parts under ``prefix`` (scheme, host, path, query).
 
     The route is that of the canonical URL: its host's sources come with the same lookup, its
-    path is the trimmed one. An inner join drops links to unknown hosts, which cannot be routed.
+    path is the trimmed one. Links to unknown hosts have no handler.
     """
     work = with_host(df, registry, f"{prefix}host", prefix, how)
-    work = work.withColumn(link, canonical_form(registry, url, prefix))
+    work = work.withColumn(link, canonical_form(registry, url, prefix, known=True))
     if reason is not None:
         work = work.withColumn(reason, reject_reason(registry, prefix))
     if any(s.canonical_form is not None for s in registry.sources):

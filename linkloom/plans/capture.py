@@ -51,10 +51,11 @@ def fetch(links: DataFrame, responses: DataFrame, link: str = "link") -> DataFra
 
 
 def page_results(responses: DataFrame, registry: Registry, resolve_location: bool = False) -> DataFrame:
-    """One row per response: ``url, final_url, handler, success, error, redirected, record, hrefs``.
+    """One row per response: ``url, final_url, handler, success, error, redirected, has_record,
+    record, hrefs``.
 
-    ``hrefs`` are raw href values; for a followed redirect its location. Further columns of
-    ``responses`` pass through.
+    ``hrefs`` are raw href values, for a followed redirect its location, and NULL for failed
+    pages. Further columns of ``responses`` pass through.
     """
     extra = [c for c in responses.columns if c not in ("url", "final_url", "status", "location", "html")]
     df = with_host(with_url_parts(responses, "final_url", "p_"), registry, "p_host", "ph_")
@@ -88,6 +89,7 @@ def page_results(responses: DataFrame, registry: Registry, resolve_location: boo
         ok.alias("success"),
         "error",
         "redirected",
+        (ok & F.col("has_record")).alias("has_record"),
         F.when(ok, F.col("record")).alias("record"),
         F.when(F.col("redirected"), F.array("_target")).when(ok, F.col("hrefs")).alias("hrefs"),
     )
@@ -110,19 +112,26 @@ def resolve_hrefs(results: DataFrame, keep: tuple[str, ...] = ("url",)) -> DataF
     return with_resolved_parts(each.withColumn("href", href), "href", "b_", "t_").drop("token", "redirected")
 
 
+def routed_links(results: DataFrame, registry: Registry, keep: tuple[str, ...] = ("url",)) -> DataFrame:
+    """Routable canonical links of each page, repeats included: ``keep + (link, handler)``.
+
+    Links without a handler go out through the generator and not through a filter: a filter would
+    be pushed below the projections and have every URL expression evaluated a second time.
+    """
+    target = resolved_url(F.col("href"), F.col("final_url"))
+    routed = canonical_links(resolve_hrefs(results, keep), registry, target, "t_", how="left")
+    kept = F.when(F.col("handler").isNotNull(), F.array(F.struct("link", "handler")))
+    return routed.select(*keep, F.explode(kept).alias("_l")).select(*keep, "_l.link", "_l.handler")
+
+
 def result_links(results: DataFrame, registry: Registry, keep: tuple[str, ...] = ("url",)) -> DataFrame:
     """Distinct routable canonical links of each page: ``keep + (link)``."""
-    hrefs = resolve_hrefs(results.where("success"), keep)
-    target = resolved_url(F.col("href"), F.col("final_url"))
-    routed = canonical_links(hrefs, registry, target, "t_")
-    return routed.where(F.col("handler").isNotNull()).select(*keep, "link").distinct()
+    return routed_links(results, registry, keep).select(*keep, "link").distinct()
 
 
 def link_sources(results: DataFrame, registry: Registry) -> DataFrame:
     """Distinct (link, handler) pairs over all pages."""
-    hrefs = resolve_hrefs(results.where("success"))
-    routed = canonical_links(hrefs, registry, resolved_url(F.col("href"), F.col("final_url")), "t_")
-    return routed.where(F.col("handler").isNotNull()).select("link", "handler").distinct()
+    return routed_links(results, registry, ()).distinct()
 
 
 @dataclass(frozen=True)
@@ -140,9 +149,8 @@ def status_of(success: Column) -> Column:
 
 def split_results(results: DataFrame, registry: Registry) -> Outputs:
     """Failed pages give a status only; successful ones a status, a record (unless empty) and links."""
-    ok = results.where("success")
     return Outputs(
         statuses=results.select("url", status_of(F.col("success")).alias("status")),
-        records=ok.where(F.col("record").isNotNull()).select("url", "final_url", "handler", "record"),
+        records=results.where("has_record").select("url", "final_url", "handler", "record"),
         links=result_links(results, registry),
     )

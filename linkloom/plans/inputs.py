@@ -118,28 +118,28 @@ def crawl_responses(spark: SparkSession, sf_dir: str, registry: Registry) -> Dat
     ``(2 * page_id + 1) % n`` and ``(2 * page_id + 2) % n``.
 
     Pages that share a canonical URL are captures of one page; the highest ``page_id`` counts.
+    All of this is settled on narrow columns before the pages themselves are joined, once.
     """
     pages = table(spark, sf_dir, "pages")
     n = F.lit(pages.count())
-    wanted = pages.select(
+    urls = pages.select("page_id", "url")
+    wanted = urls.select(
         "page_id", F.explode(F.array((2 * F.col("page_id") + 1) % n, (2 * F.col("page_id") + 2) % n)).alias("dst")
     )
-    names = pages.select(F.col("page_id").alias("dst"), F.col("url").alias("dst_url"))
-    anchors = (
-        wanted.join(names, "dst")
-        .groupBy("page_id")
-        .agg(
-            F.min(F.concat(F.lit('<a href="'), F.col("dst_url"), F.lit('">'))).alias("a1"),
-            F.max(F.concat(F.lit('<a href="'), F.col("dst_url"), F.lit('">'))).alias("a2"),
-        )
+    names = urls.select(F.col("page_id").alias("dst"), F.concat(F.lit('<a href="'), "url", F.lit('">')).alias("anchor"))
+    anchors = wanted.join(names, "dst").groupBy("page_id").agg(
+        F.concat(F.min("anchor"), F.max("anchor")).alias("anchors")
     )
-    linked = pages.join(anchors, "page_id").select("page_id", "url", F.concat("html", "a1", "a2").alias("html"))
-    made = _with_responses(linked, next_urls(pages)).where(F.col("page_id") % 10 != 2)
-    canonical = canonicalize(made, registry, "url", "canonical").where(F.col("canonical").isNotNull())
-    keyed = canonical.select(
-        "page_id", F.col("canonical").alias("url"), F.col("canonical").alias("final_url"), "status", "location", "html"
+    made = _with_responses(urls.withColumn("html", F.lit("")), next_urls(pages)).where(F.col("page_id") % 10 != 2)
+    keyed = (
+        canonicalize(made, registry, "url", "canonical")
+        .where(F.col("canonical").isNotNull())
+        .select("page_id", F.col("canonical").alias("url"), "status", "location")
+    )
+    narrow = latest_captures(keyed, [], "page_id").join(anchors, "page_id")
+    return narrow.join(pages.select("page_id", "html"), "page_id").select(
+        "page_id", "url", F.col("url").alias("final_url"), "status", "location", F.concat("html", "anchors").alias("html")
     )
-    return latest_captures(keyed, [], "page_id")
 
 
 def crawl_seeds(spark: SparkSession, sf_dir: str, registry: Registry) -> DataFrame:

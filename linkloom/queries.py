@@ -201,8 +201,8 @@ def scoped_links(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def field_rules(spark: SparkSession, d: str) -> DataFrame:
-    return _pages(spark, d, "html").select(
-        "page_id", *(c.alias(n) for n, c in H.field_columns(F.col("html"), demo.PAGE_RULES).items())
+    return _pages(spark, d, "html").select("page_id", H.fields(F.col("html"), demo.PAGE_RULES).alias("f")).select(
+        "page_id", "f.*"
     )
 
 
@@ -228,7 +228,7 @@ def dash_clean(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def nested_record(spark: SparkSession, d: str) -> DataFrame:
-    fields = H.field_columns(F.col("html"), demo.PAGE_RULES)
+    fields = F.col("f")
     record = talk_record(
         F.col("url"),
         {
@@ -241,7 +241,8 @@ def nested_record(spark: SparkSession, d: str) -> DataFrame:
             "body": fields["paragraphs"],
         },
     )
-    return _pages(spark, d).select("page_id", record.alias("r")).select(
+    found = _pages(spark, d).select("page_id", "url", H.fields(F.col("html"), demo.PAGE_RULES).alias("f"))
+    return found.select("page_id", record.alias("r")).select(
         "page_id",
         F.col("r.title").alias("title"),
         F.col("r.end_time").alias("end_time"),
@@ -254,13 +255,13 @@ def nested_record(spark: SparkSession, d: str) -> DataFrame:
 @query
 def record_json_lines(spark: SparkSession, d: str) -> DataFrame:
     results = capture.page_results(_as_captured(spark, d), demo.demo_registry(spark, d))
-    return results.where(F.col("record").isNotNull()).select("page_id", F.col("record").alias("json"))
+    return results.where("has_record").select("page_id", F.col("record").alias("json"))
 
 
 @query
 def record_sizes(spark: SparkSession, d: str) -> DataFrame:
     results = capture.page_results(_as_captured(spark, d), demo.demo_registry(spark, d))
-    return results.where(F.col("record").isNotNull()).select("page_id", record_bytes(F.col("record")).alias("n_bytes"))
+    return results.where("has_record").select("page_id", record_bytes(F.col("record")).alias("n_bytes"))
 
 
 def _as_captured(spark: SparkSession, d: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import StructType
 
 from linkloom.operators import frontier as fr
-from linkloom.plans.capture import Outputs, page_results, result_links, status_of
+from linkloom.plans.capture import Outputs, page_results, split_results
 from linkloom.registry import Registry
 from linkloom.session import fresh_path
 
@@ -107,13 +107,10 @@ def result_fanout(responses: DataFrame, registry: Registry, path: str) -> DataSt
     def absorb(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         write_batch(page_results(batch, registry), f"{path}/results", batch_id)
-        results = spark.read.parquet(f"{path}/results/batch={batch_id}")
-        ok = results.where("success")
-        write_batch(results.select("url", status_of(F.col("success")).alias("status")), f"{path}/statuses", batch_id)
-        write_batch(
-            ok.where(F.col("record").isNotNull()).select("url", "final_url", "handler", "record"), f"{path}/records", batch_id
-        )
-        write_batch(result_links(results, registry), f"{path}/links", batch_id)
+        out = split_results(spark.read.parquet(f"{path}/results/batch={batch_id}"), registry)
+        write_batch(out.statuses, f"{path}/statuses", batch_id)
+        write_batch(out.records, f"{path}/records", batch_id)
+        write_batch(out.links, f"{path}/links", batch_id)
 
     return responses.writeStream.foreachBatch(absorb)
 
