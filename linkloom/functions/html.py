@@ -14,6 +14,8 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from linkloom.functions.urls import quoted
+
 # --- fixed values ------------------------------------------------------------------------
 COMMENT = r"(?s)<!--.*?-->"
 COMMENT_OR_RAW_TEXT = r"(?is)<!--.*?-->|<(?:script|style)\b[^>]*>.*?</(?:script|style)\s*>"
@@ -27,36 +29,25 @@ TITLE_DEFAULT = "Title Not Found"
 # -----------------------------------------------------------------------------------------
 
 # "name character" lines of the standard entity table; one foldable literal in the plan.
-_ENTITY_TEXT = "\n".join(f"{name} {chr(cp)}" for name, cp in name2codepoint.items())
+_ENTITY_TABLE = "str_to_map(" + quoted("\n".join(f"{n} {chr(cp)}" for n, cp in name2codepoint.items())) + ", '\\n', ' ')"
+_ENTITY = quoted(r"\A(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,7});")
+# Text between two ampersands: "amp;rest" -> "&rest"; what is no entity gets its "&" back.
 # Entities met on almost every page are tested before the full table.
-_FREQUENT = ("amp", "nbsp", "quot", "lt", "gt", "copy")
-
-
-def _char(codepoint: Column) -> Column:
-    return F.decode(F.unhex(F.lpad(F.hex(codepoint), 8, "0")), "UTF-32")
-
-
-def _decode_piece(piece: Column) -> Column:
-    """``amp;rest`` -> ``&rest``; anything that is not an entity gets its ``&`` back."""
-    pattern = r"\A(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,7});"
-    return let(F.regexp_extract(piece, pattern, 1), lambda name: _replace_entity(name, piece))
-
-
-def _replace_entity(name: Column, piece: Column) -> Column:
-    rest = F.substr(piece, F.length(name) + 2)
-    dec = F.regexp_extract(name, r"\A#([0-9]+)\z", 1)
-    hexa = F.regexp_extract(name, r"\A#[xX]([0-9a-fA-F]+)\z", 1)
-    code = F.coalesce(dec.try_cast("bigint"), F.conv(F.when(hexa != "", hexa), 16, 10).try_cast("bigint"))
-    valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-    table = F.str_to_map(F.lit(_ENTITY_TEXT), F.lit("\n"), F.lit(" "))
-    out = F.when(name == "", F.concat(F.lit("&"), piece))
-    for n in _FREQUENT:
-        out = out.when(name == n, F.concat(F.lit(chr(name2codepoint[n])), rest))
-    return (
-        out.when(valid, F.concat(_char(code), rest))
-        .when(name.startswith("#"), F.concat(F.lit("&"), piece))
-        .otherwise(F.coalesce(F.concat(F.try_element_at(table, name), rest), F.concat(F.lit("&"), piece)))
-    )
+_DECODE_PIECE = f"""
+(p, i) -> if(i = 0, p, transform(array(regexp_extract(p, {_ENTITY}, 1)), n ->
+  CASE WHEN n = '' THEN concat('&', p)
+    WHEN n = 'amp' THEN concat('&', substr(p, 5))
+    WHEN n = 'nbsp' THEN concat('\u00a0', substr(p, 6))
+    WHEN n = 'quot' THEN concat('"', substr(p, 6))
+    WHEN n = 'lt' THEN concat('<', substr(p, 4))
+    WHEN n = 'gt' THEN concat('>', substr(p, 4))
+    WHEN NOT startswith(n, '#') THEN
+      coalesce(concat(try_element_at({_ENTITY_TABLE}, n), substr(p, length(n) + 2)), concat('&', p))
+    ELSE transform(array(coalesce(try_cast(substr(n, 2) AS bigint), try_cast(conv(substr(n, 3), 16, 10) AS bigint))), c ->
+      CASE WHEN c BETWEEN 1 AND 55295 OR c BETWEEN 57344 AND 1114111
+        THEN concat(decode(unhex(lpad(hex(c), 8, '0')), 'UTF-32'), substr(p, length(n) + 2))
+        ELSE concat('&', p) END)[0]
+    END)[0])"""
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -66,8 +57,7 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def decode_entities(text: Column) -> Column:
     """Named and numeric character references, decoded in one pass (``&amp;lt;`` -> ``&lt;``)."""
-    pieces = F.transform(F.split(text, "&"), lambda p, i: F.when(i == 0, p).otherwise(_decode_piece(p)))
-    return F.array_join(pieces, "")
+    return F.array_join(F.call_function("transform", F.split(text, "&"), F.expr(_DECODE_PIECE)), "")
 
 
 def drop_comments(html: Column) -> Column:

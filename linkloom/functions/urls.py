@@ -23,59 +23,58 @@ URL_PARTS = ("scheme", "host", "path", "params", "query", "fragment")
 WWW_MODES = ("keep", "add", "strip", "listed")
 
 
+def quoted(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def with_steps(df: DataFrame, steps: list[dict[str, str]], *scratch: str) -> DataFrame:
+    """Adds SQL columns, later steps naming columns of earlier ones, then drops the scratch ones.
+
+    One select with lateral aliases: analyzed once, not once per step.
+    """
+    made = [f"{text} AS {name}" for step in steps for name, text in step.items()]
+    return df.selectExpr("*", *made).drop(*scratch)
+
+
+_SCHEME_SQL = quoted(SCHEME_PATTERN)
+_PARAM_SCHEMES_SQL = ", ".join(quoted(s) for s in PARAM_SCHEMES)
+
+
 def with_url_parts(df: DataFrame, url: str = "url", prefix: str = "") -> DataFrame:
     """Adds ``<prefix>scheme, host, path, params, query, fragment`` of column ``url``.
 
     The scheme is lower-cased, the host keeps case, port and user info, and the path keeps
-    blanks (``parse_url`` gives NULL there). ``path`` comes without its ``;params``.
+    blanks (``parse_url`` gives NULL there). ``path`` comes without its ``;params``, which start
+    at the first ``;`` of the last segment. Steps are columns of their own, so each is evaluated
+    once.
     """
-    p = f"_{prefix}url_"
-    staged = df.withColumns(
+    p = f"_{prefix}u_"
+    steps = [
+        {f"{p}scheme": f"regexp_extract({url}, {_SCHEME_SQL}, 1)", f"{p}nofrag": f"substring_index({url}, '#', 1)"},
+        {f"{p}head": f"substring_index({p}nofrag, '?', 1)"},
         {
-            f"{p}scheme": F.regexp_extract(F.col(url), SCHEME_PATTERN, 1),
-            f"{p}nofrag": F.substring_index(F.col(url), "#", 1),
-        }
-    ).withColumns(
+            f"{p}rest": f"if({p}scheme = '', {p}head, substr({p}head, length({p}scheme) + 2))",
+            f"{prefix}query": f"substr({p}nofrag, length({p}head) + 2)",
+            f"{prefix}fragment": f"substr({url}, length({p}nofrag) + 2)",
+        },
         {
-            f"{p}head": F.substring_index(F.col(f"{p}nofrag"), "?", 1),
-        }
-    )
-    staged = staged.withColumns(
+            f"{prefix}scheme": f"lower({p}scheme)",
+            f"{prefix}host": f"CASE WHEN startswith({p}rest, '//') THEN substring_index(substr({p}rest, 3), '/', 1) "
+            f"WHEN {p}rest IS NOT NULL THEN '' END",
+        },
+        {f"{p}path": f"if(startswith({p}rest, '//'), substr({p}rest, length({prefix}host) + 3), {p}rest)"},
         {
-            f"{p}rest": F.expr(
-                f"if({p}scheme = '', {p}head, substr({p}head, length({p}scheme) + 2))"
-            ),
-            f"{prefix}query": F.expr(f"substr({p}nofrag, length({p}head) + 2)"),
-            f"{prefix}fragment": F.expr(f"substr(`{url}`, length({p}nofrag) + 2)"),
-        }
-    ).withColumns(
+            f"{p}last": f"if(contains({p}path, ';') AND {prefix}scheme IN ({_PARAM_SCHEMES_SQL}), "
+            f"substring_index({p}path, '/', -1), '')"
+        },
+        {f"{p}cut": f"length({p}last) - length(substring_index({p}last, ';', 1))"},
         {
-            f"{prefix}scheme": F.lower(f"{p}scheme"),
-            f"{prefix}host": F.expr(
-                f"CASE WHEN startswith({p}rest, '//') THEN substring_index(substr({p}rest, 3), '/', 1) "
-                f"WHEN {p}rest IS NOT NULL THEN '' END"
-            ),
-        }
-    )
-    staged = staged.withColumn(
-        f"{p}path",
-        F.expr(f"if(startswith({p}rest, '//'), substr({p}rest, length({prefix}host) + 3), {p}rest)"),
-    )
-    path, params = split_params(F.col(f"{prefix}scheme"), F.col(f"{p}path"))
-    return staged.withColumns({f"{prefix}path": path, f"{prefix}params": params}).drop(
-        *(f"{p}{t}" for t in ("scheme", "nofrag", "head", "rest", "path"))
-    )
-
-
-def split_params(scheme: Column, path: Column) -> tuple[Column, Column]:
-    """(path without params, params): cut at the first ``;`` of the last segment."""
-    last = F.substring_index(path, "/", -1)
-    keep = F.length(path) - F.length(last) + F.length(F.substring_index(last, ";", 1))
-    cut = path.contains(";") & scheme.isin(PARAM_SCHEMES)
-    return (
-        F.when(cut, F.substr(path, F.lit(1), keep)).otherwise(path),
-        F.when(cut, F.substr(path, keep + 2)).otherwise(F.when(path.isNotNull(), F.lit(""))),
-    )
+            f"{prefix}path": f"if({p}cut > 0, substr({p}path, 1, length({p}path) - {p}cut), {p}path)",
+            f"{prefix}params": f"if({p}cut > 0, substr({p}path, length({p}path) - {p}cut + 2), left({p}path, 0))",
+        },
+    ]
+    return with_steps(df, steps, *(name for step in steps for name in step if name.startswith(p)))
 
 
 def join_parts(scheme: Column, host: Column, path: Column, query: Column, fragment: Column | None = None) -> Column:
@@ -137,31 +136,24 @@ def canonical_url(scheme: Column, host: Column, path: Column, query: Column, dro
     return join_parts(scheme, host, canonical_path(path), F.lit("") if drop_query else query)
 
 
-def query_keys(query: Column) -> Column:
-    """Sorted distinct names of the query's parameters; blank-valued ones do not count."""
-    pairs = F.filter(F.split(query, "[&;]"), lambda kv: kv.rlike("^[^=]*=."))
-
-    def name(kv: Column) -> Column:
-        raw = F.substring_index(kv, "=", 1)
-        return F.coalesce(F.try_url_decode(raw), raw)
-
-    return F.array_sort(F.array_distinct(F.transform(pairs, name)))
+def query_keys_sql(query: str) -> str:
+    """Sorted distinct names of the parameters of a query column; blank-valued ones do not count."""
+    name = "substring_index(kv, '=', 1)"
+    return (
+        f"array_sort(array_distinct(transform(filter(split({query}, '[&;]'), kv -> kv RLIKE '^[^=]*=.'), "
+        f"kv -> coalesce(try_url_decode({name}), {name}))))"
+    )
 
 
-def remove_dot_segments(path: Column) -> Column:
+def remove_dot_segments_sql(path: str) -> str:
     """RFC 3986 5.2.4. Only paths that do hold a dot segment pay for the fold."""
-
-    def step(kept: Column, segment: Column) -> Column:
-        return (
-            F.when(segment == ".", kept)
-            .when(segment == "..", F.when(F.size(kept) > 1, F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept))
-            .otherwise(F.concat(kept, F.array(segment)))
-        )
-
-    segments = F.split(path, "/")
-    folded = F.aggregate(segments, F.expr("cast(array() as array<string>)"), step)
-    closed = F.when(F.element_at(segments, -1).isin(".", ".."), F.concat(folded, F.array(F.lit("")))).otherwise(folded)
-    return F.when(path.rlike(r"(?:^|/)\.\.?(?:/|\z)"), F.array_join(closed, "/")).otherwise(path)
+    segments = f"split({path}, '/')"
+    fold = (
+        f"aggregate({segments}, cast(array() AS array<string>), (kept, s) -> CASE WHEN s = '.' THEN kept "
+        "WHEN s = '..' THEN if(size(kept) > 1, slice(kept, 1, size(kept) - 1), kept) ELSE array_append(kept, s) END)"
+    )
+    closed = f"if(element_at({segments}, -1) IN ('.', '..'), array_append({fold}, ''), {fold})"
+    return f"if({path} RLIKE '(?:^|/)[.][.]?(?:/|$)', array_join({closed}, '/'), {path})"
 
 
 def with_resolved_parts(df: DataFrame, href: str, base: str, out: str = "t_") -> DataFrame:
@@ -171,30 +163,29 @@ def with_resolved_parts(df: DataFrame, href: str, base: str, out: str = "t_") ->
     is built from parts, so the resolved URL is not parsed a second time. ``<out>path`` still
     carries ``;params``.
     """
-    df = with_url_parts(df, href, "_h_")
-    b = {k: F.col(f"{base}{k}") for k in URL_PARTS}
-    h = {k: F.col(f"_h_{k}") for k in URL_PARTS}
-    h_path = F.when(h["params"] != "", F.concat(h["path"], F.lit(";"), h["params"])).otherwise(h["path"])
-    b_path = F.when(b["params"] != "", F.concat(b["path"], F.lit(";"), b["params"])).otherwise(b["path"])
-    b_dir = F.when((b["host"] != "") & (b["path"] == ""), F.lit("/")).otherwise(
-        F.substr(b["path"], F.lit(1), F.length(b["path"]) - F.length(F.substring_index(b["path"], "/", -1)))
+    h, b = "_h_", base
+    df = with_url_parts(df, href, h)
+    whole = "if({0}params = '', {0}path, concat({0}path, ';', {0}params))"
+    own = f"{h}host != '' OR {h}path != '' OR {h}params != ''"
+    base_dir = (
+        f"if({b}host != '' AND {b}path = '', '/', "
+        f"left({b}path, length({b}path) - length(substring_index({b}path, '/', -1))))"
     )
-    absolute, has_host, has_path = h["scheme"] != "", h["host"] != "", h["path"] != ""
-    own_path = F.when(h_path.startswith("/"), h_path).otherwise(F.concat(b_dir, h_path))
-    return df.withColumns(
+    rooted = f"if(startswith({h}whole, '/') OR {h}host != '', {h}whole, concat({base_dir}, {h}whole))"
+    steps = [
+        {f"{h}absolute": f"{h}scheme != ''", f"{h}whole": whole.format(h)},
+        {
+            f"{h}merged": f"CASE WHEN {h}absolute THEN {h}whole WHEN {own} THEN {rooted} ELSE {whole.format(b)} END",
+        },
         {
-            f"{out}scheme": F.when(absolute, h["scheme"]).otherwise(b["scheme"]),
-            f"{out}host": F.when(absolute | has_host, h["host"]).otherwise(b["host"]),
-            f"{out}path": F.when(absolute, h_path)
-            .when(has_host, remove_dot_segments(h_path))
-            .when(~has_path & (h["params"] == ""), b_path)
-            .otherwise(remove_dot_segments(own_path)),
-            f"{out}query": F.when(absolute | has_host | has_path | (h["params"] != "") | (h["query"] != ""), h["query"]).otherwise(
-                b["query"]
-            ),
-            f"{out}fragment": h["fragment"],
-        }
-    ).drop(*(f"_h_{k}" for k in URL_PARTS))
+            f"{out}scheme": f"if({h}absolute, {h}scheme, {b}scheme)",
+            f"{out}host": f"if({h}absolute OR {h}host != '', {h}host, {b}host)",
+            f"{out}path": f"if({h}absolute OR NOT ({own}), {h}merged, {remove_dot_segments_sql(h + 'merged')})",
+            f"{out}query": f"if({h}absolute OR {own} OR {h}query != '', {h}query, {b}query)",
+            f"{out}fragment": f"{h}fragment",
+        },
+    ]
+    return with_steps(df, steps, *(f"{h}{k}" for k in (*URL_PARTS, "absolute", "whole", "merged")))
 
 
 def resolved_url(href: Column, base_url: Column, out: str = "t_") -> Column:

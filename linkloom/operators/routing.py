@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.functions.urls import canonical_path, canonical_url, is_html_path, query_keys, with_url_parts
-from linkloom.registry import Registry, Source
+from linkloom.functions.urls import canonical_path, canonical_url, is_html_path, query_keys_sql, quoted, with_url_parts
+from linkloom.registry import Registry
 
 
 def pattern_fits(path: Column, pattern: str) -> Column:
@@ -14,43 +14,34 @@ def pattern_fits(path: Column, pattern: str) -> Column:
     return path.rlike(f"^(?:{pattern})")
 
 
-def query_fits(query: Column, names: tuple[str, ...] | None) -> Column:
-    """No constraint for ``None``; else the URL's parameter names are exactly ``names``."""
+def _fits_sql(path: str, query: str, pattern: str, names: tuple[str, ...] | None) -> str:
+    """One (pattern, query names) pair; the names must be exactly the URL's parameter names."""
+    at_start = f"{path} RLIKE {quoted(f'^(?:{pattern})')}"
     if names is None:
-        return F.lit(True)
-    wanted = sorted(set(names))
-    literal = F.array(*(F.lit(n) for n in wanted)) if wanted else F.expr("cast(array() as array<string>)")
-    return query_keys(query) == literal
-
-
-def _source_route(source: Source, path: Column, query: Column) -> Column | None:
-    """Name of the source's first handler that fits, as a ladder of literal patterns."""
-    out = None
-    for h in source.handlers:
-        fits = F.lit(False)
-        for pattern, names in h.patterns:
-            one = pattern_fits(path, pattern)
-            if names is not None:
-                one = one & query_fits(query, names)
-            fits = one if h.patterns.index((pattern, names)) == 0 else fits | one
-        name = F.lit(f"{source.name}.{h.name}")
-        out = F.when(fits, name) if out is None else out.when(fits, name)
-    return out
+        return at_start
+    wanted = ", ".join(quoted(n) for n in sorted(set(names)))
+    return f"({at_start} AND {query_keys_sql(query)} = cast(array({wanted}) AS array<string>))"
 
 
-def route(registry: Registry, sources: Column, path: Column, query: Column) -> Column:
-    """``source.handler`` of the first handler that fits, trying a host's sources in load order."""
+def route(registry: Registry, sources: str, path: str, query: str) -> Column:
+    """``source.handler`` of the first handler that fits, trying a host's sources in load order.
 
-    def of_source(source: Column) -> Column:
-        ladder = None
+    Patterns are literals of one CASE ladder, so each is compiled once.
+    """
+    ladders = []
+    for i in range(registry.max_sources):
+        by_source = []
         for s in registry.sources:
-            found = _source_route(s, path, query)
-            if found is None:
-                continue
-            ladder = F.when(source == s.name, found) if ladder is None else ladder.when(source == s.name, found)
-        return F.lit(None).cast("string") if ladder is None else ladder
-
-    return F.coalesce(*(of_source(F.get(sources, F.lit(i))) for i in range(registry.max_sources)))
+            cases = [
+                f"WHEN {' OR '.join(_fits_sql(path, query, p, names) for p, names in h.patterns)} "
+                f"THEN {quoted(f'{s.name}.{h.name}')}"
+                for h in s.handlers
+            ]
+            if cases:
+                by_source.append(f"WHEN {quoted(s.name)} THEN CASE {' '.join(cases)} END")
+        if by_source:
+            ladders.append(f"CASE get({sources}, {i}) {' '.join(by_source)} END")
+    return F.expr(f"coalesce({', '.join(ladders)})" if ladders else "cast(null AS string)")
 
 
 def all_handlers(registry: Registry) -> list[tuple[str, object]]:
@@ -111,7 +102,7 @@ def with_route(df: DataFrame, registry: Registry, url: str = "url", out: str = "
     p = prefix if prefix is not None else "_r_"
     parts = with_url_parts(df, url, p)
     work = with_host(parts, registry, f"{p}host", "_rh_")
-    routed = work.withColumn(out, route(registry, F.col("_rh_sources"), F.col(f"{p}path"), F.col(f"{p}query")))
+    routed = work.withColumn(out, route(registry, "_rh_sources", f"{p}path", f"{p}query"))
     drop = [c for c in routed.columns if c.startswith("_rh_")]
     if prefix is None:
         drop += [c for c in routed.columns if c.startswith(p) and c not in df.columns]
@@ -133,8 +124,13 @@ def canonical_links(df: DataFrame, registry: Registry, url: Column, prefix: str,
         return with_route(work, registry, link, handler)
     owner = F.col(f"{prefix}canon_source")
     kept = owner.isNull()
-    trimmed = F.when(kept, F.col(f"{prefix}path")).otherwise(canonical_path(F.col(f"{prefix}path")))
     drop = F.coalesce(registry.per_source(lambda s: s.drop_query or None, owner), F.lit(False))
-    query = F.when(drop, F.lit("")).otherwise(F.col(f"{prefix}query"))
-    sources = F.when(kept, F.col(f"{prefix}sources")).otherwise(F.col(f"{prefix}canon_sources"))
-    return work.withColumn(handler, F.when(F.col(link).isNotNull(), route(registry, sources, trimmed, query)))
+    work = work.withColumns(
+        {
+            "_n_path": F.when(kept, F.col(f"{prefix}path")).otherwise(canonical_path(F.col(f"{prefix}path"))),
+            "_n_query": F.when(drop, F.lit("")).otherwise(F.col(f"{prefix}query")),
+            "_n_sources": F.when(kept, F.col(f"{prefix}sources")).otherwise(F.col(f"{prefix}canon_sources")),
+        }
+    )
+    routed = F.when(F.col(link).isNotNull(), route(registry, "_n_sources", "_n_path", "_n_query"))
+    return work.withColumn(handler, routed).drop("_n_path", "_n_query", "_n_sources")

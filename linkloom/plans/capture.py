@@ -59,7 +59,7 @@ def page_results(responses: DataFrame, registry: Registry, resolve_location: boo
     """
     extra = [c for c in responses.columns if c not in ("url", "final_url", "status", "location", "html")]
     df = with_host(with_url_parts(responses, "final_url", "p_"), registry, "p_host", "ph_")
-    df = df.withColumn("handler", route(registry, F.col("ph_sources"), F.col("p_path"), F.col("p_query")))
+    df = df.withColumn("handler", route(registry, "ph_sources", "p_path", "p_query"))
     if resolve_location:
         df = with_resolved_parts(df, "location", "p_", "l_")
         df = df.withColumn("_target", resolved_url(F.col("location"), F.col("final_url"), "l_"))

@@ -153,7 +153,7 @@ def reject_reasons(spark: SparkSession, d: str) -> DataFrame:
 @query
 def query_keys(spark: SparkSession, d: str) -> DataFrame:
     return U.with_url_parts(_pages(spark, d, "url")).select(
-        "page_id", F.array_join(U.query_keys(F.col("query")), ",").alias("keys")
+        "page_id", F.array_join(F.expr(U.query_keys_sql("query")), ",").alias("keys")
     )
 
 
