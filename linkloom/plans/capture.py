@@ -17,6 +17,7 @@ from linkloom.functions.urls import URL_PARTS, resolved_url, with_resolved_parts
 from linkloom.operators.extract import with_extraction
 from linkloom.operators.routing import all_handlers, canonical_links, route, with_host
 from linkloom.registry import Registry
+from linkloom.session import fresh_path
 
 # --- fixed values ------------------------------------------------------------------------
 RESPONSES_SCHEMA = "url STRING, final_url STRING, status INT, location STRING, html STRING"
@@ -95,35 +96,62 @@ def page_results(responses: DataFrame, registry: Registry, resolve_location: boo
     )
 
 
-def resolve_hrefs(results: DataFrame, keep: tuple[str, ...] = ("url",)) -> DataFrame:
+def store_results(results: DataFrame, path: str | None = None) -> DataFrame:
+    """Writes results and reads them back, so that several outputs cost one pass over the pages."""
+    path = path or fresh_path(results.sparkSession, "results")
+    results.write.mode("overwrite").parquet(path)
+    return results.sparkSession.read.schema(results.schema).parquet(path)
+
+
+def resolve_hrefs(results: DataFrame, keep: tuple[str, ...] = ("url",), outer: bool = False) -> DataFrame:
     """One row per page and distinct raw href, with the target's parts (``t_`` columns).
 
-    The page URL is split once per page, before its hrefs are laid out.
+    The page URL is split once per page, before its hrefs are laid out. ``outer`` keeps pages
+    without hrefs.
     """
     base = with_url_parts(results, "final_url", "b_")
+    lay_out = F.explode_outer if outer else F.explode
     each = base.select(
         *keep,
         "final_url",
         "redirected",
         *(f"b_{p}" for p in URL_PARTS),
-        F.explode(F.array_distinct("hrefs")).alias("token"),
+        lay_out(F.array_distinct("hrefs")).alias("token"),
     )
     href = F.when(F.col("redirected"), F.col("token")).otherwise(unquote(F.col("token")))
     return with_resolved_parts(each.withColumn("href", href), "href", "b_", "t_").drop("token", "redirected")
 
 
+def _with_links(hrefs: DataFrame, registry: Registry) -> DataFrame:
+    target = resolved_url(F.col("href"), F.col("final_url"))
+    return canonical_links(hrefs, registry, target, "t_")
+
+
 def routed_links(results: DataFrame, registry: Registry, keep: tuple[str, ...] = ("url",)) -> DataFrame:
     """Routable canonical links of each page, repeats included: ``keep + (link, handler)``.
 
     Links without a handler go out through the generator and not through a filter: a filter would
     be pushed below the projections and have every URL expression evaluated a second time.
     """
-    target = resolved_url(F.col("href"), F.col("final_url"))
-    routed = canonical_links(resolve_hrefs(results, keep), registry, target, "t_", how="left")
+    routed = _with_links(resolve_hrefs(results, keep), registry)
     kept = F.when(F.col("handler").isNotNull(), F.array(F.struct("link", "handler")))
     return routed.select(*keep, F.explode(kept).alias("_l")).select(*keep, "_l.link", "_l.handler")
 
 
+def link_graph(results: DataFrame, registry: Registry) -> DataFrame:
+    """``url, success, error, links``: outcome and distinct routable links per page, in one pass.
+
+    Results hold one row per URL. The links of a page leave the map side as one set, so the
+    shuffle moves a row per page; a group is never larger than the page it came from.
+    """
+    keep = ("url", "success", "error")
+    routed = _with_links(resolve_hrefs(results, keep, outer=True), registry)
+    link = F.when(F.col("handler").isNotNull(), F.col("link"))
+    return routed.groupBy("url").agg(
+        F.max("success").alias("success"), F.max("error").alias("error"), F.collect_set(link).alias("links")
+    )
+
+
 def result_links(results: DataFrame, registry: Registry, keep: tuple[str, ...] = ("url",)) -> DataFrame:
     """Distinct routable canonical links of each page: ``keep + (link)``."""
     return routed_links(results, registry, keep).select(*keep, "link").distinct()
@@ -148,7 +176,10 @@ def status_of(success: Column) -> Column:
 
 
 def split_results(results: DataFrame, registry: Registry) -> Outputs:
-    """Failed pages give a status only; successful ones a status, a record (unless empty) and links."""
+    """Failed pages give a status only; successful ones a status, a record (unless empty) and links.
+
+    Use :func:`store_results` first when all three outputs are wanted.
+    """
     return Outputs(
         statuses=results.select("url", status_of(F.col("success")).alias("status")),
         records=results.where("has_record").select("url", "final_url", "handler", "record"),

@@ -23,8 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.operators import frontier as fr
-from linkloom.plans.capture import NOT_CAPTURED, page_results, result_links, status_of
-from linkloom.registry import Registry
+from linkloom.plans.capture import NOT_CAPTURED, status_of
 from linkloom.session import fresh_path
 
 
@@ -74,14 +73,6 @@ class Crawl:
     path: str
 
 
-def link_graph(responses: DataFrame, registry: Registry, results: DataFrame | None = None) -> DataFrame:
-    """``url, success, error, links``: outcome and distinct outlinks per captured URL."""
-    results = page_results(responses, registry) if results is None else results
-    # Grouped by page: a group is the links of one page, bounded by that page's own text.
-    links = result_links(results, registry).groupBy("url").agg(F.collect_list("link").alias("links"))
-    return results.select("url", "success", "error").join(links, "url", "left")
-
-
 def crawl(
     seeds: DataFrame,
     graph: DataFrame,
@@ -89,7 +80,7 @@ def crawl(
     claim: int = -1,
     on_round=None,
 ) -> Crawl:
-    """Expands ``seeds(link)`` over ``graph`` (see :func:`link_graph`) until nothing waits.
+    """Expands ``seeds(link)`` over ``graph`` (see ``capture.link_graph``) until nothing waits.
 
     ``claim`` bounds the links taken per round (-1: all that wait). Failed links are final. A link
     that is not in the graph fails as ``not_captured``. ``on_round(round, store)`` is called after each.

@@ -18,7 +18,7 @@ from linkloom.operators.routing import canonicalize as canonicalize_urls
 from linkloom.operators.routing import canonical_links, pattern_fits, with_route
 from linkloom.plans import capture
 from linkloom.plans import inputs as demo
-from linkloom.plans.crawl import crawl, link_graph
+from linkloom.plans.crawl import crawl
 from linkloom.registry import calendar_seeds
 from linkloom.streaming import jobs
 
@@ -363,7 +363,8 @@ def redirects(spark: SparkSession, d: str) -> DataFrame:
 @query
 def result_split(spark: SparkSession, d: str) -> DataFrame:
     """Rows of the three outputs, by kind."""
-    out = capture.split_results(_fetched_results(spark, d), demo.demo_registry(spark, d))
+    results = capture.store_results(_fetched_results(spark, d))
+    out = capture.split_results(results, demo.demo_registry(spark, d))
     parts = [
         out.statuses.select(F.lit("status").alias("kind"), "url", F.col("status").alias("value")),
         out.records.select(F.lit("record").alias("kind"), "url", F.col("record").alias("value")),
@@ -446,7 +447,7 @@ def status_latest(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def crawl_counters(spark: SparkSession, d: str) -> DataFrame:
-    results = _fetched_results(spark, d)
+    results = capture.store_results(_fetched_results(spark, d))
     return metrics.crawl_counters(results, capture.result_links(results, demo.demo_registry(spark, d)))
 
 
@@ -462,7 +463,7 @@ def outcome_timing(spark: SparkSession, d: str) -> DataFrame:
 def crawl_rounds(spark: SparkSession, d: str) -> DataFrame:
     """The closure of the seeds over the captured pages, every link with its status and round."""
     registry = demo.demo_registry(spark, d)
-    graph = link_graph(demo.crawl_responses(spark, d, registry), registry)
+    graph = capture.link_graph(capture.page_results(demo.crawl_responses(spark, d, registry), registry), registry)
     done = crawl(demo.crawl_seeds(spark, d, registry), graph)
     return done.log.select("link", "status", "error", F.col("found_round").alias("round"))
 

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import StructType
 
 from linkloom.operators import frontier as fr
-from linkloom.plans.capture import Outputs, page_results, split_results
+from linkloom.plans.capture import Outputs, page_results, split_results, store_results
 from linkloom.registry import Registry
 from linkloom.session import fresh_path
 
@@ -105,9 +105,8 @@ def result_fanout(responses: DataFrame, registry: Registry, path: str) -> DataSt
     registry.lookup  # measured before the stream starts
 
     def absorb(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        write_batch(page_results(batch, registry), f"{path}/results", batch_id)
-        out = split_results(spark.read.parquet(f"{path}/results/batch={batch_id}"), registry)
+        results = store_results(page_results(batch, registry), f"{path}/results/batch={batch_id}")
+        out = split_results(results, registry)
         write_batch(out.statuses, f"{path}/statuses", batch_id)
         write_batch(out.records, f"{path}/records", batch_id)
         write_batch(out.links, f"{path}/links", batch_id)
