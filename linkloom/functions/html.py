@@ -103,9 +103,16 @@ def unquote(token: Column) -> Column:
     return F.when(token.contains("&"), decode_entities(plain)).otherwise(plain)
 
 
-def region_pattern(tag: str, attr: str | None = None, value: str | None = None, match: str = "equals") -> str:
-    """Pattern whose group 1 is the inside of ``<tag attr="value">``, up to its first end tag."""
-    return rf"(?is)<{tag}\b{_where(attr, value, match)}[^>]*>(.*?)</{tag}\s*>"
+def region_pattern(
+    tag: str, attr: str | None = None, value: str | None = None, match: str = "equals", open_end: bool = False
+) -> str:
+    """Pattern whose group 1 is the inside of ``<tag attr="value">``, up to its first end tag.
+
+    ``open_end`` lets it run to the end of the text instead: a scope cut short by the end tag of
+    an inner element still holds that element.
+    """
+    end = rf"(?:</{tag}\s*>|\z)" if open_end else rf"</{tag}\s*>"
+    return rf"(?is)<{tag}\b{_where(attr, value, match)}[^>]*>(.*?){end}"
 
 
 def _where(attr: str | None, value: str | None, match: str) -> str:
@@ -162,8 +169,8 @@ class FieldRule:
     trim: bool = True
     dash_clean: bool = False
 
-    def pattern(self) -> str:
-        return region_pattern(self.tag, self.attr_name, self.attr_value, self.match)
+    def pattern(self, open_end: bool = False) -> str:
+        return region_pattern(self.tag, self.attr_name, self.attr_value, self.match, open_end)
 
 
 def trim_space(text: Column) -> Column:
@@ -179,7 +186,7 @@ def dash_clean(day: Column) -> Column:
 def _scope(markup: Column, rule: FieldRule) -> Column:
     if rule.inside is None:
         return markup
-    return F.regexp_extract(_scope(markup, rule.inside), rule.inside.pattern(), 1)
+    return F.regexp_extract(_scope(markup, rule.inside), rule.inside.pattern(open_end=True), 1)
 
 
 def _region_text(inner: Column, rule: FieldRule) -> Column:

@@ -161,7 +161,7 @@ def with_resolved_parts(df: DataFrame, href: str, base: str, out: str = "t_") ->
 
     ``base`` is the prefix of columns made by :func:`with_url_parts` on the page URL. The target
     is built from parts, so the resolved URL is not parsed a second time. ``<out>path`` still
-    carries ``;params``.
+    carries ``;params``. A NULL ``href`` has a NULL scheme and host.
     """
     h, b = "_h_", base
     df = with_url_parts(df, href, h)
@@ -178,8 +178,8 @@ def with_resolved_parts(df: DataFrame, href: str, base: str, out: str = "t_") ->
             f"{h}merged": f"CASE WHEN {h}absolute THEN {h}whole WHEN {own} THEN {rooted} ELSE {whole.format(b)} END",
         },
         {
-            f"{out}scheme": f"if({h}absolute, {h}scheme, {b}scheme)",
-            f"{out}host": f"if({h}absolute OR {h}host != '', {h}host, {b}host)",
+            f"{out}scheme": f"CASE WHEN {h}absolute THEN {h}scheme WHEN {href} IS NOT NULL THEN {b}scheme END",
+            f"{out}host": f"CASE WHEN {h}absolute OR {h}host != '' THEN {h}host WHEN {href} IS NOT NULL THEN {b}host END",
             f"{out}path": f"if({h}absolute OR NOT ({own}), {h}merged, {remove_dot_segments_sql(h + 'merged')})",
             f"{out}query": f"if({h}absolute OR {own} OR {h}query != '', {h}query, {b}query)",
             f"{out}fragment": f"{h}fragment",

@@ -121,3 +121,7 @@ def test_query_names(spark):
     for row in df.collect():
         want = sorted({k for part in row["q"].split(";") for k, _ in parse_qsl(part)})
         assert row["k"] == want, row["q"]
+
+
+def test_null_link_resolves_to_null(spark):
+    assert resolve(spark, [("http://h.org/a", None)]) == [None]
