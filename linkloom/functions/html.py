@@ -1,7 +1,7 @@
 """Page fields out of raw HTML with native regex expressions over the whole text.
 
-Patterns use no lookarounds, so Java and RE2 read them alike. For pages whose nesting matters,
-``linkloom.functions.parsed`` reads the same field rules with a real tag parser.
+For pages whose nesting matters, ``linkloom.functions.parsed`` reads the same field rules with a
+real tag parser.
 """
 
 from __future__ import annotations
@@ -17,13 +17,16 @@ from pyspark.sql import functions as F
 from linkloom.functions.urls import quoted
 
 # --- fixed values ------------------------------------------------------------------------
+# Patterns that run over a whole page start with their "<", so a scan leaves every other
+# character after one comparison.
 COMMENT = r"(?s)<!--.*?-->"
-COMMENT_OR_RAW_TEXT = r"(?is)<!--.*?-->|<(?:script|style)\b[^>]*>.*?</(?:script|style)\s*>"
+COMMENT_OR_RAW_TEXT = r"(?is)<(?:!--.*?-->|(?:script|style)\b[^>]*>.*?</(?:script|style)\s*>)"
+COMMENT_OR_TAG = r"(?s)<(?:!--.*?-->|/?[a-zA-Z!][^>]*>)"
+TAG = r"(?s)</?[a-zA-Z!][^>]*>"
 HEAD_PART = r"(?is)\A(.*?)(?:<body\b|\z)"
+BODY_START = r"(?i)<body\b[^>]*>"
+BODY_END = r"(?i)</body\s*>"
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
-BODY = r"(?is)<body\b[^>]*>(.*?)(?:</body\s*>|\z)"
-TAG = r"(?s)</?[a-zA-Z!][^>]*>"
-COMMENT_OR_TAG = r"(?s)<!--.*?-->|</?[a-zA-Z!][^>]*>"
 ANCHOR_HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 TITLE_DEFAULT = "Title Not Found"
 # -----------------------------------------------------------------------------------------
@@ -32,22 +35,24 @@ TITLE_DEFAULT = "Title Not Found"
 _ENTITY_TABLE = "str_to_map(" + quoted("\n".join(f"{n} {chr(cp)}" for n, cp in name2codepoint.items())) + ", '\\n', ' ')"
 _ENTITY = quoted(r"\A(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,7});")
 # Text between two ampersands: "amp;rest" -> "&rest"; what is no entity gets its "&" back.
-# Entities met on almost every page are tested before the full table.
+# Entities met on almost every page are tested before the pattern and the full table.
 _DECODE_PIECE = f"""
-(p, i) -> if(i = 0, p, transform(array(regexp_extract(p, {_ENTITY}, 1)), n ->
-  CASE WHEN n = '' THEN concat('&', p)
-    WHEN n = 'amp' THEN concat('&', substr(p, 5))
-    WHEN n = 'nbsp' THEN concat('\u00a0', substr(p, 6))
-    WHEN n = 'quot' THEN concat('"', substr(p, 6))
-    WHEN n = 'lt' THEN concat('<', substr(p, 4))
-    WHEN n = 'gt' THEN concat('>', substr(p, 4))
-    WHEN NOT startswith(n, '#') THEN
-      coalesce(concat(try_element_at({_ENTITY_TABLE}, n), substr(p, length(n) + 2)), concat('&', p))
-    ELSE transform(array(coalesce(try_cast(substr(n, 2) AS bigint), try_cast(conv(substr(n, 3), 16, 10) AS bigint))), c ->
-      CASE WHEN c BETWEEN 1 AND 55295 OR c BETWEEN 57344 AND 1114111
-        THEN concat(decode(unhex(lpad(hex(c), 8, '0')), 'UTF-32'), substr(p, length(n) + 2))
-        ELSE concat('&', p) END)[0]
-    END)[0])"""
+(p, i) -> CASE WHEN i = 0 THEN p
+  WHEN startswith(p, 'amp;') THEN concat('&', substr(p, 5))
+  WHEN startswith(p, 'nbsp;') THEN concat('\u00a0', substr(p, 6))
+  WHEN startswith(p, 'quot;') THEN concat('"', substr(p, 6))
+  WHEN startswith(p, 'lt;') THEN concat('<', substr(p, 4))
+  WHEN startswith(p, 'gt;') THEN concat('>', substr(p, 4))
+  ELSE transform(array(regexp_extract(p, {_ENTITY}, 1)), n ->
+    CASE WHEN n = '' THEN concat('&', p)
+      WHEN NOT startswith(n, '#') THEN
+        coalesce(concat(try_element_at({_ENTITY_TABLE}, n), substr(p, length(n) + 2)), concat('&', p))
+      ELSE transform(array(coalesce(try_cast(substr(n, 2) AS bigint), try_cast(conv(substr(n, 3), 16, 10) AS bigint))), c ->
+        CASE WHEN c BETWEEN 1 AND 55295 OR c BETWEEN 57344 AND 1114111
+          THEN concat(decode(unhex(lpad(hex(c), 8, '0')), 'UTF-32'), substr(p, length(n) + 2))
+          ELSE concat('&', p) END)[0]
+      END)[0]
+  END"""
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -85,7 +90,8 @@ def body_text(html: Column, strip_script: bool = False) -> Column:
 
     Script and style text counts as text unless ``strip_script`` is set.
     """
-    body = F.regexp_extract(html, BODY, 1)
+    after = F.coalesce(F.get(F.split(html, BODY_START, 2), F.lit(1)), F.when(html.isNotNull(), F.lit("")))
+    body = F.get(F.split(after, BODY_END, 2), F.lit(0))
     if strip_script:
         return decode_entities(strip_tags(markup_only(body)))
     return decode_entities(F.regexp_replace(body, COMMENT_OR_TAG, ""))
