@@ -9,20 +9,26 @@ from linkloom.functions.records import record_bytes
 
 
 def crawl_counters(results: DataFrame, links: DataFrame) -> DataFrame:
-    """``counter, value``: links taken, pages processed and failed, new links found, bytes stored.
+    """``counter, value``: links queued and taken, pages processing, completed and failed, new links
+    found, bytes stored.
 
-    ``links`` are the routable links per page, counted once per page as they are queued.
+    Each result is a link that was queued, taken and processed once. ``links`` are the routable
+    links per page, counted once per page as they are queued.
     """
     totals = results.agg(
+        F.count(F.lit(1)).alias("crawlq.put"),
         F.count(F.lit(1)).alias("crawlq.get"),
+        F.count(F.lit(1)).alias("urls.processing"),
         F.count_if(F.col("success")).alias("urls.completed"),
         F.count_if(~F.col("success")).alias("urls.failed"),
         F.coalesce(F.sum(record_bytes(F.col("record"))), F.lit(0)).cast("bigint").alias("store.writes"),
     )
     new = links.agg(F.count(F.lit(1)).alias("urls.new"))
-    return totals.unpivot([], ["`crawlq.get`", "`urls.completed`", "`urls.failed`", "`store.writes`"], "counter", "value").unionByName(
-        new.unpivot([], ["`urls.new`"], "counter", "value")
-    )
+    return _long(totals).unionByName(_long(new))
+
+
+def _long(totals: DataFrame) -> DataFrame:
+    return totals.unpivot([], [f"`{c}`" for c in totals.columns], "counter", "value")
 
 
 def outcome_timing(samples: DataFrame, outcome: str, elapsed_ms: str, percentiles: tuple[float, ...] = ()) -> DataFrame:

@@ -21,6 +21,7 @@ from linkloom.session import fresh_path
 
 # --- fixed values ------------------------------------------------------------------------
 RESPONSES_SCHEMA = "url STRING, final_url STRING, status INT, location STRING, html STRING"
+RESULT_COLUMNS = ["url", "final_url", "handler", "success", "error", "redirected", "has_record", "record", "hrefs"]
 REDIRECT_STATUSES = [301, 302, 303, 307, 308]
 NOT_CAPTURED, HTTP_ERROR, NO_HANDLER = "not_captured", "http_error", "no_handler"
 COMPLETED, FAILED = "completed", "failed"
@@ -162,6 +163,15 @@ def link_sources(results: DataFrame, registry: Registry) -> DataFrame:
     return routed_links(results, registry, ()).distinct()
 
 
+def batch_output(results: DataFrame, registry: Registry) -> DataFrame:
+    """One row per input: ``url, success, data, links`` (distinct, sorted) and ``error``, plus any
+    columns that passed through the results. Needs results from :func:`store_results`."""
+    extra = [c for c in results.columns if c not in RESULT_COLUMNS]
+    links = link_graph(results, registry).select(F.col("url").alias("_u"), F.array_sort("links").alias("links"))
+    joined = results.join(links, F.col("url") == F.col("_u"), "left")
+    return joined.select(*extra, "url", "success", F.col("record").alias("data"), "links", "error")
+
+
 @dataclass(frozen=True)
 class Outputs:
     """The three outputs of a batch of results."""

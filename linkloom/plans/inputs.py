@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions.html import FieldRule
@@ -13,6 +13,7 @@ from linkloom.operators.extract import page_extractor
 from linkloom.operators.frontier import COMPLETED, FAILED, PROCESSING, WAITING
 from linkloom.plans.capture import latest_captures
 from linkloom.operators.routing import canonicalize
+from linkloom.presets import event_calendar, talk_calendar
 from linkloom.registry import Handler, Registry, Source
 
 # --- fixed values: the demo registry --------------------------------------------------------
@@ -147,3 +148,58 @@ def crawl_seeds(spark: SparkSession, sf_dir: str, registry: Registry) -> DataFra
     pages = with_url_parts(table(spark, sf_dir, "pages").select("page_id", "url"))
     known = canonicalize(pages, registry, "url", "link").where(F.col("link").isNotNull())
     return known.groupBy("host").agg(F.min_by("link", "page_id").alias("link")).select("link").distinct()
+
+
+def calendar_registry(spark: SparkSession, sf_dir: str) -> Registry:
+    """An event and a talk calendar on hosts of their own for every listed page host."""
+    key = (spark.sparkContext.applicationId, sf_dir, "calendars")
+    if key not in _registries:
+        kinds = F.explode(F.array(F.lit("events"), F.lit("talks")))
+        hosts = page_hosts(spark, sf_dir).select(kinds.alias("source"), "host")
+        hosts = hosts.select("source", F.concat("source", F.lit("."), "host").alias("host"))
+        _registries[key] = Registry([event_calendar("events"), talk_calendar("talks", parsed=False)], hosts)
+    return _registries[key]
+
+
+# --- fixed values: calendar page layouts, filled with page title, host and number ---------------
+EVENT_PAGE = (
+    '<html><body><h1 id="page-title"> {t} </h1><div class="big event__label">{h}</div><div class="event__date">'
+    '<time datetime="2018">Day {i} -</time> <span class="date-display-start">{i}am</span>'
+    '<span class="date-display-end">{i}pm</span></div><ul class="event__location-information semantic"><li>{h}</li>'
+    '<li>{i}</li></ul><ul><li class="event__speaker-name"><b>{t}</b></li></ul><div class="event__content">'
+    "<p>{t}</p><div><p>{h}</p></div></div></body></html>"
+)
+TALK_PAGE = (
+    '<html><body><h1 id="page-title">{t}</h1><div class="x field-name-field-date"><div class="field-item">'
+    '<span class="date-display-start" content="{i}">d</span></div></div><div class="field-name-field-location">{h}</div>'
+    '<section class="field-name-field-speaker-name"><div class="field-items">{t}</div></section>'
+    '<section class="field-name-field-speaker-institution"><div class="field-items">{h}</div></section>'
+    '<section class="field-name-body"><p>{t} <i>{i}</i></p></section></body></html>'
+)
+LIST_PAGE = (
+    '<html><body><a href="/calendar/other"></a><ul class="events-teasers-list semantic">'
+    '<li><a href="tue-2018-12-04-1100/p{i}/"></a></li><li><a href="/calendar?page={i}"></a></li></ul></body></html>'
+)
+# -------------------------------------------------------------------------------------------------
+
+
+def calendar_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An event page, a talk page and a calendar page made of every page's title, host and number."""
+    pages = with_url_parts(table(spark, sf_dir, "pages"))
+    title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
+    facts = pages.select("page_id", "host", title.alias("title"))
+
+    def made(url: str, layout: str) -> Column:
+        html = F.lit(layout)
+        for mark, value in (("{t}", F.col("title")), ("{h}", F.col("host")), ("{i}", F.col("page_id").cast("string"))):
+            html = F.replace(html, F.lit(mark), value)
+        return F.struct(F.format_string(url, "host", "page_id").alias("url"), html.alias("html"))
+
+    each = F.array(
+        made("https://events.%s/calendar/tue-2018-12-04-1100/p%d", EVENT_PAGE),
+        made("https://talks.%s/events/%d", TALK_PAGE),
+        made("https://events.%s/calendar/?page=%d", LIST_PAGE),
+    )
+    return facts.select(F.explode(each).alias("p")).select(
+        "p.url", F.col("p.url").alias("final_url"), F.lit(200).alias("status"), F.lit(None).cast("string").alias("location"), "p.html"
+    )

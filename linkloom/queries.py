@@ -352,6 +352,31 @@ def ordered_results(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def batch_output(spark: SparkSession, d: str) -> DataFrame:
+    """Every page URL as one batch: record, links and error per input, with its position."""
+    idx = _pages(spark, d, "url").select(F.col("page_id").alias("idx"), F.col("url").alias("link"))
+    got = capture.fetch(idx, demo.responses(spark, d).drop("page_id"))
+    registry = demo.demo_registry(spark, d)
+    out = capture.batch_output(capture.store_results(capture.page_results(got, registry)), registry)
+    return out.select("idx", "url", "success", "data", F.array_join("links", " ").alias("links"), "error")
+
+
+@query
+def calendar_records(spark: SparkSession, d: str) -> DataFrame:
+    """Event records (tag parser) and talk records (native columns, nested speaker)."""
+    registry = demo.calendar_registry(spark, d)
+    results = capture.page_results(demo.calendar_responses(spark, d), registry)
+    return results.where("has_record").select("url", "handler", "record")
+
+
+@query
+def calendar_links(spark: SparkSession, d: str) -> DataFrame:
+    """Links of the calendar pages: those inside the listing only."""
+    registry = demo.calendar_registry(spark, d)
+    return capture.result_links(capture.page_results(demo.calendar_responses(spark, d), registry), registry)
+
+
 @query
 def redirects(spark: SparkSession, d: str) -> DataFrame:
     """Followed redirects and their single link."""
