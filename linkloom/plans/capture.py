@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from linkloom.functions.html import unquote
 from linkloom.functions.urls import URL_PARTS, resolved_url, with_resolved_parts, with_url_parts
 from linkloom.operators.extract import with_extraction
-from linkloom.operators.routing import all_handlers, canonical_links, route, with_host
+from linkloom.operators.routing import all_handlers, canonical_links, route, with_host, with_route
 from linkloom.registry import Registry
 from linkloom.session import fresh_path
 
@@ -97,6 +97,25 @@ def page_results(responses: DataFrame, registry: Registry, resolve_location: boo
     )
 
 
+def fetched_results(links: DataFrame, responses: DataFrame, registry: Registry, link: str = "link") -> DataFrame:
+    """:func:`page_results` of :func:`fetch`, with the join moved behind the extraction.
+
+    Pages are extracted where they are scanned and only results are shuffled to their links, so
+    no HTML moves. Exactly one row per link; one without a response fails as ``not_captured``.
+    """
+    results = page_results(responses, registry).drop("handler").withColumnRenamed("url", "_captured_url")
+    asked = links.withColumnRenamed(link, "url")
+    joined = asked.join(results, F.col("url") == F.col("_captured_url"), "left").withColumns(
+        {
+            "final_url": F.coalesce("final_url", "url"),
+            "error": F.when(F.col("_captured_url").isNull(), F.lit(NOT_CAPTURED)).otherwise(F.col("error")),
+            **{c: F.coalesce(c, F.lit(False)) for c in ("success", "redirected", "has_record")},
+        }
+    )
+    extra = [c for c in joined.columns if c not in (*RESULT_COLUMNS, "_captured_url")]
+    return with_route(joined, registry, "final_url").select(*extra, *RESULT_COLUMNS)
+
+
 def store_results(results: DataFrame, path: str | None = None) -> DataFrame:
     """Writes results and reads them back, so that several outputs cost one pass over the pages."""
     path = path or fresh_path(results.sparkSession, "results")

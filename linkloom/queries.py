@@ -334,8 +334,7 @@ def fetch_join(spark: SparkSession, d: str) -> DataFrame:
 
 def _fetched_results(spark: SparkSession, d: str) -> DataFrame:
     links = demo.frontier(spark, d).select("link")
-    got = capture.fetch(links, demo.responses(spark, d))
-    return capture.page_results(got, demo.demo_registry(spark, d))
+    return capture.fetched_results(links, demo.responses(spark, d), demo.demo_registry(spark, d))
 
 
 @query
@@ -356,9 +355,9 @@ def ordered_results(spark: SparkSession, d: str) -> DataFrame:
 def batch_output(spark: SparkSession, d: str) -> DataFrame:
     """Every page URL as one batch: record, links and error per input, with its position."""
     idx = _pages(spark, d, "url").select(F.col("page_id").alias("idx"), F.col("url").alias("link"))
-    got = capture.fetch(idx, demo.responses(spark, d).drop("page_id"))
     registry = demo.demo_registry(spark, d)
-    out = capture.batch_output(capture.store_results(capture.page_results(got, registry)), registry)
+    got = capture.fetched_results(idx, demo.responses(spark, d).drop("page_id"), registry)
+    out = capture.batch_output(capture.store_results(got), registry)
     return out.select("idx", "url", "success", "data", F.array_join("links", " ").alias("links"), "error")
 
 

@@ -88,6 +88,18 @@ def current_statuses(spark: SparkSession, path: str) -> DataFrame:
     return fr.latest_status(spark.read.parquet(path), seq=("seq",))
 
 
+def live_frontier(spark: SparkSession, links_path: str, statuses_path: str) -> DataFrame:
+    """The link table with every status change so far: :func:`link_ingest` and
+    :func:`status_update` tables put together."""
+    return fr.update(batch_table(spark, links_path, LINK_BATCH), current_statuses(spark, statuses_path))
+
+
+def compact_links(spark: SparkSession, links_path: str, statuses_path: str, new_path: str) -> None:
+    """Rewrites both tables into the initial batch of a new link table, one file set per shuffle
+    partition in place of one per micro-batch."""
+    write_batch(live_frontier(spark, links_path, statuses_path), new_path, INITIAL)
+
+
 def status_gauge(links: DataFrame) -> DataFrame:
     """Streaming count per status (complete mode; one state row per status)."""
     return fr.status_counts(links)

@@ -134,3 +134,19 @@ def test_event_pages_end_to_end(spark):
     records = out.records.collect()
     assert len(records) == 1 and json.loads(records[0]["record"])["day"] == "Tuesday, December 4"
     assert list(json.loads(records[0]["record"])) == ["url", "title", "event_type", "start_time", "end_time", "day", "location", "speaker", "body"]
+
+
+def test_join_behind_the_extraction_gives_the_same_results(spark, registry, responses):
+    links = spark.createDataFrame([(u,) for u, *_ in ROWS] + [("http://h.org/never",), ("http://o.org/never",)], "link STRING")
+    before = C.page_results(C.fetch(links, responses), registry).select(*C.RESULT_COLUMNS)
+    behind = C.fetched_results(links, responses, registry)
+    assert sorted(map(repr, before.collect())) == sorted(map(repr, behind.collect()))
+    plan = behind._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join LeftOuter, (url#") < plan.index("<title")
+
+
+def test_batch_output_has_one_row_per_input(spark, registry, responses):
+    links = spark.createDataFrame([(i, u) for i, (u, *_) in enumerate(ROWS)] + [(99, "http://h.org/never")], "idx INT, link STRING")
+    out = C.batch_output(C.store_results(C.fetched_results(links, responses, registry)), registry).orderBy("idx").collect()
+    assert [r["idx"] for r in out] == [*range(len(ROWS)), 99]
+    assert out[0]["links"] == ["http://h.org/x"] and out[-1]["error"] == "not_captured" and out[-1]["links"] == []

@@ -5,6 +5,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
+from linkloom import presets
 from linkloom.functions.urls import canonical_url
 from linkloom.operators import extract as X
 from linkloom.operators.lookup import Lookup
@@ -165,3 +166,20 @@ def test_registry_from_files(spark, tmp_path):
     reg = load_registry(spark, str(tmp_path))
     assert routes(spark, reg, ["http://a.org/x?k=1", "http://a.org/x"]) == ["s.one", "s.two"]
     assert canon(spark, reg, ["http://a.org/x/"]) == [("http://www.a.org/x", None)]
+
+
+def test_presets(spark):
+    sources = [presets.www_site("w"), presets.bare_site("b"), presets.listed_site("l"), presets.plain_site("p"), presets.talk_calendar("t")]
+    hosts = [("w", "www.w.edu"), ("b", "b.edu"), ("l", "l.edu"), ("l", "www.m.edu"), ("p", "p.edu"), ("t", "t.edu")]
+    reg = registry(spark, sources, hosts)
+    cases = {
+        "http://w.edu/x/": "http://www.w.edu/x", "https://www.b.edu/a.html#f": "https://b.edu/a.html", "http://www.l.edu": "http://l.edu",
+        "http://m.edu/?q=1": "http://www.m.edu?q=1", "http://www.p.edu/a.jpg": None, "http://t.edu/events/12/?x=1": "http://t.edu/events/12",
+    }
+    assert [c for c, _ in canon(spark, reg, list(cases))] == list(cases.values())
+    want = ["w.parse_everything", "b.parse_everything", "l.parse_everything", "l.parse_everything", "p.parse_everything", None]
+    assert routes(spark, reg, list(cases)) == want
+    assert routes(spark, reg, ["http://t.edu/events/12"]) == ["t.parse_events"]
+    event = "http://e.edu/calendar/fri-2018-12-07-0900/chat"
+    assert routes(spark, registry(spark, [presets.event_calendar("e")], [("e", "e.edu")]), [event]) == ["e.parse_events"]
+    assert routes(spark, registry(spark, [presets.event_calendar("e", by_name=True)], [("e", "e.edu")]), [event]) == ["e.parse_calendar"]

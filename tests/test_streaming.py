@@ -55,3 +55,19 @@ def test_gauge_equals_counts(spark):
     have = demo.frontier(spark, SF)
     got = jobs.run_status_gauge(spark, jobs.staged(have, "g"))
     assert sorted(got.collect()) == sorted(fr.status_counts(have).collect())
+
+
+def test_live_frontier_and_its_compaction(spark):
+    links, statuses, compacted = (fresh_path(spark, n) for n in ("links", "statuses", "compacted"))
+    row = lambda schema, *v: spark.createDataFrame(list(v), schema)
+    jobs.write_batch(row(fr.LINKS_SCHEMA, ("a", "waiting", 0), ("b", "waiting", 0)), links, 0)
+    jobs.write_batch(row(fr.LINKS_SCHEMA, ("c", "waiting", 1)), links, 1)
+    log = "link STRING, status STRING, seq INT"
+    jobs.write_batch(row(log, ("a", "processing", 1), ("c", "failed", 5), ("gone", "failed", 1)), statuses, 0)
+    jobs.write_batch(row(log, ("a", "completed", 2), ("c", "processing", 4)), statuses, 1)
+    want = [("a", "completed", 0), ("b", "waiting", 0), ("c", "failed", 1)]
+    assert sorted(tuple(r) for r in jobs.live_frontier(spark, links, statuses).collect()) == want
+    jobs.compact_links(spark, links, statuses, compacted)
+    assert sorted(tuple(r)[:3] for r in jobs.batch_table(spark, compacted, jobs.LINK_BATCH).collect()) == want
+    gauge = {r["status"]: r["n"] for r in fr.status_counts_zero(jobs.live_frontier(spark, links, statuses)).collect()}
+    assert gauge == {"waiting": 1, "processing": 0, "completed": 1, "failed": 1}
