@@ -16,7 +16,7 @@ from linkloom.operators import metrics
 from linkloom.operators.extract import parsed_extractor, with_extraction
 from linkloom.operators.routing import canonicalize as canonicalize_urls
 from linkloom.operators.routing import canonical_links, pattern_fits, with_route
-from linkloom.plans import capture
+from linkloom.plans import capture, seeding
 from linkloom.plans import inputs as demo
 from linkloom.plans.crawl import crawl
 from linkloom.registry import calendar_seeds
@@ -67,6 +67,12 @@ def seed_links(spark: SparkSession, d: str) -> DataFrame:
     return demo.demo_registry(spark, d).seed_links()
 
 
+@query
+def start_links(spark: SparkSession, d: str) -> DataFrame:
+    """Seeds in canonical form, those their policy rejects left out."""
+    return seeding.start_links(demo.demo_registry(spark, d))
+
+
 @query
 def seed_calendar(spark: SparkSession, d: str) -> DataFrame:
     return calendar_seeds(demo.page_hosts(spark, d), 2015, 2018)

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkloom import presets
+from linkloom.operators import frontier as fr
+from linkloom.plans import seeding
 from linkloom.functions.urls import canonical_url
 from linkloom.operators import extract as X
 from linkloom.operators.lookup import Lookup
@@ -183,3 +185,16 @@ def test_presets(spark):
     event = "http://e.edu/calendar/fri-2018-12-07-0900/chat"
     assert routes(spark, registry(spark, [presets.event_calendar("e")], [("e", "e.edu")]), [event]) == ["e.parse_events"]
     assert routes(spark, registry(spark, [presets.event_calendar("e", by_name=True)], [("e", "e.edu")]), [event]) == ["e.parse_calendar"]
+
+
+def test_starting_a_source(spark):
+    extra = spark.createDataFrame([("b", "https://b.edu/list/"), ("b", "https://b.edu/list"), ("b", "https://b.edu/x.pdf")], "source STRING, url STRING")
+    reg = Registry([presets.bare_site("b")], spark.createDataFrame([("b", "b.edu")], HOSTS), extra)
+    links = lambda t: sorted(r["link"] for r in t.collect())
+    assert links(seeding.start_source(fr.empty_frontier(spark), reg, "b")) == ["https://b.edu", "https://b.edu/list"]
+    raw = seeding.start_source(fr.empty_frontier(spark), reg, "b", canonicalize_seeds=False)
+    assert links(raw) == ["https://b.edu", "https://b.edu/list", "https://b.edu/list/", "https://b.edu/x.pdf"]
+    urls = spark.createDataFrame([("https://b.edu/list/",), ("https://any.where/",)], "url STRING")
+    assert links(seeding.enqueue_urls(raw, urls)) == sorted(links(raw) + ["https://any.where/"])
+    with pytest.raises(ValueError):
+        seeding.start_source(raw, reg, "nope")
