@@ -3,7 +3,9 @@ pandas extractors, for markup that regex regions cannot follow."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from html.entities import name2codepoint
 from html.parser import HTMLParser
 
 from linkloom.functions.html import FieldRule
@@ -11,9 +13,24 @@ from linkloom.functions.html import FieldRule
 # --- fixed values: elements without an end tag, and elements that end an open one -------------
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 ENDS_PARAGRAPH = {"div", "dl", "h1", "h2", "h3", "h4", "h5", "h6", "ol", "p", "section", "table", "ul"}
+REFERENCE = re.compile(r"&(?:(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,7});)?")
+BARE = "\ue000"  # stands for an ampersand that starts no reference while the parser runs
 # -----------------------------------------------------------------------------------------------
 
 
+def _mark_bare(found: re.Match) -> str:
+    """Only closed, known references are decoded, as by the native columns."""
+    name = found[1]
+    if name is None:
+        return BARE
+    if name.startswith("#"):
+        code = int(name[2:], 16) if name[1] in "xX" else int(name[1:])
+        known = 0 < code < 0xD800 or 0xDFFF < code < 0x110000
+    else:
+        known = name in name2codepoint
+    return found[0] if known else f"{BARE}{name};"
+
+
 class Element:
     def __init__(self, tag: str, attrs: dict[str, str]):
         self.tag, self.attrs, self.children = tag, attrs, []
@@ -57,7 +74,7 @@ class _Tree(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag in ENDS_PARAGRAPH and self.open[-1].tag == "p" or tag == "li" and self.open[-1].tag == "li":
             self.open.pop()
-        e = Element(tag, {k: v or "" for k, v in attrs})
+        e = Element(tag, {k: (v or "").replace(BARE, "&") for k, v in attrs})
         self.open[-1].children.append(e)
         if tag not in VOID:
             self.open.append(e)
@@ -74,6 +91,7 @@ class _Tree(HTMLParser):
                 return
 
     def handle_data(self, data):
+        data = data.replace(BARE, "&")
         kids = self.open[-1].children
         if kids and isinstance(kids[-1], str):
             kids[-1] += data
@@ -83,7 +101,7 @@ class _Tree(HTMLParser):
 
 def parse(html: str) -> Element:
     tree = _Tree()
-    tree.feed(html)
+    tree.feed(REFERENCE.sub(_mark_bare, html))
     tree.close()
     return tree.root
 

@@ -117,3 +117,12 @@ def test_missing_required_field_fails_the_row(spark):
     broken = TALK.replace("field-name-field-location", "elsewhere")
     for e in (X.talk_extractor(), X.parsed_talk_extractor()):
         assert extracted(spark, broken, e)["failure"] == "missing_location"
+
+
+def test_parser_decodes_references_as_the_native_columns_do(spark):
+    rule = H.FieldRule("v", "p")
+    for text in ["a &amp; b", "end &amp", "&notit; &copy;", "&#233;&#0;&#xe9;", "a && b", "&amp;lt;", "&nosuch;"]:
+        page = f"<p>{text}</p>"
+        parsed = read_fields(page, [rule])[0]["v"]
+        assert parsed == one(spark, page, lambda h: H.fields(h, [rule]))["v"], text
+    assert read_fields("<script>a && '&amp;'</script>", [H.FieldRule("v", "script")])[0]["v"] == "a && '&amp;'"
