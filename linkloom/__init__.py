@@ -9,6 +9,13 @@ The usual entry points:
 * ``linkloom.streaming``           the same upkeep as Structured Streaming jobs
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 from linkloom.registry import Handler, Registry, Source
 
 __all__ = ["Handler", "Registry", "Source"]
+
+# Executors need not have this package: the small functions of the pandas extractors travel whole.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
