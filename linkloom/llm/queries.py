@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import packing, token_files
+from linkloom.llm import packing, simhash, token_files, toxicity
 from linkloom.llm.common import table
 from linkloom.session import fresh_path
 
@@ -13,6 +13,15 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.groups(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
+    return rows.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), max_rows=6_000)
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "llm-token-files")
     token_files.write(table(spark, sf_dir, "documents"), path)
@@ -21,6 +30,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op4_simhash": op4_simhash,
+    "op9_toxicity": op9_toxicity,
     "op10_token_files": op10_token_files,
 }
 ORACLES: dict[str, str] = {}

@@ -36,7 +36,7 @@ def vocabulary_text(path: str | None = None) -> str:
 class Encoder:
     """Encodes Arrow string arrays. Holds the ids of words met lately: ``keep`` and those of one slice at most."""
 
-    def __init__(self, vocabulary: str, keep: int = 600_000, slice_bytes: int = 24 << 20):
+    def __init__(self, vocabulary: str, keep: int = 500_000, slice_bytes: int = 6 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
