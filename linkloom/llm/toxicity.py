@@ -121,10 +121,10 @@ def fit_rows(grams: list[np.ndarray], toxic: np.ndarray, epochs: int, batch: int
 
 def score(text: Column, model: Model, docs: DataFrame) -> Column:
     """The probability that a text is toxic. The model's size is fixed (2 x 2 MB), so it is broadcast."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.squares, model.bias))
 
     def run(texts: pd.Series) -> pd.Series:
-        own = shared.value
+        own = Model(*shared.value)
         return texts.map(lambda t: own.score(t if isinstance(t, str) else None)).astype("float64")
 
     return F.pandas_udf(run, "double")(text)
