@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from linkloom.llm import packing, simhash, token_files, toxicity
+from linkloom.llm import fingerprints, mixing, packing, sharding, simhash, token_files, toxicity
 from linkloom.llm.common import table
 from linkloom.session import fresh_path
 
@@ -18,6 +19,27 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.drawn(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id",
+        F.col("_source").alias("source"),
+        F.col("_lang").alias("lang"),
+        F.col("_topic").alias("topic"),
+        F.col("_tokens").alias("n_tokens"),
+        F.round("_probability", 6).alias("probability"),
+        F.col("_kept").alias("kept"),
+    )
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"), sharding.even_tree(2, 4, 5))
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), max_rows=6_000)
 
@@ -31,7 +53,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op4_simhash": op4_simhash,
+    "op5_mixing": op5_mixing,
+    "op6_sharding": op6_sharding,
+    "op7_fingerprints": op7_fingerprints,
     "op9_toxicity": op9_toxicity,
     "op10_token_files": op10_token_files,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_mixing": mixing.oracle(),
+}
