@@ -1,26 +1,50 @@
-"""A corpus pipeline over ``documents``: each stage is one operator of ``linkloom.llm``."""
+"""A corpus pipeline over ``documents``: each stage is one operator of ``linkloom.llm``.
+
+Every stage gets what the one before it kept, written as Parquet and read again; all but the last
+return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import packing
+from linkloom.llm import mixing, packing, simhash, toxicity
 from linkloom.llm.common import table, written
 
+# The classifier and the 64-bit hashes have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on ``labels``, does not call toxic."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"), max_rows=6_000)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of fingerprints linked by 4 bits or fewer."""
+    return simhash.keep_one(docs, shingle=4, max_bits=4)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents sampled by probabilities that bring sources, languages and topics to their target weights."""
+    return mixing.sample(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents left, with their sequences."""
     return packing.pack(docs)
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash near-dedup", drop_near_copies),
+    ("mixing", mix),
     ("packing", pack),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows for the whole ``documents`` table."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
