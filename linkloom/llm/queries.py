@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import fingerprints, licenses, mixing, packing, sharding, simhash, token_files, toxicity
+from linkloom.llm import fingerprints, licenses, mixing, packing, pivots, sharding, simhash, token_files, toxicity
 from linkloom.llm.common import table
 from linkloom.session import fresh_path
 
@@ -18,6 +18,10 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9, n_pivots=256, nearest=7, shared=2)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.groups(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
     return rows.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
@@ -57,6 +61,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_licenses": op2_licenses,
+    "op3_pivots": op3_pivots,
     "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
     "op6_sharding": op6_sharding,
