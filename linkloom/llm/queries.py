@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import fingerprints, licenses, mixing, packing, pivots, sharding, simhash, token_files, toxicity
+from linkloom.llm import fingerprints, licenses, lm, mixing, packing, pivots, sharding, simhash, token_files, toxicity
 from linkloom.llm.common import table
 from linkloom.session import fresh_path
 
@@ -48,6 +48,10 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared(table(spark, sf_dir, "documents"))
 
 
+def op8_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents"), burn_in=1, samples=2)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), max_rows=6_000)
 
@@ -66,6 +70,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_sharding": op6_sharding,
     "op7_fingerprints": op7_fingerprints,
+    "op8_pitman_yor": op8_pitman_yor,
     "op9_toxicity": op9_toxicity,
     "op10_token_files": op10_token_files,
 }
