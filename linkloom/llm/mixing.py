@@ -43,15 +43,14 @@ def topic(text: Column) -> Column:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_source, _lang, _topic`` and ``_tokens``."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumns(
-        {
-            "_source": F.coalesce(F.col("source").cast("string"), F.lit("")),
-            "_lang": F.coalesce(F.col("lang").cast("string"), F.lit("")),
-            "_topic": topic(text),
-            "_tokens": F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long"),
-        }
+    """``_doc`` (the row as it came), ``_source, _lang, _topic`` and ``_tokens``."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(
+        F.struct("*").alias("_doc"),
+        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_source"),
+        F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("_lang"),
+        topic(text).alias("_topic"),
+        F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("_tokens"),
     )
 
 
@@ -98,18 +97,18 @@ def draw(doc_id: Column, seed: int = SEED) -> Column:
 
 
 def drawn(docs: DataFrame, keep: float = KEEP, temper: float = TEMPER, rounds: int = ROUNDS, seed: int = SEED, shares: dict | None = None) -> DataFrame:
-    """``docs`` with ``_source, _lang, _topic, _tokens, _probability, _draw, _kept``."""
+    """``_doc, _source, _lang, _topic, _tokens, _probability, _draw, _kept`` per row."""
     fitted = rake(written(cells(docs), "mix-cells"), keep, temper, rounds, shares)
     keys = [f"_{d}" for d in DIMENSIONS]
     chance = F.when(F.col("observed") > 0, F.col("fitted") / F.col("observed")).otherwise(1.0)
     known = fitted.select(*keys, chance.alias("_probability"))
-    met = described(docs).join(known, keys).withColumn("_draw", draw(F.col("doc_id"), seed))
+    met = described(docs).join(known, keys).withColumn("_draw", draw(F.col("_doc.doc_id"), seed))
     return met.withColumn("_kept", F.col("_draw") < F.col("_probability"))
 
 
 def sample(docs: DataFrame, **parameters) -> DataFrame:
     """The kept rows of ``docs``, with its own columns."""
-    return drawn(docs, **parameters).where("_kept").select(*docs.columns)
+    return drawn(docs, **parameters).where("_kept").select("_doc.*")
 
 
 def oracle(keep: float = KEEP, temper: float = TEMPER, rounds: int = ROUNDS, seed: int = SEED) -> str:

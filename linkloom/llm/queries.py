@@ -30,7 +30,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.drawn(table(spark, sf_dir, "documents"))
     return rows.select(
-        "doc_id",
+        "_doc.doc_id",
         F.col("_source").alias("source"),
         F.col("_lang").alias("lang"),
         F.col("_topic").alias("topic"),

@@ -218,5 +218,5 @@ def keep_one(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """
     leaders = groups(docs, shingle, max_bits).where("doc_id = component_id").select(F.col("doc_id").alias("_leader")).distinct()
     named = docs.where(F.col("doc_id").isNotNull())
-    kept = named.join(leaders, F.col("doc_id") == F.col("_leader"), "left_semi").dropDuplicates(["doc_id"])
+    kept = named.join(leaders, named["doc_id"] == leaders["_leader"], "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where(F.col("doc_id").isNull()))

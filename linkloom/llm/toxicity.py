@@ -140,4 +140,4 @@ def scored(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, mod: int =
 def drop_toxic(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000) -> DataFrame:
     """``docs`` without the rows the model calls toxic. The score alone decides."""
     model = fit(docs, labels, max_rows)
-    return docs.withColumn("_toxicity", score(F.col("text"), model, docs)).where("_toxicity < 0.5").drop("_toxicity")
+    return docs.where(score(F.col("text"), model, docs) < 0.5)
