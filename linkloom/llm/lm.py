@@ -40,9 +40,10 @@ DISCOUNT, STRENGTH = 0.85, 75.0  # of the documents
 ROOT_STRENGTH = 1.0  # of the corpus; its discount is estimated from words with one and two tables
 SLICE_BYTES, CHUNK = 16 << 20, 1_000_000
 POSTINGS = (
-    "word binary, trained long, single long, multi_ns array<int>, multi_us array<int>, "
-    "rows array<long>, ns array<int>, us array<int>, doc_id long, held_out boolean"
+    "word binary, trained long, single long, base long, once array<int>, many array<int>, learned int, ns array<int>, "
+    "us array<int>, doc_id long, held_out boolean"
 )
+NAMES = [c.split()[0] for c in POSTINGS.split(", ")]
 
 
 def seat(rng: np.random.Generator, customers: np.ndarray, opening: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray]:
@@ -72,12 +73,19 @@ def seat(rng: np.random.Generator, customers: np.ndarray, opening: np.ndarray, d
 
 
 def postings(docs: DataFrame, held_mod: int = HELD_MOD, held_at: int = HELD_AT) -> DataFrame:
-    """Rows of words (``word`` and its lists) and rows of documents (``rows`` of one, ``ns`` its tokens, ``doc_id``)."""
+    """Rows of words and of documents.
+
+    A word's row lists, as offsets from row number ``base``, the documents that have it ``once`` and those
+    that have it ``many`` times, with their counts ``ns`` and distinct words ``us``; the first ``learned`` of
+    these are training documents. ``trained`` counts its training tokens, ``single`` the training documents
+    that have it once. A document's row has no word; ``base`` is its number and ``trained`` its tokens.
+    """
 
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id")
-            held = np.fromiter((zlib.crc32(str(i).encode()) % held_mod == held_at for i in _texts(ids)), bool, len(ids))
+            text_ids = ("null" if i is None else str(i) for i in ids.to_pylist())
+            held = np.fromiter((zlib.crc32(i.encode()) % held_mod == held_at for i in text_ids), bool, len(ids))
             numbers = batch.column("row").to_numpy()
             texts = pc.fill_null(batch.column("text"), "")
             sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -94,75 +102,58 @@ def postings(docs: DataFrame, held_mod: int = HELD_MOD, held_at: int = HELD_AT)
     return narrow.mapInArrow(run, POSTINGS)
 
 
-NAMES = [c.split()[0] for c in POSTINGS.split(", ")]
-
-
-def _texts(ids: pa.Array):
-    return ("null" if i is None else i for i in ids.to_pylist())
-
-
 def _slice(texts: pa.Array, numbers: np.ndarray, held: np.ndarray, ids: pa.Array):
+    size = len(texts)
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
-    bounds = lists.offsets.to_numpy().astype(np.int64)
     flat = lists.flatten()
-    doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    doc = np.repeat(np.arange(size), np.diff(lists.offsets.to_numpy().astype(np.int64)))
     real = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # white space at either end leaves empty words
     coded = flat.dictionary_encode()
+    words = coded.dictionary.cast(pa.binary())
     codes, doc = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)[real], doc[real]
-    pair, ns = np.unique(codes * len(texts) + doc, return_counts=True)
-    code, at = pair // len(texts), pair % len(texts)
-    starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.empty(0, np.int64)
-    distinct = np.bincount(at, minlength=len(texts)) + 1
-    learned = ~held[at]
-    trained = np.add.reduceat(ns * learned, starts) if len(starts) else np.empty(0, np.int64)
-    single = np.add.reduceat((ns == 1) & learned, starts, dtype=np.int64) if len(starts) else np.empty(0, np.int64)
-    multi = (ns > 1) & learned
-    multi_sizes = np.add.reduceat(multi, starts, dtype=np.int64) if len(starts) else np.empty(0, np.int64)
-    # The end token stands for the empty word: once in each document.
-    words = pa.concat_arrays([coded.dictionary.cast(pa.binary()).take(pa.array(code[starts])), pa.array([b""], pa.binary())])
-    rows = np.concatenate([numbers[at], numbers])
-    counts = np.concatenate([ns, np.ones(len(texts), np.int64)]).astype(np.int32)
-    edges = pa.array(np.concatenate([starts, [len(code), len(rows)]]).astype(np.int32))
-    n = len(words)
-    multi_edges = pa.array(np.concatenate([[0], np.cumsum(multi_sizes), [multi_sizes.sum()]]).astype(np.int32))
-
-    def listed(edges, values, kind):
-        return pa.ListArray.from_arrays(edges, pa.array(values.astype(kind)))
-
-    yield pa.RecordBatch.from_arrays(
-        [
-            words,
-            pa.array(np.append(trained, int((~held).sum()))),
-            pa.array(np.append(single, int((~held).sum()))),
-            listed(multi_edges, ns[multi], np.int32),
-            listed(multi_edges, distinct[at][multi], np.int32),
-            listed(edges, rows, np.int64),
-            listed(edges, counts, np.int32),
-            listed(edges, np.concatenate([distinct[at], distinct]), np.int32),
-            pa.nulls(n, pa.int64()),
-            pa.nulls(n, pa.bool_()),
-        ],
-        NAMES,
-    )
-    tokens = (np.bincount(doc, minlength=len(texts)) + 1).astype(np.int32)
-    ones = pa.array(np.arange(len(texts) + 1, dtype=np.int32))
-    none = pa.array(np.zeros(len(texts) + 1, np.int32))
-    empty = np.empty(0, np.int32)
-    yield pa.RecordBatch.from_arrays(
-        [
-            pa.nulls(len(texts), pa.binary()),
-            pa.nulls(len(texts), pa.int64()),
-            pa.nulls(len(texts), pa.int64()),
-            listed(none, empty, np.int32),
-            listed(none, empty, np.int32),
-            listed(ones, numbers, np.int64),
-            listed(ones, tokens, np.int32),
-            listed(ones, distinct, np.int32),
-            ids,
-            pa.array(held),
-        ],
-        NAMES,
-    )
+    # The end token stands for the empty word, once in each document.
+    codes = np.concatenate([codes, np.full(size, len(words))])
+    words = pa.concat_arrays([words, pa.array([b""], pa.binary())])
+    tokens = np.bincount(doc, minlength=size) + 1
+    doc = np.concatenate([doc, np.arange(size)])
+    # By word, training documents first.
+    order = np.argsort(held, kind="stable")
+    rank = np.empty(size, np.int64)
+    rank[order] = np.arange(size)
+    pair, ns = np.unique(codes * size + rank[doc], return_counts=True)
+    code, at = pair // size, order[pair % size]
+    starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    distinct = np.bincount(at, minlength=size)
+    learned, one = ~held[at], ns == 1
+
+    def summed(values):
+        return np.add.reduceat(values, starts, dtype=np.int64)
+
+    def listed(values, which):
+        edges = np.concatenate([[0], np.cumsum(summed(which))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(edges), pa.array(values[which].astype(np.int32)))
+
+    offset, many = numbers[at] - numbers[0], ~one
+    n = len(starts)
+    columns = [
+        words.take(pa.array(code[starts])),
+        pa.array(summed(ns * learned)),
+        pa.array(summed(one & learned)),
+        pa.array(np.full(n, numbers[0])),
+        listed(offset, one),
+        listed(offset, many),
+        pa.array(summed(many & learned).astype(np.int32)),
+        listed(ns, many),
+        listed(distinct[at], many),
+        pa.nulls(n, pa.int64()),
+        pa.nulls(n, pa.bool_()),
+    ]
+    yield pa.RecordBatch.from_arrays(columns, NAMES)
+    empty = pa.nulls(size, pa.list_(pa.int32()))
+    nothing = pa.nulls(size, pa.int32())
+    columns = [pa.nulls(size, pa.binary()), pa.array(tokens), pa.nulls(size, pa.int64()), pa.array(numbers)]
+    columns += [empty, empty, nothing, empty, empty, ids, pa.array(held)]
+    yield pa.RecordBatch.from_arrays(columns, NAMES)
 
 
 def _rng(sweep: int) -> np.random.Generator:
@@ -204,14 +195,15 @@ def sweep_documents(by_word: DataFrame, words: DataFrame, sweep: int) -> DataFra
         rng = _rng(sweep)
         for batch in batches:
             if batch.num_rows:
-                sizes = _offsets(batch.column("multi_ns"))
-                n, u = (batch.column(c).flatten().to_numpy().astype(np.int64) for c in ("multi_ns", "multi_us"))
+                sizes = _offsets(batch.column("ns"))
+                n, u = (batch.column(c).flatten().to_numpy().astype(np.int64) for c in ("ns", "us"))
                 p = np.repeat(batch.column("p").to_numpy(), sizes)
                 tables, _ = seat(rng, n, (STRENGTH + DISCOUNT * u) * p, DISCOUNT)
                 got = np.add.reduceat(tables, np.cumsum(sizes) - sizes)
                 yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(got)], ["word", "tables"])
 
-    many = by_word.where(F.size("multi_ns") > 0).select("word", "multi_ns", "multi_us")
+    own = [F.slice(c, F.lit(1), F.col("learned")).alias(c) for c in ("ns", "us")]
+    many = by_word.where("learned > 0").select("word", *own)
     met = many.join(words.select("word", F.col(f"p{sweep - 1}").alias("p")), "word")
     tables = met.mapInArrow(run, "word binary, tables long").groupBy("word").agg(F.sum("tables").alias("tables"))
     return words.join(tables, "word", "left").withColumn("c", F.col("singles") + F.coalesce("tables", F.lit(0))).drop("tables")
@@ -226,34 +218,46 @@ def entries(by_word: DataFrame, words: DataFrame, sweeps: list[int], total: int,
 
         def combined():
             table = pa.Table.from_batches(held)
-            sizes = np.concatenate([_offsets(c) for c in table.column("rows").chunks])
-            row, n, u = (np.concatenate([c.flatten().to_numpy() for c in table.column(x).chunks]).astype(np.int64) for x in ("rows", "ns", "us"))
-            count = np.repeat(table.column("count").to_numpy(), sizes)
+
+            def flat(column):
+                lists = table.column(column).chunks
+                return np.concatenate([c.flatten().to_numpy() for c in lists]).astype(np.int64), np.concatenate(list(map(_offsets, lists)))
+
+            def spread(column, sizes):
+                return np.repeat(table.column(column).to_numpy(), sizes)
+
+            (once, ones), (many, sizes), (n, _), (u, _) = map(flat, ("once", "many", "ns", "us"))
+            row = np.concatenate([once + spread("base", ones), many + spread("base", sizes)])
             every, at = np.unique(row, return_inverse=True)
+            times = np.concatenate([np.ones(len(once), np.int64), n])
+            count = np.concatenate([spread("count", ones), spread("count", sizes)])
 
             def by_row(values):
                 return np.bincount(at, values, len(every))
 
-            out = [every, by_row(np.where(count > 0, n, 0)).astype(np.int64), by_row(n * np.log10((count + 1) / (total + distinct + 1)))]
+            out = [every, by_row(np.where(count > 0, times, 0)).astype(np.int64), by_row(times * np.log10((count + 1) / (total + distinct + 1)))]
             new = STRENGTH + DISCOUNT * u
             for s in sweeps:
-                p = np.repeat(table.column(f"p{s}").to_numpy(), sizes)
+                p = spread(f"p{s}", sizes)
                 tables, norm = seat(rng, n, new * p, DISCOUNT)
-                out += [by_row(np.log(p) + norm - (tables - 1) * np.log(new)), by_row(tables).astype(np.int64)]
+                part = np.log(p) + norm - (tables - 1) * np.log(new)
+                out.append(by_row(np.concatenate([np.log(spread(f"p{s}", ones)), part])).astype(np.float32))
+                out.append(by_row(np.concatenate([np.ones(len(once)), tables])).astype(np.int32))
             return pa.RecordBatch.from_arrays([pa.array(c) for c in out], names)
 
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
-                size += len(batch.column("rows").flatten())
+                size += len(batch.column("once").flatten()) + len(batch.column("many").flatten())
             if size >= CHUNK:
                 yield combined()
                 held, size = [], 0
         if held:
             yield combined()
 
-    met = by_word.select("word", "rows", "ns", "us").join(words.select("word", "count", *[f"p{s}" for s in sweeps]), "word")
-    kinds = ["long", "long", "double", *["double", "long"] * len(sweeps)]
+    lists = by_word.select("word", "base", "once", "many", "ns", "us")
+    met = lists.join(words.select("word", "count", *[f"p{s}" for s in sweeps]), "word")
+    kinds = ["long", "long", "double", *["float", "int"] * len(sweeps)]
     each = met.mapInArrow(run, ", ".join(f"{a} {b}" for a, b in zip(names, kinds)))
     return each.groupBy("row").agg(*[F.sum(c).alias(c) for c in names[1:]])
 
@@ -272,20 +276,19 @@ def scores(docs: DataFrame, burn_in: int = 1, samples: int = 2, held_mod: int =
     by_word = listed.where("word is not null")
     words = written(
         by_word.groupBy("word").agg(
-            F.sum("trained").alias("count"), F.sum("single").alias("singles"), F.sum(F.size("multi_ns")).cast("long").alias("multis")
+            F.sum("trained").alias("count"), F.sum("single").alias("singles"), F.sum("learned").alias("multis")
         ),
         "lm-words",
     )
     total, distinct = words.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count_if(F.col("count") > 0)).first()
     # The first parent has one table per word and document.
     words = with_parent(words.select("word", "count", "singles", (F.col("singles") + F.col("multis")).alias("c")), 0)
-    for sweep in range(1, burn_in + samples + 1):
-        words = with_parent(sweep_documents(by_word, words, sweep), sweep)
     sweeps = list(range(burn_in + 1, burn_in + samples + 1))
+    for sweep in range(1, burn_in + samples + 1):
+        again = sweep_documents(by_word, words, sweep)
+        words = with_parent(again if sweep - 1 in sweeps else again.drop(f"p{sweep - 1}"), sweep)
     sums = entries(by_word, words, sweeps, total, distinct)
-    rows = listed.where("word is null").select(
-        F.col("rows")[0].alias("row"), "doc_id", "held_out", F.col("ns")[0].cast("long").alias("n_tokens")
-    )
+    rows = listed.where("word is null").select(F.col("base").alias("row"), "doc_id", "held_out", F.col("trained").alias("n_tokens"))
     met = rows.join(sums, "row")
     ratio = STRENGTH / DISCOUNT
     logs = []

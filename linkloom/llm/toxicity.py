@@ -75,7 +75,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int, mod: int =
     return met.groupBy("_doc", "toxic").agg(F.min("text").alias("text")).withColumnRenamed("_doc", "doc_id")
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, epochs: int = 12, mod: int = HELD_OUT_MOD) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, steps: int = 300, mod: int = HELD_OUT_MOD) -> Model:
     def features(batches):
         for batch in batches:
             rows = [ngrams(t.as_py()).tobytes() for t in batch.column("text")]
@@ -83,10 +83,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, epochs: int =
 
     rows = training_rows(docs, labels, max_rows, mod).select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
     got = rows.mapInArrow(features, "doc_id long, toxic int, grams binary").toArrow().sort_by("doc_id")
-    return fit_rows([np.frombuffer(g.as_py(), np.int32) for g in got.column("grams")], got.column("toxic").to_numpy(), epochs)
+    return fit_rows([np.frombuffer(g.as_py(), np.int32) for g in got.column("grams")], got.column("toxic").to_numpy(), steps)
 
 
-def fit_rows(grams: list[np.ndarray], toxic: np.ndarray, epochs: int, batch: int = 256, rate: float = 0.05, decay: float = 1e-5) -> Model:
+def fit_rows(grams: list[np.ndarray], toxic: np.ndarray, steps: int, batch: int = 256, rate: float = 0.05, decay: float = 1e-5) -> Model:
     size = 1 << BITS
     truth = (toxic > 0).astype(np.float64)
     n, n_toxic = len(truth), int(truth.sum())
@@ -101,8 +101,9 @@ def fit_rows(grams: list[np.ndarray], toxic: np.ndarray, epochs: int, batch: int
     weights, bias = np.zeros(size), 0.0
     mean, square, mean_b, square_b, step = np.zeros(size), np.zeros(size), 0.0, 0.0, 0
     order = np.random.default_rng(7)
-    for _ in range(epochs):
-        for rows in np.array_split(order.permutation(n), max(1, n // batch)):
+    batches = max(1, n // batch)
+    for _ in range(-(-steps // batches)):
+        for rows in np.array_split(order.permutation(n), batches):
             at = np.concatenate([grams[i] for i in rows])
             each = np.array([len(grams[i]) for i in rows])
             owner = np.repeat(np.arange(len(rows)), each)
