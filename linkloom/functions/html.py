@@ -19,7 +19,6 @@ from linkloom.functions.urls import quoted
 # --- fixed values ------------------------------------------------------------------------
 # Patterns that run over a whole page start with their "<", so a scan leaves every other
 # character after one comparison.
-COMMENT = r"(?s)<!--.*?-->"
 COMMENT_OR_RAW_TEXT = r"(?is)<(?:!--.*?-->|(?:script|style)\b[^>]*>.*?</(?:script|style)\s*>)"
 COMMENT_OR_TAG = r"(?s)<(?:!--.*?-->|/?[a-zA-Z!][^>]*>)"
 TAG = r"(?s)</?[a-zA-Z!][^>]*>"
@@ -29,6 +28,15 @@ BODY_END = r"(?i)</body\s*>"
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
 ANCHOR_HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 TITLE_DEFAULT = "Title Not Found"
+# What follows a tag's name: attributes, whose quoted values may hold ">".
+TAG_REST = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+# Elements that end an open paragraph, as they start or end.
+BLOCKS = (
+    "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
+    "header hr main menu nav ol p pre section table ul"
+).split()
+# Elements that only end.
+ENCLOSING = "body dd dt html li tbody td tfoot th thead tr".split()
 # -----------------------------------------------------------------------------------------
 
 # "name character" lines of the standard entity table; one foldable literal in the plan.
@@ -65,10 +73,6 @@ def decode_entities(text: Column) -> Column:
     return F.array_join(F.call_function("transform", F.split(text, "&"), F.expr(_DECODE_PIECE)), "")
 
 
-def drop_comments(html: Column) -> Column:
-    return F.regexp_replace(html, COMMENT, "")
-
-
 def markup_only(html: Column) -> Column:
     """HTML without comments and without script/style contents: what can hold real tags."""
     return F.regexp_replace(html, COMMENT_OR_RAW_TEXT, "")
@@ -81,7 +85,7 @@ def strip_tags(html: Column) -> Column:
 def title_text(html: Column) -> Column:
     """First head title, entities decoded; NULL when there is none or it is empty."""
     head = F.regexp_extract(html, HEAD_PART, 1)
-    title = F.regexp_extract(drop_comments(head), TITLE, 1)
+    title = F.regexp_extract(markup_only(head), TITLE, 1)
     return let(title, lambda t: F.when(t != "", decode_entities(t)))
 
 
@@ -109,18 +113,6 @@ def unquote(token: Column) -> Column:
     return F.when(token.contains("&"), decode_entities(plain)).otherwise(plain)
 
 
-def region_pattern(
-    tag: str, attr: str | None = None, value: str | None = None, match: str = "equals", open_end: bool = False
-) -> str:
-    """Pattern whose group 1 is the inside of ``<tag attr="value">``, up to its first end tag.
-
-    ``open_end`` lets it run to the end of the text instead: a scope cut short by the end tag of
-    an inner element still holds that element.
-    """
-    end = rf"(?:</{tag}\s*>|\z)" if open_end else rf"</{tag}\s*>"
-    return rf"(?is)<{tag}\b{_where(attr, value, match)}[^>]*>(.*?){end}"
-
-
 def _where(attr: str | None, value: str | None, match: str) -> str:
     if attr is None:
         return ""
@@ -135,16 +127,69 @@ def _where(attr: str | None, value: str | None, match: str) -> str:
     return rf"[^>]*?\s{attr}\s*=\s*[\"']{inside}[\"']"
 
 
+def _spans(tag: str) -> tuple[str, str]:
+    """Spark SQL for an array ``ps`` of pieces that each start with a tag: the pieces' pattern, and per piece the depth after it.
+
+    An element runs to the first later piece whose depth is below its own. End tags without a start
+    are passed over; without an end, an element runs to the end of the text. A list item ends at the next
+    item of its list and at the list's end; elements of other lists inside it are its own.
+    """
+    up = quoted(rf"(?is)\A<{tag}[\s/>]")
+    down = quoted(rf"(?is)\A</{tag}\s*>")
+    if tag.lower() != "li":
+        return rf"(?i)(?=</?{tag}[\s/>])", f"CASE WHEN p RLIKE {up} THEN d + 1 WHEN p RLIKE {down} THEN greatest(d - 1, 0) ELSE d END"
+    # Depth 2 n + 1 is within an item of the n-th list, 2 n within that list.
+    ups, downs = quoted(r"(?is)\A<(?:ul|ol|menu)[\s/>]"), quoted(r"(?is)\A</(?:ul|ol|menu)\s*>")
+    return (
+        r"(?i)(?=</?(?:li|ul|ol|menu)[\s/>])",
+        f"CASE WHEN p RLIKE {up} THEN d + 1 - d % 2 WHEN p RLIKE {down} THEN d - d % 2 "
+        f"WHEN p RLIKE {ups} THEN d + 2 - d % 2 WHEN p RLIKE {downs} THEN greatest(d - d % 2 - 2 + (CASE WHEN d >= 3 THEN 1 ELSE 0 END), 0) ELSE d END",
+    )
+
+
+def _insides(markup: Column, tag: str, attr: str | None, value: str | None, match: str, outer: bool) -> Column:
+    """Insides of all matching elements of markup without comments and scripts, by their nesting."""
+    opener = quoted(rf"(?is)\A<{tag}(?=[\s/>]){_where(attr, value, match)}{TAG_REST}")
+    if tag.lower() == "p":  # paragraphs do not nest
+        ends = rf"<(?:{'|'.join(BLOCKS)})[\s/>]|</(?:{'|'.join(BLOCKS + ENCLOSING)})\s*>"
+        found = rf"(?is)<p(?=[\s/>]){_where(attr, value, match)}{TAG_REST}(.*?)(?={ends}|\z)"
+        return F.regexp_extract_all(markup, F.lit(found), F.lit(1))
+    cut, depth = _spans(tag)
+    first = quoted(rf"(?is)\A<{tag}(?=[\s/>]){TAG_REST}")
+    spans = f"""
+transform(filter(sequence(0, size(x.ps) - 1), k -> get(x.ps, k) RLIKE {opener}), k -> struct(k AS k,
+  coalesce(array_min(filter(sequence(k, size(x.ps)), j -> j > k AND (get(x.ds, j) < get(x.ds, k)
+    {"OR (get(x.ds, j) = get(x.ds, k) AND get(x.ps, j) RLIKE " + quoted(r"(?is)\A<li[\s/>]") + ")" if tag.lower() == "li" else ""}))), size(x.ps)) AS e))"""
+    if outer:
+        spans = f"""aggregate({spans}, struct(0 AS e, cast(array() AS array<struct<k: int, e: int>>) AS a),
+  (s, y) -> CASE WHEN y.k < s.e THEN s ELSE struct(y.e AS e, array_append(s.a, y) AS a) END, s -> s.a)"""
+    return _cut(markup, cut, depth, spans, first)
+
+
+def _cut(markup: Column, cut: str, depth: str, spans: str, first: str) -> Column:
+    """The text of the pieces of each span, without the opening tag."""
+    depths = f"""aggregate(ps, struct(0 AS d, cast(array() AS array<int>) AS a),
+  (s, p) -> transform(transform(array(s.d), d -> {depth}), n -> struct(n AS d, array_append(s.a, n) AS a))[0], s -> s.a)"""
+    return F.call_function(
+        "flatten",
+        F.call_function(
+            "transform",
+            F.array(F.split(markup, cut)),
+            F.expr(f"""ps -> flatten(transform(array(struct(ps AS ps, {depths} AS ds)), x -> transform({spans},
+  y -> regexp_replace(array_join(slice(x.ps, y.k + 1, y.e - y.k), ''), {first}, ''))))"""),
+        ),
+    )
+
+
 def regions(html: Column, tag: str, attr: str | None = None, value: str | None = None, match: str = "equals") -> Column:
-    """Insides of all matching elements, in document order."""
-    return F.regexp_extract_all(markup_only(html), F.lit(region_pattern(tag, attr, value, match)), F.lit(1))
+    """Insides of all matching elements, in document order; an element ends at its own end tag."""
+    return _insides(markup_only(html), tag, attr, value, match, outer=False)
 
 
 def scoped_anchor_tokens(html: Column, tag: str, attr: str | None = None, value: str | None = None) -> Column:
-    """Raw href values of anchors inside the matching elements only."""
-    return F.flatten(
-        F.transform(regions(html, tag, attr, value), lambda r: F.regexp_extract_all(r, F.lit(ANCHOR_HREF), F.lit(1)))
-    )
+    """Raw href values of anchors inside the matching elements only, each once."""
+    outer = _insides(markup_only(html), tag, attr, value, "equals", outer=True)
+    return F.flatten(F.transform(outer, lambda r: F.regexp_extract_all(r, F.lit(ANCHOR_HREF), F.lit(1))))
 
 
 @dataclass(frozen=True)
@@ -158,8 +203,9 @@ class FieldRule:
     value, contains it, or has it among its blank-separated tokens. ``inside`` narrows the search
     to another rule's elements, to their direct children if ``child`` is set.
     ``text``: ``all`` text of the element, its ``own`` text nodes, those of its descendants
-    (``below``), or its ``only`` text (NULL if it has several children). The native columns tell
-    ``own`` from the rest by the first tag inside; the parser tells all four apart.
+    (``below``), or its ``only`` text (NULL if it has several children). Native columns and parser
+    agree on which elements there are and on ``all``; the native columns read ``own`` up to the first
+    tag inside, and only the parser tells all four apart.
     """
 
     name: str
@@ -175,9 +221,6 @@ class FieldRule:
     trim: bool = True
     dash_clean: bool = False
 
-    def pattern(self, open_end: bool = False) -> str:
-        return region_pattern(self.tag, self.attr_name, self.attr_value, self.match, open_end)
-
 
 def trim_space(text: Column) -> Column:
     """Trims every white-space character, not only blanks."""
@@ -189,10 +232,15 @@ def dash_clean(day: Column) -> Column:
     return let(day, lambda d: F.when(d.endswith("-"), trim_space(F.rtrim(d, F.lit("-")))).otherwise(d))
 
 
-def _scope(markup: Column, rule: FieldRule) -> Column:
+def _found(markup: Column, rule: FieldRule, outer: bool = False) -> Column:
+    """Insides of the rule's elements, within those of the rule it stands inside of."""
+
+    def own(text: Column) -> Column:
+        return _insides(text, rule.tag, rule.attr_name, rule.attr_value, rule.match, outer)
+
     if rule.inside is None:
-        return markup
-    return F.regexp_extract(_scope(markup, rule.inside), rule.inside.pattern(open_end=True), 1)
+        return own(markup)
+    return F.flatten(F.transform(_found(markup, rule.inside, outer=True), own))
 
 
 def _region_text(inner: Column, rule: FieldRule) -> Column:
@@ -203,22 +251,22 @@ def _region_text(inner: Column, rule: FieldRule) -> Column:
 
 def _field(markup: Column, rule: FieldRule) -> Column:
     """A rule over markup without comments and scripts."""
-    scope = _scope(markup, rule)
     if rule.take == "attr":
-        where = rf"(?is)<{rule.tag}\b{_where(rule.attr_name, rule.attr_value, rule.match)}[^>]*>"
-        element = F.regexp_extract(scope, where, 0)
-        token = F.regexp_extract(element, rf"""(?is)\s{rule.attr}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
+        where = rf"(?is)<{rule.tag}(?=[\s/>]){_where(rule.attr_name, rule.attr_value, rule.match)}{TAG_REST}"
+        scopes = F.array(markup) if rule.inside is None else _found(markup, rule.inside, outer=True)
+        elements = F.flatten(F.transform(scopes, lambda s: F.regexp_extract_all(s, F.lit(where), F.lit(0))))
+        value = rf"""(?is)\s{rule.attr}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+        token = F.regexp_extract(F.coalesce(F.get(elements, F.lit(0)), F.lit("")), value, 1)
         return let(token, lambda t: F.when(t != "", unquote(t)))
+    found = _found(markup, rule)
     if rule.take == "join":
-        found = F.regexp_extract_all(scope, F.lit(rule.pattern()), F.lit(1))
         return trim_space(F.array_join(F.transform(found, lambda r: _region_text(r, rule)), "\n"))
     if rule.take == "must":
-        found = F.regexp_extract_all(scope, F.lit(rule.pattern()), F.lit(1))
-        text = _region_text(F.try_element_at(found, F.lit(1)), rule)
+        text = _region_text(F.get(found, F.lit(0)), rule)
         return trim_space(text) if rule.trim else text
     if rule.take != "first":
         raise ValueError(f"unknown take {rule.take!r}")
-    text = trim_space(_region_text(F.regexp_extract(scope, rule.pattern(), 1), rule))
+    text = trim_space(_region_text(F.coalesce(F.get(found, F.lit(0)), F.lit("")), rule))
     return dash_clean(text) if rule.dash_clean else text
 
 

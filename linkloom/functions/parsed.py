@@ -8,11 +8,11 @@ from collections.abc import Iterator
 from html.entities import name2codepoint
 from html.parser import HTMLParser
 
-from linkloom.functions.html import FieldRule
+from linkloom.functions.html import BLOCKS, FieldRule
 
 # --- fixed values: elements without an end tag, and elements that end an open one -------------
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-ENDS_PARAGRAPH = {"div", "dl", "h1", "h2", "h3", "h4", "h5", "h6", "ol", "p", "section", "table", "ul"}
+LISTS = {"menu", "ol", "ul"}
 REFERENCE = re.compile(r"&(?:(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,7});)?")
 BARE = "\ue000"  # stands for an ampersand that starts no reference while the parser runs
 # -----------------------------------------------------------------------------------------------
@@ -72,8 +72,13 @@ class _Tree(HTMLParser):
         self.open = [self.root]
 
     def handle_starttag(self, tag, attrs):
-        if tag in ENDS_PARAGRAPH and self.open[-1].tag == "p" or tag == "li" and self.open[-1].tag == "li":
-            self.open.pop()
+        names = [e.tag for e in self.open]
+        if tag in BLOCKS and "p" in names:
+            del self.open[names.index("p") :]
+        elif tag == "li":  # the open item of the same list, if any
+            since = max((i for i, n in enumerate(names) if n in LISTS), default=0)
+            if "li" in names[since:]:
+                del self.open[since + names[since:].index("li") :]
         e = Element(tag, {k: (v or "").replace(BARE, "&") for k, v in attrs})
         self.open[-1].children.append(e)
         if tag not in VOID:

@@ -43,8 +43,11 @@ def latest_status(updates: DataFrame, link: str = "link", status: str = "status"
 
 
 def update(frontier: DataFrame, statuses: DataFrame) -> DataFrame:
-    """Sets the status of the given links (one row per link); unknown links are ignored."""
-    new = statuses.select("link", F.col("status").alias("_new"))
+    """Sets the status of the given links; unknown links are ignored.
+
+    A link given more than once takes the greatest of its statuses, so that it stays one row.
+    """
+    new = statuses.groupBy("link").agg(F.max("status").alias("_new"))
     return frontier.join(new, "link", "left").select(
         "link", F.coalesce("_new", "status").alias("status"), "round"
     )

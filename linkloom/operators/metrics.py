@@ -37,7 +37,7 @@ def outcome_timing(samples: DataFrame, outcome: str, elapsed_ms: str, percentile
     Sums are decimal, so the result does not depend on the order of rows. Percentiles come from
     mergeable sketches of bounded size, not from collected groups.
     """
-    ms = F.col(elapsed_ms).cast("decimal(18,3)")
+    ms = F.col(elapsed_ms).cast("decimal(38,17)")
     aggs = [
         F.count(ms).alias("n"),
         F.sum(ms).cast("double").alias("sum_ms"),

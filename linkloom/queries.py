@@ -205,6 +205,19 @@ def scoped_links(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def scoped_links_nested(spark: SparkSession, d: str) -> DataFrame:
+    """The same links, each ``nav`` inside a list item that also holds a list, the outer list left open on odd pages."""
+    inner = F.replace(F.col("html"), F.lit("<nav"), F.lit('<ul class="outer"><li><ul class="inner"><li>x</li></ul><nav'))
+    ended = F.replace(inner, F.lit("</nav>"), F.lit("</nav></li></ul>"))
+    html = F.when(F.col("page_id") % 2 == 0, ended).otherwise(F.regexp_replace(inner, "(?s)</nav>.*", ""))
+    return (
+        _pages(spark, d, "html")
+        .select("page_id", F.posexplode(H.scoped_anchor_tokens(html, "ul", "class", "outer")).alias("pos", "token"))
+        .select("page_id", "pos", H.unquote(F.col("token")).alias("href"))
+    )
+
+
 @query
 def field_rules(spark: SparkSession, d: str) -> DataFrame:
     return _pages(spark, d, "html").select("page_id", H.fields(F.col("html"), demo.PAGE_RULES).alias("f")).select(
@@ -215,7 +228,7 @@ def field_rules(spark: SparkSession, d: str) -> DataFrame:
 @query
 def field_rules_parsed(spark: SparkSession, d: str) -> DataFrame:
     """Flat fields of every page through the tag parser instead of native columns."""
-    rules = [r for r in demo.PAGE_RULES if r.name in ("heading", "footer", "title", "charset")]
+    rules = [r for r in demo.PAGE_RULES if r.name in ("heading", "footer", "title", "paragraphs", "charset")]
     extractor = parsed_extractor(rules, lambda url, fields: {"url": url, **fields})
     pages = _pages(spark, d).withColumn("handler", F.lit("parsed"))
     got = with_extraction(pages, [("parsed", extractor)], "handler", "html", "url", F.lit(True))

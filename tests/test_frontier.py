@@ -73,3 +73,8 @@ def test_timing_percentiles_stay_within_their_rank(spark):
     row = metrics.outcome_timing(samples, "outcome", "ms", percentiles=(0.5, 0.95)).first()
     assert row["n"] == 100_000 and row["mean_ms"] == 50_000.5
     assert abs(row["p50_ms"] - 50_000) <= 20 and abs(row["p95_ms"] - 95_000) <= 20
+
+
+def test_update_with_a_repeated_link_keeps_one_row(spark):
+    got = fr.update(table(spark, BASE), spark.createDataFrame([("a", "failed"), ("a", "completed")], "link STRING, status STRING"))
+    assert state(got)["a"] == ("failed", 0)

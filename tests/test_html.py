@@ -126,3 +126,22 @@ def test_parser_decodes_references_as_the_native_columns_do(spark):
         parsed = read_fields(page, [rule])[0]["v"]
         assert parsed == one(spark, page, lambda h: H.fields(h, [rule]))["v"], text
     assert read_fields("<script>a && '&amp;'</script>", [H.FieldRule("v", "script")])[0]["v"] == "a && '&amp;'"
+
+
+def test_regions_follow_nesting(spark):
+    def inside(page, *rule):
+        return one(spark, page, lambda html: H.regions(html, *rule))
+
+    outer = '<ul class="t"><li><a href="/1">a</a><ul><li><a href="/2">b</a></li></ul></li><li><a href="/3">c</a></ul><a href="/4">'
+    assert inside(outer, "ul", "class", "t") == [outer[len('<ul class="t">') : -len('</ul><a href="/4">')]]
+    assert one(spark, outer, lambda html: H.scoped_anchor_tokens(html, "ul", "class", "t")) == ['"/1"', '"/2"', '"/3"']
+    assert inside('<ul class="t"><li><a href="/1">a</a>', "ul", "class", "t") == ['<li><a href="/1">a</a>']
+    assert inside("<div>a<div>b</div>c</div></div><div>d", "div") == ["a<div>b</div>c", "b", "d"]
+    assert inside("<ul><li>a<ul><li>b<li>c</ul>d<li>e</ul>f<ol><li>g</li>h</ol>", "li") == ["a<ul><li>b<li>c</ul>d", "b", "c", "e", "g"]
+    assert inside('<p>a<p>b</p>x<P id="1>2">c<b>d<p>e<div>f</div>g<p>h</section>i', "p") == ["a", "b", "c<b>d", "e", "h"]
+    assert inside("no tags", "p") == inside("", "li") == inside("<pre>a</pre>", "p") == []
+
+
+def test_script_text_is_no_title(spark):
+    page = "<head><script>var x = '<title>no</title>';</script><title>Yes</title></head><body></body>"
+    assert one(spark, page, H.title_text) == "Yes"
