@@ -64,15 +64,14 @@ def targets(observed: DataFrame, dimension: str, keep: float, temper: float, sha
     """``_<dimension>, target``: tokens wanted. A value weighs its given share, else its observed share to the power ``temper``."""
     key = f"_{dimension}"
     margin = observed.groupBy(key).agg(F.sum("observed").alias("_margin"))
-    whole = observed.agg(F.sum("observed").alias("_whole"))
-    weight = F.pow(F.col("_margin") / F.col("_whole"), F.lit(float(temper)))
+    whole = observed.agg(F.sum("observed")).first()[0]
+    weight = F.pow(F.col("_margin") / F.lit(whole), F.lit(float(temper)))
     if shares:
         given = F.create_map(*[F.lit(x) for kv in shares.items() for x in (kv[0], float(kv[1]))])
         weight = F.coalesce(given[F.col(key)], weight)
-    weighed = margin.crossJoin(F.broadcast(whole)).select(key, weight.alias("_weight"), "_whole")  # whole is one row
-    total = weighed.agg(F.sum("_weight").alias("_total"))
-    target = F.lit(float(keep)) * F.col("_whole") * F.col("_weight") / F.col("_total")
-    return weighed.crossJoin(F.broadcast(total)).select(key, target.alias("target"))  # total is one row
+    weighed = margin.select(key, weight.alias("_weight"))
+    total = weighed.agg(F.sum("_weight")).first()[0]
+    return weighed.select(key, (F.lit(float(keep)) * F.lit(whole) * F.col("_weight") / F.lit(total)).alias("target"))
 
 
 def rake(observed: DataFrame, keep: float = KEEP, temper: float = TEMPER, rounds: int = ROUNDS, shares: dict | None = None) -> DataFrame:
@@ -85,8 +84,8 @@ def rake(observed: DataFrame, keep: float = KEEP, temper: float = TEMPER, rounds
             factor = fitted.groupBy(key).agg(F.sum("fitted").alias("_now")).join(wanted[d], key).select(
                 key, F.when(F.col("_now") > 0, F.col("target") / F.col("_now")).otherwise(1.0).alias("_factor")
             )
-            fitted = fitted.join(factor, key).withColumn("fitted", F.least("observed", F.col("fitted") * F.col("_factor"))).drop("_factor")
-        fitted = written(fitted, "mix-round")
+            raked = fitted.join(factor, key).withColumn("fitted", F.least("observed", F.col("fitted") * F.col("_factor")))
+            fitted = written(raked.drop("_factor"), "mix-round")  # else each step would double the plan
     return fitted
 
 

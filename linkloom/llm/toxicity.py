@@ -82,8 +82,20 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, steps: int =
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(rows)], ["doc_id", "toxic", "grams"])
 
     rows = training_rows(docs, labels, max_rows, mod).select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
-    got = rows.mapInArrow(features, "doc_id long, toxic int, grams binary").toArrow().sort_by("doc_id")
-    return fit_rows([np.frombuffer(g.as_py(), np.int32) for g in got.column("grams")], got.column("toxic").to_numpy(), steps)
+    got = rows.mapInArrow(features, "doc_id long, toxic int, grams binary").toArrow()
+    order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
+    grams = [g for chunk in got.column("grams").chunks for g in _views(chunk)]
+    model = fit_rows([grams[i] for i in order], got.column("toxic").to_numpy()[order], steps)
+    del got, grams
+    pa.default_memory_pool().release_unused()
+    return model
+
+
+def _views(chunk: pa.BinaryArray) -> list[np.ndarray]:
+    """Each value as feature numbers, without a copy."""
+    offsets = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1] // 4
+    data = np.frombuffer(chunk.buffers()[2] or b"", np.int32)
+    return [data[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
 
 
 def fit_rows(grams: list[np.ndarray], toxic: np.ndarray, steps: int, batch: int = 256, rate: float = 0.05, decay: float = 1e-5) -> Model:
