@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import written
+from linkloom.llm.common import small_batches, written
 from linkloom.llm.tokens import little_endian, task_encoder, vocabulary_text
 
 CAPACITY = 1024
@@ -113,7 +113,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, group_rows: int = 50_000) -> DataFrame:
     """Every piece with its sequence and place there. Sequence ids are unique, not gapless."""
-    cut = written(pieces(docs, capacity, vocabulary), "pieces")
+    with small_batches(docs.sparkSession):
+        cut = written(pieces(docs, capacity, vocabulary), "pieces")
     rests = cut.where(F.col("length") < capacity)
     groups = max(1, -(-rests.count() // group_rows))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm import fingerprints, licenses, lm, mixing, packing, pivots, sharding, simhash, token_files, toxicity
-from linkloom.llm.common import table
+from linkloom.llm.common import small_batches, table, written
 from linkloom.session import fresh_path
 
 
@@ -59,7 +59,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "llm-token-files")
     token_files.write(table(spark, sf_dir, "documents"), path)
-    return token_files.checksums(token_files.read(spark, path))
+    with small_batches(spark):
+        return written(token_files.checksums(token_files.read(spark, path)), "token-checksums")
 
 
 QUERIES = {

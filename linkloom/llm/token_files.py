@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkloom.llm.common import small_batches
 from linkloom.llm.tokens import little_endian, task_encoder, vocabulary_text
 
 STORED = "doc_id long, part int, row_start long, n_tokens long, ids array<int>"
@@ -76,7 +77,8 @@ def write(
         "parquet.enable.dictionary": "false",
         "parquet.enable.dictionary#ids.list.element": str(encoding == "dictionary").lower(),
     }
-    ordered.select("doc_id", "text").mapInArrow(encode, STORED).write.options(**options).parquet(path)
+    with small_batches(docs.sparkSession):
+        ordered.select("doc_id", "text").mapInArrow(encode, STORED).write.options(**options).parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -42,6 +42,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = True
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.byte_chars = byte_chars()
         self.keep, self.slice_bytes = keep, slice_bytes
         self.words: dict[str, bytes] = {"": b""}
 
@@ -98,8 +100,14 @@ class Encoder:
         words = self.words
         parts = {k: _parts(k) for k in keys if k not in words}
         missing = [p for p in dict.fromkeys(chain.from_iterable(parts.values())) if p not in words]
-        for p, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-            words[p] = array("i", e.ids).tobytes()
+        # One run of letters is one pre-token: its bytes go to the merges as they are.
+        letters = [p for p in missing if p[p[0] == " " :].isalpha() and max(p) < "ɐ"]
+        for some, coded, tokenizer in (
+            (letters, [p.encode().decode("latin-1").translate(self.byte_chars) for p in letters], self.merges),
+            (others := list(dict.fromkeys(missing).keys() - set(letters)), others, self.tokenizer),
+        ):
+            for p, e in zip(some, tokenizer.encode_batch_fast(coded, add_special_tokens=False)):
+                words[p] = array("i", e.ids).tobytes()
         for k, cut in parts.items():
             if len(cut) > 1:
                 words[k] = b"".join([words[p] for p in cut])
@@ -109,6 +117,13 @@ class Encoder:
         return out
 
 
+def byte_chars() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if printable, else the next from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 def _parts(word: str) -> tuple | list:
     """A word cut where the pre-tokenizer always cuts: at a lone line feed, and between letter and end marks."""
     if "\n" in word:
