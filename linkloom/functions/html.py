@@ -26,7 +26,11 @@ HEAD_PART = r"(?is)\A(.*?)(?:<body\b|\z)"
 BODY_START = r"(?i)<body\b[^>]*>"
 BODY_END = r"(?i)</body\s*>"
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
-ANCHOR_HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+# Attributes one by one up to the first href, whatever the quoted values before it hold.
+ANCHOR_HREF = (
+    r"""(?is)<a(?=[\s/])(?:"[^"]*+"|'[^']*+'|[^"'>\s/]++|[\s/]++(?!href\s*=))*+"""
+    r"""[\s/]++href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+)
 TITLE_DEFAULT = "Title Not Found"
 # What follows a tag's name: attributes, whose quoted values may hold ">".
 TAG_REST = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""

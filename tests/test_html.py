@@ -145,3 +145,9 @@ def test_regions_follow_nesting(spark):
 def test_script_text_is_no_title(spark):
     page = "<head><script>var x = '<title>no</title>';</script><title>Yes</title></head><body></body>"
     assert one(spark, page, H.title_text) == "Yes"
+
+
+def test_anchors_are_read_attribute_by_attribute(spark):
+    page = """<a title="a > b" href="/1"><a title='x href="/bad"' href="/good"><a HREF = /3 class=x><a name="n"><a data-href="/no">
+    <abbr href="/no"><a\nclass='k'\nhref='/4'>"""
+    assert one(spark, page, H.anchor_tokens) == ['"/1"', '"/good"', "/3", "'/4'"]
