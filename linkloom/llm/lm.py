@@ -12,7 +12,7 @@ Perplexity follows from the scores.
 On Spark: one scan turns the texts into postings (word, documents, counts), grouped within a slice of a
 task. A word that stands once in a document has one table there, so a sweep reads only the counts above
 one, joined with the words' probabilities, and returns tables by word. Scoring joins all postings
-with the words and sums by document after combining within the task. Nothing per word or per document
+with the words, yields a row per word of a document, and leaves the sums to a map-side combined aggregation. Nothing per word or per document
 comes to the driver. A word of every document has one row per slice; the skew join splits those.
 
 Large counts are seated in groups: the next sixteenth of the customers already seated shares one opening
@@ -38,7 +38,7 @@ from linkloom.llm.common import written
 HELD_MOD, HELD_AT = 7, 2
 DISCOUNT, STRENGTH = 0.85, 75.0  # of the documents
 ROOT_STRENGTH = 1.0  # of the corpus; its discount is estimated from words with one and two tables
-SLICE_BYTES, CHUNK = 16 << 20, 1_000_000
+SLICE_BYTES, CHUNK = 16 << 20, 200_000
 POSTINGS = (
     "word binary, trained long, single long, base long, once array<int>, many array<int>, learned int, ns array<int>, "
     "us array<int>, doc_id long, held_out boolean"
@@ -228,21 +228,16 @@ def entries(by_word: DataFrame, words: DataFrame, sweeps: list[int], total: int,
 
             (once, ones), (many, sizes), (n, _), (u, _) = map(flat, ("once", "many", "ns", "us"))
             row = np.concatenate([once + spread("base", ones), many + spread("base", sizes)])
-            every, at = np.unique(row, return_inverse=True)
             times = np.concatenate([np.ones(len(once), np.int64), n])
             count = np.concatenate([spread("count", ones), spread("count", sizes)])
-
-            def by_row(values):
-                return np.bincount(at, values, len(every))
-
-            out = [every, by_row(np.where(count > 0, times, 0)).astype(np.int64), by_row(times * np.log10((count + 1) / (total + distinct + 1)))]
+            out = [row, np.where(count > 0, times, 0), times * np.log10((count + 1) / (total + distinct + 1))]
             new = STRENGTH + DISCOUNT * u
             for s in sweeps:
                 p = spread(f"p{s}", sizes)
                 tables, norm = seat(rng, n, new * p, DISCOUNT)
                 part = np.log(p) + norm - (tables - 1) * np.log(new)
-                out.append(by_row(np.concatenate([np.log(spread(f"p{s}", ones)), part])).astype(np.float32))
-                out.append(by_row(np.concatenate([np.ones(len(once)), tables])).astype(np.int32))
+                out.append(np.concatenate([np.log(spread(f"p{s}", ones)), part]))
+                out.append(np.concatenate([np.ones(len(once), np.int32), tables.astype(np.int32)]))
             return pa.RecordBatch.from_arrays([pa.array(c) for c in out], names)
 
         for batch in batches:
@@ -257,7 +252,7 @@ def entries(by_word: DataFrame, words: DataFrame, sweeps: list[int], total: int,
 
     lists = by_word.select("word", "base", "once", "many", "ns", "us")
     met = lists.join(words.select("word", "count", *[f"p{s}" for s in sweeps]), "word")
-    kinds = ["long", "long", "double", *["float", "int"] * len(sweeps)]
+    kinds = ["long", "long", "double", *["double", "int"] * len(sweeps)]
     each = met.mapInArrow(run, ", ".join(f"{a} {b}" for a, b in zip(names, kinds)))
     return each.groupBy("row").agg(*[F.sum(c).alias(c) for c in names[1:]])
 
