@@ -12,8 +12,9 @@ Perplexity follows from the scores.
 On Spark: one scan turns the texts into postings (word, documents, counts), grouped within a slice of a
 task. A word that stands once in a document has one table there, so a sweep reads only the counts above
 one, joined with the words' probabilities, and returns tables by word. Scoring joins all postings
-with the words, yields a row per word of a document, and leaves the sums to a map-side combined aggregation. Nothing per word or per document
-comes to the driver. A word of every document has one row per slice; the skew join splits those.
+with the words, yields a row per word of a document, and leaves the sums to a map-side combined
+aggregation. Nothing per word or per document comes to the driver. A word of every document has one row
+per slice; the skew join splits those.
 
 Large counts are seated in groups: the next sixteenth of the customers already seated shares one opening
 probability, so that a word of a million tokens takes some 190 steps.
