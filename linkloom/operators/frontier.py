@@ -6,17 +6,19 @@ first, so no key can be hot.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from linkloom.session import fresh_path
+
 # --- fixed values ------------------------------------------------------------------------
 WAITING, PROCESSING, COMPLETED, FAILED = "waiting", "processing", "completed", "failed"
 STATUSES = [WAITING, PROCESSING, COMPLETED, FAILED]
 LINKS_SCHEMA = "link STRING, status STRING, round INT"
 # -----------------------------------------------------------------------------------------
 
-# A claim of at most this many links is broadcast to mark the table.
-MAX_BROADCAST_CLAIM = 100_000
+# Up to this many links are taken by one task; more are taken by whole ranges.
+MAX_ONE_TASK = 100_000
 
 
 def empty_frontier(spark: SparkSession) -> DataFrame:
@@ -58,10 +60,36 @@ def delete(frontier: DataFrame, links: DataFrame) -> DataFrame:
     return frontier.join(links.select("link").distinct(), "link", "left_anti")
 
 
-def take(frontier: DataFrame, status: str = WAITING, n: int = -1) -> DataFrame:
-    """``n`` links of a status (-1: all), oldest round first, then by link."""
+def take(frontier: DataFrame, status: str = WAITING, n: int = -1, one_task: int = MAX_ONE_TASK) -> DataFrame:
+    """``n`` links of a status (-1: all), oldest round first, then by link.
+
+    Above ``one_task`` links no single task holds them; the rows are the same, in no order.
+    """
     of_status = frontier.where(F.col("status") == status)
-    return of_status if n == -1 else of_status.orderBy("round", "link").limit(n)
+    if n == -1:
+        return of_status
+    return of_status.orderBy("round", "link").limit(n) if n <= one_task else _take_ranges(of_status, n)
+
+
+def _take_ranges(links: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` by round and link: whole ranges while they fit, and a part of the next one.
+
+    The ranges are written first, as a second sampling could cut them elsewhere. A row per range
+    gives the number of links before it; only the range at the bound is ranked.
+    """
+    spark, path = links.sparkSession, fresh_path(links.sparkSession, "take")
+    ranged = links.repartitionByRange("round", "link").withColumn("_range", F.spark_partition_id())
+    ranged.write.parquet(path)
+    ranged = spark.read.schema(ranged.schema).parquet(path)
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = sizes.withColumn("_before", F.sum("_size").over(Window.orderBy("_range")) - F.col("_size"))
+    met = ranged.join(before.where(F.col("_before") < n), "_range")
+    whole = met.where(F.col("_before") + F.col("_size") <= n)
+    at_bound = met.where(F.col("_before") + F.col("_size") > n).withColumn(
+        "_rank", F.row_number().over(Window.partitionBy("_range").orderBy("round", "link"))
+    )
+    part = at_bound.where(F.col("_before") + F.col("_rank") <= n)
+    return whole.select(*links.columns).unionByName(part.select(*links.columns))
 
 
 def first(frontier: DataFrame, status: str = WAITING) -> DataFrame:
@@ -76,7 +104,7 @@ def claim(frontier: DataFrame, n: int = -1) -> DataFrame:
             "status", F.when(F.col("status") == WAITING, F.lit(PROCESSING)).otherwise(F.col("status"))
         )
     taken = take(frontier, WAITING, n).select("link", F.lit(PROCESSING).alias("status"))
-    return update(frontier, F.broadcast(taken) if n <= MAX_BROADCAST_CLAIM else taken)
+    return update(frontier, taken)
 
 
 def status_counts(frontier: DataFrame) -> DataFrame:

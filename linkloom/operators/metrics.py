@@ -6,25 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions.records import record_bytes
+from linkloom.operators.frontier import PROCESSING, WAITING
 
 
-def crawl_counters(results: DataFrame, links: DataFrame) -> DataFrame:
+def crawl_counters(frontier: DataFrame, results: DataFrame, links: DataFrame) -> DataFrame:
     """``counter, value``: links queued and taken, pages processing, completed and failed, new links
     found, bytes stored.
 
-    Each result is a link that was queued, taken and processed once. ``links`` are the routable
-    links per page, counted once per page as they are queued.
+    Each link of the table was queued once; it was taken unless it still waits. ``links`` are the
+    routable links per page, counted once per page as they are found.
     """
-    totals = results.agg(
+    queued = frontier.agg(
         F.count(F.lit(1)).alias("crawlq.put"),
-        F.count(F.lit(1)).alias("crawlq.get"),
-        F.count(F.lit(1)).alias("urls.processing"),
+        F.count_if(F.col("status") != WAITING).alias("crawlq.get"),
+        F.count_if(F.col("status") == PROCESSING).alias("urls.processing"),
+    )
+    totals = results.agg(
         F.count_if(F.col("success")).alias("urls.completed"),
         F.count_if(~F.col("success")).alias("urls.failed"),
         F.coalesce(F.sum(record_bytes(F.col("record"))), F.lit(0)).cast("bigint").alias("store.writes"),
     )
     new = links.agg(F.count(F.lit(1)).alias("urls.new"))
-    return _long(totals).unionByName(_long(new))
+    return _long(queued).unionByName(_long(totals)).unionByName(_long(new))
 
 
 def _long(totals: DataFrame) -> DataFrame:

@@ -8,8 +8,11 @@ partitions:
 * ``seen``     every link ever queued, appended per round
 * ``settled``  every link taken, with its final status, appended per round
 
-A round joins its wave to the graph bucket by bucket (no shuffle), and its found links are reduced
-map-side, shuffled once for their distinct and met with ``seen`` in place. Each round ends in
+``seen`` and ``settled`` are also partitioned by round, so a round reads its own wave and not the whole
+table. A round joins its wave to the graph bucket by bucket, with the wave as the hashed side: the graph
+is neither shuffled nor sorted. Its found links are reduced map-side, shuffled once for their distinct
+and hashed against ``seen`` in place, which is not sorted either. A hashed side is one bucket of narrow
+rows; raise the shuffle partitions with the number of links. Each round ends in
 written tables, so lineage stays one round deep and a lost executor costs one task. No round
 rewrites what an earlier one wrote, whatever the size of the seen set.
 """
@@ -40,14 +43,10 @@ class _Store:
     def name(self, table: str) -> str:
         return f"linkloom_{table}_{self.id}"
 
-    def append(self, table: str, df: DataFrame, key: str) -> None:
-        (
-            df.write.format("parquet")
-            .mode("append")
-            .option("path", f"{self.path}/{table}")
-            .bucketBy(self.buckets, key)
-            .saveAsTable(self.name(table))
-        )
+    def append(self, table: str, df: DataFrame, key: str, by: str | None = None) -> None:
+        writer = df.write.format("parquet").mode("append").option("path", f"{self.path}/{table}")
+        writer = writer.partitionBy(by) if by else writer
+        writer.bucketBy(self.buckets, key).saveAsTable(self.name(table))
         self.made.add(table)
 
     def table(self, table: str) -> DataFrame:
@@ -89,11 +88,11 @@ def crawl(
     store = _Store(spark)
     store.append("graph", graph.select("url", "success", "error", "links"), "url")
     start = seeds.select("link").where(F.col("link").isNotNull()).distinct().withColumn("found_round", F.lit(0))
-    store.append("seen", start, "link")
+    store.append("seen", start, "link", "found_round")
 
     done = 0
     while max_rounds is None or done < max_rounds:
-        wave = _wave(store, done, claim)
+        wave = _wave(store, done, claim).hint("shuffle_hash")
         hits = wave.join(store.table("graph"), wave["link"] == F.col("url"), "left").select(
             "link",
             F.coalesce("success", F.lit(False)).alias("success"),
@@ -102,14 +101,16 @@ def crawl(
             F.lit(done + 1).alias("taken_round"),
             F.when(F.col("success"), F.col("links")).alias("links"),
         )
-        store.append("settled", hits, "link")
+        store.append("settled", hits, "link", "taken_round")
         taken = store.table("settled").where(F.col("taken_round") == done + 1)
         if taken.isEmpty():
             break
         done += 1
         found = taken.select(F.explode("links").alias("link")).distinct()
-        new = found.join(store.table("seen").select("link"), "link", "left_anti")
-        store.append("seen", new.select("link", F.lit(done).alias("found_round")), "link")
+        # An anti-join would have to hash or sort all of "seen"; this way round only the find is hashed.
+        seen = store.table("seen").select(F.col("link").alias("_seen"))
+        new = seen.join(found.hint("shuffle_hash"), F.col("_seen") == F.col("link"), "right").where(F.col("_seen").isNull())
+        store.append("seen", new.select("link", F.lit(done).alias("found_round")), "link", "found_round")
         if on_round is not None:
             on_round(done, store)
 

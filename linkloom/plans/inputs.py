@@ -78,8 +78,12 @@ def demo_registry(spark: SparkSession, sf_dir: str, variant: str = "default") ->
 def responses(spark: SparkSession, sf_dir: str, key: str = "page_id") -> DataFrame:
     """Captured responses: by ``page_id % 10``, 0 is a 404, 1 a 301 to the next page (the last
     page's next is the first), 2 was never captured, all others are 200."""
-    pages = table(spark, sf_dir, "pages")
-    return _with_responses(pages, next_urls(pages)).where(F.col("page_id") % 10 != 2)
+    return responses_of(table(spark, sf_dir, "pages"), table(spark, sf_dir, "pages"))
+
+
+def responses_of(pages: DataFrame, all_pages: DataFrame) -> DataFrame:
+    """:func:`responses` of ``pages``, which may be a stream; ``all_pages`` is the whole table."""
+    return _with_responses(pages, next_urls(all_pages)).where(F.col("page_id") % 10 != 2)
 
 
 def next_urls(pages: DataFrame) -> DataFrame:
@@ -102,8 +106,13 @@ def _with_responses(pages: DataFrame, follow: DataFrame) -> DataFrame:
 
 def frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page URLs as a link table; status by ``page_id % 4``."""
+    return frontier_of(table(spark, sf_dir, "pages"))
+
+
+def frontier_of(pages: DataFrame) -> DataFrame:
+    """:func:`frontier` of ``pages``, which may be a stream."""
     kind = F.col("page_id") % 4
-    return table(spark, sf_dir, "pages").select(
+    return pages.select(
         F.col("url").alias("link"),
         F.when(kind == 0, WAITING)
         .when(kind == 1, PROCESSING)

@@ -20,6 +20,8 @@ from linkloom.plans import capture, seeding
 from linkloom.plans import inputs as demo
 from linkloom.plans.crawl import crawl
 from linkloom.registry import calendar_seeds
+from linkloom.session import fresh_path
+from linkloom.sources import records, snapshots
 from linkloom.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -139,6 +141,14 @@ def canonicalize(spark: SparkSession, d: str) -> DataFrame:
     return canonicalize_urls(_pages(spark, d, "url"), demo.demo_registry(spark, d)).select("page_id", "canonical")
 
 
+@query
+def canonicalize_own(spark: SparkSession, d: str) -> DataFrame:
+    """One source under a canonical form of its own."""
+    own = lambda scheme, host, path, query: F.concat(scheme, F.lit("://"), F.upper(host), path)
+    registry = demo.demo_registry(spark, d).register_canonicalizer("com", own)
+    return canonicalize_urls(_pages(spark, d, "url"), registry).select("page_id", "canonical")
+
+
 def _resolved(spark: SparkSession, d: str) -> DataFrame:
     return _hrefs(spark, d).select(
         "page_id", "href", U.resolved_url(F.col("href"), F.col("final_url")).alias("resolved")
@@ -284,8 +294,12 @@ def record_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _as_captured(spark: SparkSession, d: str) -> DataFrame:
+    return _captured(_pages(spark, d))
+
+
+def _captured(pages: DataFrame) -> DataFrame:
     """Every page as a 200 response."""
-    return _pages(spark, d).select(
+    return pages.select(
         "page_id", "url", F.col("url").alias("final_url"), F.lit(200).alias("status"), F.lit(None).cast("string").alias("location"), "html"
     )
 
@@ -422,6 +436,14 @@ def stored_records(spark: SparkSession, d: str) -> DataFrame:
     return out.records.select("url", "handler", "record")
 
 
+@query
+def record_sink(spark: SparkSession, d: str) -> DataFrame:
+    """Records appended to the JSON-lines sink and read back."""
+    path = fresh_path(spark, "records")
+    records.append_records(stored_records(spark, d), path)
+    return records.read_records(spark, path, "url STRING, title STRING, text STRING")
+
+
 # --- frontier --------------------------------------------------------------------------------
 
 
@@ -433,6 +455,24 @@ def frontier_insert(spark: SparkSession, d: str) -> DataFrame:
     return fr.insert(table, new, round_no=1)
 
 
+@query
+def frontier_enqueue(spark: SparkSession, d: str) -> DataFrame:
+    """Seeds first, then every page URL as a caller hands it in."""
+    seeds = seeding.start_links(demo.demo_registry(spark, d))
+    start = fr.insert(fr.empty_frontier(spark), seeds)
+    return seeding.enqueue_urls(start, _pages(spark, d, "url"))
+
+
+@query
+def frontier_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """The link table written, claimed from what was written, written again and read back, both snapshots."""
+    root = fresh_path(spark, "snapshots")
+    first = snapshots.write_snapshot(demo.frontier(spark, d), root)
+    last = snapshots.write_snapshot(fr.claim(snapshots.read_links(spark, root)), root)
+    parts = [snapshots.read_links(spark, root, n).withColumn("snapshot", F.lit(n)) for n in (first, last)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query
 def frontier_update(spark: SparkSession, d: str) -> DataFrame:
     """Outcomes of the captured pages set on the table of page URLs."""
@@ -491,12 +531,13 @@ def status_latest(spark: SparkSession, d: str) -> DataFrame:
 @query
 def crawl_counters(spark: SparkSession, d: str) -> DataFrame:
     results = capture.store_results(_fetched_results(spark, d))
-    return metrics.crawl_counters(results, capture.result_links(results, demo.demo_registry(spark, d)))
+    return metrics.crawl_counters(demo.frontier(spark, d), results, capture.result_links(results, demo.demo_registry(spark, d)))
 
 
 @query
 def outcome_timing(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.outcome_timing(demo.table(spark, d, "events"), "event_type", "value")
+    """Percentiles by nearest rank, within one in 10,000 of the rank."""
+    return metrics.outcome_timing(demo.table(spark, d, "events"), "event_type", "value", (0.5, 0.95))
 
 
 # --- crawl -----------------------------------------------------------------------------------
@@ -517,28 +558,28 @@ def crawl_rounds(spark: SparkSession, d: str) -> DataFrame:
 @query
 def stream_link_ingest(spark: SparkSession, d: str) -> DataFrame:
     """Routable links and page URLs fed as a stream into a link table that holds page URLs."""
-    source = jobs.staged(frontier_links(spark, d), "links")
+    registry, pages = demo.demo_registry(spark, d), f"{d}/pages.parquet"
+    captured = _captured(jobs.stream_table(spark, pages))
+    found = capture.routed_links(capture.page_results(captured, registry), registry)
+    source = found.select("link").unionByName(demo.frontier_of(jobs.stream_table(spark, pages)).select("link"))
     return jobs.run_link_ingest(spark, source, demo.frontier(spark, d))
 
 
-def frontier_links(spark: SparkSession, d: str) -> DataFrame:
-    return routable_links(spark, d).select("link").unionByName(demo.frontier(spark, d).select("link"))
-
-
 @query
 def stream_status_update(spark: SparkSession, d: str) -> DataFrame:
     """The event log fed as a stream of statuses: the last one per key."""
-    log = demo.table(spark, d, "events").select(
+    log = jobs.stream_table(spark, f"{d}/events.parquet").select(
         F.col("user_id").cast("string").alias("link"), F.col("event_type").alias("status"), "ts", "event_id"
     )
-    return jobs.run_status_update(spark, jobs.staged(log, "statuses"), ("ts", "event_id"))
+    return jobs.run_status_update(spark, log, ("ts", "event_id"))
 
 
 @query
 def stream_result_fanout(spark: SparkSession, d: str) -> DataFrame:
     """Captured responses fed as a stream into status, record and link tables."""
     registry = demo.demo_registry(spark, d)
-    out = jobs.run_result_fanout(spark, jobs.staged(demo.responses(spark, d), "responses"), registry)
+    captured = demo.responses_of(jobs.stream_table(spark, f"{d}/pages.parquet"), demo.table(spark, d, "pages"))
+    out = jobs.run_result_fanout(spark, captured, registry)
     parts = [
         out.statuses.select(F.lit("status").alias("kind"), "url", F.col("status").alias("value")),
         out.records.select(F.lit("record").alias("kind"), "url", F.col("record").alias("value")),
@@ -549,5 +590,8 @@ def stream_result_fanout(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def stream_status_gauge(spark: SparkSession, d: str) -> DataFrame:
-    """Links per status, counted over a stream of the link table's rows."""
-    return jobs.run_status_gauge(spark, jobs.staged(demo.frontier(spark, d), "links"))
+    """Links per current status over a stream in which every link waits first and then changes."""
+    links = demo.frontier_of(jobs.stream_table(spark, f"{d}/pages.parquet"))
+    steps = F.array(F.struct(F.lit(0).alias("seq"), F.lit(fr.WAITING).alias("status")), F.struct(F.lit(1).alias("seq"), "status"))
+    log = links.select("link", F.explode(steps).alias("_s")).select("link", "_s.seq", "_s.status")
+    return jobs.run_status_gauge(spark, log, ("seq",))

@@ -38,6 +38,12 @@ def stream_files(spark: SparkSession, path: str, schema: StructType, files_per_b
     return reader.parquet(path)
 
 
+def stream_table(spark: SparkSession, path: str) -> DataFrame:
+    """The files of a Parquet table, or its one file, as a stream, read where they lie."""
+    exact = f"{path[:-1]}[{path[-1]}]"  # a stream source takes a single file only as a pattern
+    return stream_files(spark, exact, spark.read.parquet(path).schema)
+
+
 def _finish(writer: DataStreamWriter, spark: SparkSession) -> None:
     """Runs a stream over all that its source holds now."""
     job = writer.option("checkpointLocation", fresh_path(spark, "stream")).trigger(availableNow=True).start()
@@ -100,9 +106,9 @@ def compact_links(spark: SparkSession, links_path: str, statuses_path: str, new_
     write_batch(live_frontier(spark, links_path, statuses_path), new_path, INITIAL)
 
 
-def status_gauge(links: DataFrame) -> DataFrame:
-    """Streaming count per status (complete mode; one state row per status)."""
-    return fr.status_counts(links)
+def status_gauge(spark: SparkSession, statuses_path: str) -> DataFrame:
+    """Links per current status by the log so far, with zeros: a link whose status changed counts once."""
+    return fr.status_counts_zero(current_statuses(spark, statuses_path))
 
 
 # --- results -----------------------------------------------------------------------------------
@@ -129,6 +135,11 @@ def result_fanout(responses: DataFrame, registry: Registry, path: str) -> DataSt
 # --- bounded runs, for tests and backfills -------------------------------------------------------
 
 
+def _stream(spark: SparkSession, source: DataFrame | tuple[str, StructType]) -> DataFrame:
+    """A stream as it is, or the one over :func:`staged` files."""
+    return source if isinstance(source, DataFrame) else stream_files(spark, *source, files_per_batch=2)
+
+
 def staged(df: DataFrame, label: str, files: int = 4) -> tuple[str, StructType]:
     """Writes a table as the files of a stream source."""
     path = fresh_path(df.sparkSession, f"source-{label}")
@@ -136,34 +147,35 @@ def staged(df: DataFrame, label: str, files: int = 4) -> tuple[str, StructType]:
     return path, df.schema
 
 
-def run_link_ingest(spark: SparkSession, source: tuple[str, StructType], initial: DataFrame) -> DataFrame:
+def run_link_ingest(
+    spark: SparkSession, source: DataFrame | tuple[str, StructType], initial: DataFrame
+) -> DataFrame:
     path = fresh_path(spark, "links")
     write_batch(initial.select("link", "status", "round"), path, INITIAL)
-    _finish(link_ingest(stream_files(spark, *source, files_per_batch=2), path), spark)
+    _finish(link_ingest(_stream(spark, source), path), spark)
     return batch_table(spark, path, LINK_BATCH).select("link", "status")
 
 
-def run_status_update(spark: SparkSession, source: tuple[str, StructType], seq: tuple[str, ...]) -> DataFrame:
+def run_status_update(
+    spark: SparkSession, source: DataFrame | tuple[str, StructType], seq: tuple[str, ...]
+) -> DataFrame:
     path = fresh_path(spark, "statuses")
-    _finish(status_update(stream_files(spark, *source, files_per_batch=2), path, seq), spark)
+    _finish(status_update(_stream(spark, source), path, seq), spark)
     return current_statuses(spark, path)
 
 
-def run_result_fanout(spark: SparkSession, source: tuple[str, StructType], registry: Registry) -> Outputs:
+def run_result_fanout(
+    spark: SparkSession, source: DataFrame | tuple[str, StructType], registry: Registry
+) -> Outputs:
     path = fresh_path(spark, "results")
-    _finish(result_fanout(stream_files(spark, *source, files_per_batch=2), registry, path), spark)
+    _finish(result_fanout(_stream(spark, source), registry, path), spark)
     read = lambda name: spark.read.parquet(f"{path}/{name}")
     return Outputs(read("statuses"), read("records"), read("links"))
 
 
-def run_status_gauge(spark: SparkSession, source: tuple[str, StructType]) -> DataFrame:
+def run_status_gauge(
+    spark: SparkSession, source: DataFrame | tuple[str, StructType], seq: tuple[str, ...] = ("round",)
+) -> DataFrame:
     path = fresh_path(spark, "gauge")
-
-    def publish(counts: DataFrame, batch_id: int) -> None:
-        write_batch(counts, path, batch_id)
-
-    counts = status_gauge(stream_files(spark, *source, files_per_batch=2))
-    _finish(counts.writeStream.outputMode("complete").foreachBatch(publish), spark)
-    every = spark.read.parquet(path)
-    last = every.agg(F.max("batch").alias("last"))
-    return every.join(F.broadcast(last), F.col("batch") == F.col("last")).select("status", "n")
+    _finish(status_update(_stream(spark, source), path, seq), spark)
+    return status_gauge(spark, path)

@@ -68,3 +68,26 @@ def test_bounded_claims_reach_the_same_links(spark):
     outcome = lambda done: {l: s[:2] for l, s in logged(done).items()}
     assert outcome(bounded) == outcome(whole)
     assert bounded.log.groupBy("taken_round").count().agg({"count": "max"}).first()[0] <= 7
+
+
+def test_a_round_neither_sorts_nor_shuffles_the_graph(spark, monkeypatch):
+    from linkloom.plans import crawl as module
+
+    plans, append = {}, module._Store.append
+
+    def watched(self, table, df, key, by=None):
+        plans.setdefault(table, []).append(df._jdf.queryExecution().executedPlan().toString())
+        append(self, table, df, key, by)
+
+    monkeypatch.setattr(module._Store, "append", watched)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        crawl(spark.createDataFrame([("n1",)], "link STRING"), spark.createDataFrame(random_graph(60, 3), GRAPH))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    settled, seen = plans["settled"][0], plans["seen"][1]
+    for text in (settled, seen):
+        assert "ShuffledHashJoin" in text and "SortMergeJoin" not in text
+    assert "Exchange" not in settled and "PartitionFilters: [isnotnull(found_round" in settled
+    assert seen.count("Exchange") == 1

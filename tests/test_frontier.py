@@ -48,6 +48,17 @@ def test_take_first_and_claim(spark):
     assert {l for l, (s, _) in state(fr.claim(t)).items() if s == "processing"} == set("ade")
 
 
+def test_take_by_whole_ranges_equals_one_task(spark):
+    t = spark.range(0, 3000, 1, 7).select(
+        F.concat(F.lit("l"), F.col("id")).alias("link"),
+        F.when(F.col("id") % 5 == 0, "failed").otherwise("waiting").alias("status"),
+        (F.col("id") % 4).cast("int").alias("round"),
+    )
+    for n in (0, 1, 777, 2400, 5000):
+        assert sorted(fr.take(t, n=n, one_task=-1).collect()) == sorted(fr.take(t, n=n).collect())
+    assert fr.take(fr.empty_frontier(spark), n=5, one_task=0).count() == 0
+
+
 def test_counts_show_absent_and_unexpected_statuses(spark):
     t = table(spark, BASE + [("z", "odd", 0)])
     assert {r["status"]: r["n"] for r in fr.status_counts_zero(t).collect()} == {

@@ -57,6 +57,15 @@ def test_gauge_equals_counts(spark):
     assert sorted(got.collect()) == sorted(fr.status_counts(have).collect())
 
 
+def test_gauge_counts_a_changed_link_once_and_shows_zeros(spark):
+    log = spark.createDataFrame(
+        [("a", "waiting", 0), ("a", "processing", 1), ("a", "completed", 2), ("b", "waiting", 0)],
+        "link STRING, status STRING, seq INT",
+    )
+    got = {r["status"]: r["n"] for r in jobs.run_status_gauge(spark, jobs.staged(log, "g"), ("seq",)).collect()}
+    assert got == {"waiting": 1, "processing": 0, "completed": 1, "failed": 0}
+
+
 def test_live_frontier_and_its_compaction(spark):
     links, statuses, compacted = (fresh_path(spark, n) for n in ("links", "statuses", "compacted"))
     row = lambda schema, *v: spark.createDataFrame(list(v), schema)
