@@ -1,23 +1,25 @@
-"""Language-model scoring: a hierarchical Pitman-Yor model with documents as contexts.
-
-Each document is a restaurant whose customers are its tokens; all of them share one parent, the corpus
-restaurant, over a uniform base (the training words and one share for any other word). Every table of a
-document seats a customer in the parent, so the parent counts tables, not tokens. Seating is sampled by
-Gibbs sweeps: in a sweep the dishes of every training document are seated anew, customer by customer by the
-Chinese-restaurant rule, given the parent as the sweep before left it, then those of the parent. A
-document's probability is estimated by seating its tokens under each kept sweep and weighing the seating
-by what it was drawn with; the probabilities, not their logarithms, are averaged over the sweeps.
-Perplexity follows from the scores.
-
-On Spark: one scan turns the texts into postings (word, documents, counts), grouped within a slice of a
-task. A word that stands once in a document has one table there, so a sweep reads only the counts above
-one, joined with the words' probabilities, and returns tables by word. Scoring joins all postings
-with the words, yields a row per word of a document, and leaves the sums to a map-side combined
-aggregation. Nothing per word or per document comes to the driver. A word of every document has one row
-per slice; the skew join splits those.
-
-Large counts are seated in groups: the next sixteenth of the customers already seated shares one opening
-probability, so that a word of a million tokens takes some 190 steps.
+"""Language-model scoring: a hierarchical Pitman-Yor model with preceding words as contexts.
+
+Each word is a restaurant whose customers are the tokens that follow it in training texts (the first token
+follows the end token); all of them share one parent, the corpus restaurant, over a uniform base (the training
+words and one share for any other word). Every table of a word's restaurant seats a customer in the parent. A
+document's score is the log of its probability token by token, each given the word before it; the probabilities
+of the text, not their logarithms, are averaged over the kept sweeps. Perplexity follows from the scores.
+
+The state is the number of tables of each (context, word), and it is kept from sweep to sweep. With a
+restaurant's gamma variable ``g ~ Gamma(strength / discount + tables)`` its dishes are independent given the
+parent's measure: ``t`` tables of ``n`` customers weigh ``S(n, t) (discount g p)^t``, with generalized Stirling
+numbers ``S``. So a sweep draws ``g`` of every restaurant from its current tables, the corpus measure from its
+Dirichlet posterior, and moves every ``t`` by Metropolis steps that leave that law as it is; all rows move at
+once and no total is out of date. Two things are approximate: the part of the corpus measure that belongs to
+no table is taken at its mean, the base, and Stirling numbers of more than ``EXACT`` customers come from a
+contour integral.
+
+On Spark: one scan turns the texts into postings (context, word, documents, counts), grouped within a slice of a
+task; words are told apart by their 64-bit XXH64. A pair that stands once has one table, so sweeps move
+pairs of two customers or more only. Pairs meet contexts and words as tables; then the postings meet the
+pairs' probabilities, yield a row per pair of a document and are summed by a map-side combined aggregation.
+Nothing per word or per document comes to the driver; the skew join splits common words.
 
 Null and empty texts are the end token alone. Repeated rows are learned from and scored as often. A null
 id counts as the text ``null``. Without training texts every word has the uniform share.
@@ -26,6 +28,7 @@ id counts as the text ``null``. Without training texts every word has the unifor
 from __future__ import annotations
 
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +40,11 @@ from pyspark.sql import types as T
 from linkloom.llm.common import written
 
 HELD_MOD, HELD_AT = 7, 2
-DISCOUNT, STRENGTH = 0.85, 75.0  # of the documents
-ROOT_STRENGTH = 1.0  # of the corpus; its discount is estimated from words with one and two tables
+DISCOUNT, STRENGTH = 0.85, 75.0  # of ``seat`` in its tests
+WORD_STRENGTH, ROOT_STRENGTH = 1.0, 1.0  # the discounts are estimated from dishes with one and two customers
+EXACT, STEPS = 256, 16
 SLICE_BYTES, CHUNK = 16 << 20, 200_000
-POSTINGS = (
-    "word binary, trained long, single long, base long, once array<int>, many array<int>, learned int, ns array<int>, "
-    "us array<int>, doc_id long, held_out boolean"
-)
+POSTINGS = "u long, w long, n long, base long, docs array<int>, ns array<int>, doc_id long, held_out boolean"
 NAMES = [c.split()[0] for c in POSTINGS.split(", ")]
 
 
@@ -73,13 +74,76 @@ def seat(rng: np.random.Generator, customers: np.ndarray, opening: np.ndarray, d
     return out, logs
 
 
+@lru_cache(maxsize=4)
+def _stirling_table(discount: float) -> np.ndarray:
+    """``log S(n, t)`` for ``n, t <= EXACT``."""
+    out = np.full((EXACT + 1, EXACT + 1), -np.inf)
+    out[0, 0] = 0.0
+    places = np.arange(EXACT + 1)
+    for n in range(EXACT):
+        with np.errstate(divide="ignore"):
+            stay = out[n] + np.log(np.maximum(n - discount * places, 0))
+        out[n + 1] = np.logaddexp(stay, np.concatenate([[-np.inf], out[n, :-1]]))
+    return out
+
+
+def log_stirling(n: np.ndarray, t: np.ndarray, discount: float) -> np.ndarray:
+    """``log S(n, t)``: weights of all seatings of ``n`` customers at ``t`` tables, minus infinity outside ``1 <= t <= n``."""
+    n, t = np.asarray(n), np.asarray(t)
+    out = np.full(n.shape, -np.inf)
+    valid = (t >= 1) & (t <= n)
+    low = valid & (n <= EXACT)
+    out[low] = _stirling_table(discount)[n[low], t[low]]
+    out[valid & (t == n)] = 0.0
+    high = np.flatnonzero(valid & (n > EXACT) & (t < n))
+    if len(high):
+        # n!/t! d^-t times the coefficient of x^n in (1 - (1-x)^d)^t: an integral over x = e^-s along a parabola through the saddle.
+        m, k = n[high].astype(float), t[high].astype(float)
+        a, b = np.full(len(m), -700.0), np.full(len(m), -1e-12)  # log (1 - x)
+        for _ in range(60):
+            mid = (a + b) / 2
+            slope = -np.expm1(mid) * discount * np.exp((discount - 1) * mid) / -np.expm1(discount * mid)
+            big = slope > m / k
+            a, b = np.where(big, mid, a), np.where(big, b, mid)
+        saddle = np.maximum(-np.log(-np.expm1((a + b) / 2)), 4 / m)
+        width = np.minimum(np.sqrt(40 / (m * saddle)), np.pi / (2 * saddle))
+        turn = 1 + 1j * width[:, None] * np.linspace(0, 1, 129)
+        s = saddle[:, None] * turn**2
+        power = m[:, None] * s + k[:, None] * np.log(1 - (-np.expm1(-s)) ** discount)
+        top = power[:, 0].real
+        values = (np.exp(power - top[:, None]) * turn).real
+        area = (values.sum(axis=1) - (values[:, 0] + values[:, -1]) / 2) * width / 128
+        logs = top + np.log(np.maximum(area, 1e-300) * 2 * saddle / np.pi)
+        out[high] = _log_factorial(m) - _log_factorial(k) - k * np.log(discount) + logs
+    return out
+
+
+def _log_factorial(n: np.ndarray) -> np.ndarray:
+    up = n + 8.0  # Stirling's series of the gamma function at n + 8, brought down to n + 1
+    down = np.log(np.multiply.reduce([n + i for i in range(1, 8)]))
+    return (up - 0.5) * np.log(up) - up + 0.5 * np.log(2 * np.pi) + 1 / (12 * up) - 1 / (360 * up**3) + 1 / (1260 * up**5) - down
+
+
+def resample(rng: np.random.Generator, n: np.ndarray, t: np.ndarray, weight: np.ndarray, discount: float, steps: int = STEPS) -> np.ndarray:
+    """``t`` after Metropolis steps for the law ``S(n, t) weight^t``."""
+    t, now = t.copy(), log_stirling(n, t, discount)
+    log_weight = np.log(weight)
+    reach = np.maximum(1, np.sqrt(n).astype(np.int64))
+    for _ in range(steps):
+        jump = rng.integers(1, reach + 1) * rng.choice([-1, 1], len(t))
+        new = log_stirling(n, t + jump, discount)
+        taken = np.log(rng.random(len(t))) < new - now + jump * log_weight
+        t[taken] += jump[taken]
+        now[taken] = new[taken]
+    return t
+
+
 def postings(docs: DataFrame, held_mod: int = HELD_MOD, held_at: int = HELD_AT) -> DataFrame:
-    """Rows of words and of documents.
+    """Rows of pairs and of documents.
 
-    A word's row lists, as offsets from row number ``base``, the documents that have it ``once`` and those
-    that have it ``many`` times, with their counts ``ns`` and distinct words ``us``; the first ``learned`` of
-    these are training documents. ``trained`` counts its training tokens, ``single`` the training documents
-    that have it once. A document's row has no word; ``base`` is its number and ``trained`` its tokens.
+    A pair's row (context ``u``, word ``w``) lists, as offsets from row number ``base``, the documents ``docs``
+    that have it and how often (``ns``); ``n`` counts its training tokens. A document's row has no word;
+    ``base`` is its number and ``n`` its tokens.
     """
 
     def run(batches):
@@ -104,157 +168,146 @@ def postings(docs: DataFrame, held_mod: int = HELD_MOD, held_at: int = HELD_AT)
 
 
 def _slice(texts: pa.Array, numbers: np.ndarray, held: np.ndarray, ids: pa.Array):
+    from xxhash import xxh64_intdigest
+
     size = len(texts)
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     flat = lists.flatten()
     doc = np.repeat(np.arange(size), np.diff(lists.offsets.to_numpy().astype(np.int64)))
     real = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # white space at either end leaves empty words
     coded = flat.dictionary_encode()
-    words = coded.dictionary.cast(pa.binary())
+    words = [*coded.dictionary.cast(pa.binary()).to_pylist(), b""]
+    hashes = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words)).view(np.int64)
     codes, doc = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)[real], doc[real]
-    # The end token stands for the empty word, once in each document.
-    codes = np.concatenate([codes, np.full(size, len(words))])
-    words = pa.concat_arrays([words, pa.array([b""], pa.binary())])
     tokens = np.bincount(doc, minlength=size) + 1
-    doc = np.concatenate([doc, np.arange(size)])
-    # By word, training documents first.
-    order = np.argsort(held, kind="stable")
-    rank = np.empty(size, np.int64)
-    rank[order] = np.arange(size)
-    pair, ns = np.unique(codes * size + rank[doc], return_counts=True)
-    code, at = pair // size, order[pair % size]
+    # The end token stands for the empty word, once in each document and last; the first token follows it.
+    ends = np.cumsum(tokens) - 1
+    own = np.full(len(codes) + size, len(words) - 1)
+    own[np.delete(np.arange(len(own)), ends)] = codes
+    before = np.concatenate([[len(words) - 1], own[:-1]])[: len(own)]
+    doc = np.repeat(np.arange(size), tokens)
+    # By pair, then document.
+    pair, code = np.unique(before * len(words) + own, return_inverse=True)
+    both, ns = np.unique(code * size + doc, return_counts=True)
+    code, at = both // size, both % size
     starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-    distinct = np.bincount(at, minlength=size)
-    learned, one = ~held[at], ns == 1
-
-    def summed(values):
-        return np.add.reduceat(values, starts, dtype=np.int64)
-
-    def listed(values, which):
-        edges = np.concatenate([[0], np.cumsum(summed(which))]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(edges), pa.array(values[which].astype(np.int32)))
-
-    offset, many = numbers[at] - numbers[0], ~one
+    edges = pa.array(np.append(starts, len(code)).astype(np.int32))
     n = len(starts)
     columns = [
-        words.take(pa.array(code[starts])),
-        pa.array(summed(ns * learned)),
-        pa.array(summed(one & learned)),
+        pa.array(hashes[pair // len(words)]),
+        pa.array(hashes[pair % len(words)]),
+        pa.array(np.add.reduceat(ns * ~held[at], starts, dtype=np.int64)),
         pa.array(np.full(n, numbers[0])),
-        listed(offset, one),
-        listed(offset, many),
-        pa.array(summed(many & learned).astype(np.int32)),
-        listed(ns, many),
-        listed(distinct[at], many),
+        pa.ListArray.from_arrays(edges, pa.array((numbers[at] - numbers[0]).astype(np.int32))),
+        pa.ListArray.from_arrays(edges, pa.array(ns.astype(np.int32))),
         pa.nulls(n, pa.int64()),
         pa.nulls(n, pa.bool_()),
     ]
-    yield pa.RecordBatch.from_arrays(columns, NAMES)
-    empty = pa.nulls(size, pa.list_(pa.int32()))
-    nothing = pa.nulls(size, pa.int32())
-    columns = [pa.nulls(size, pa.binary()), pa.array(tokens), pa.nulls(size, pa.int64()), pa.array(numbers)]
-    columns += [empty, empty, nothing, empty, empty, ids, pa.array(held)]
+    every = pa.RecordBatch.from_arrays(columns, NAMES)
+    for first in range(0, n, CHUNK):
+        yield every.slice(first, CHUNK)
+    nothing, empty = pa.nulls(size, pa.int64()), pa.nulls(size, pa.list_(pa.int32()))
+    columns = [nothing, nothing, pa.array(tokens), pa.array(numbers), empty, empty, ids, pa.array(held)]
     yield pa.RecordBatch.from_arrays(columns, NAMES)
 
 
-def _rng(sweep: int) -> np.random.Generator:
+def _rng(kind: int, sweep: int) -> np.random.Generator:
     from pyspark import TaskContext
 
-    return np.random.default_rng([sweep, TaskContext.get().partitionId()])
+    return np.random.default_rng([kind, sweep, TaskContext.get().partitionId()])
 
 
-def _offsets(lists: pa.ListArray) -> np.ndarray:
-    return np.diff(lists.offsets.to_numpy().astype(np.int64))
+def _estimated(once: int, twice: int) -> float:
+    return min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
 
 
-def with_parent(words: DataFrame, sweep: int, strength: float = ROOT_STRENGTH) -> DataFrame:
-    """``words`` with the probability ``p<sweep>`` of each word in the corpus restaurant, whose customers are ``c``."""
-    total, distinct, once, twice = words.agg(
-        F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)
-    ).first()
-    discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
-    share = 1 / (distinct + 1)
+def _extended(df: DataFrame, compute, **columns) -> DataFrame:
+    """``df`` with more columns: ``compute(batch)`` gives their arrays."""
 
     def run(batches):
-        rng = _rng(1_000_000 + sweep)
         for batch in batches:
-            c = batch.column("c").to_numpy()
-            tables, _ = seat(rng, c, np.full(len(c), (strength + discount * distinct) * share), discount)
-            yield batch.append_column("t", pa.array(tables))
+            if batch.num_rows:
+                for name, values in zip(columns, compute(batch)):
+                    batch = batch.append_column(name, pa.array(values))
+                yield batch
 
-    seated = written(words.mapInArrow(run, T.StructType([*words.schema.fields, T.StructField("t", T.LongType())])), "lm-parent")
-    tables = seated.agg(F.coalesce(F.sum("t"), F.lit(0))).first()[0]
-    spread = (strength + discount * tables) * share
-    p = (F.col("c") - discount * F.col("t") + F.lit(spread)) / F.lit(strength + total)
-    return seated.withColumn(f"p{sweep}", p).drop("t")
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *[T.StructField(k, v) for k, v in columns.items()]]))
 
 
-def sweep_documents(by_word: DataFrame, words: DataFrame, sweep: int) -> DataFrame:
-    """Seats the dishes of the training documents anew: ``words`` with new ``c``, the tables of each word over all of them."""
+def _numbers(batch, *names):
+    return [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
 
-    def run(batches):
-        rng = _rng(sweep)
-        for batch in batches:
-            if batch.num_rows:
-                sizes = _offsets(batch.column("ns"))
-                n, u = (batch.column(c).flatten().to_numpy().astype(np.int64) for c in ("ns", "us"))
-                p = np.repeat(batch.column("p").to_numpy(), sizes)
-                tables, _ = seat(rng, n, (STRENGTH + DISCOUNT * u) * p, DISCOUNT)
-                got = np.add.reduceat(tables, np.cumsum(sizes) - sizes)
-                yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(got)], ["word", "tables"])
 
-    own = [F.slice(c, F.lit(1), F.col("learned")).alias(c) for c in ("ns", "us")]
-    many = by_word.where("learned > 0").select("word", *own)
-    met = many.join(words.select("word", F.col(f"p{sweep - 1}").alias("p")), "word")
-    tables = met.mapInArrow(run, "word binary, tables long").groupBy("word").agg(F.sum("tables").alias("tables"))
-    return words.join(tables, "word", "left").withColumn("c", F.col("singles") + F.coalesce("tables", F.lit(0))).drop("tables")
+def corpus(words: DataFrame, sweep: int, distinct: int, discount: float) -> DataFrame:
+    """``words`` (``w, count, c, t``) with new tables ``t`` in the corpus restaurant, a draw ``p`` of its measure and the mean ``q``."""
+    share = 1 / (distinct + 1)
+    customers, tables = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum(F.least("t", "c")), F.lit(0))).first()
+    g = np.random.default_rng([1, sweep]).gamma(ROOT_STRENGTH / discount + tables)
+
+    def seated(batch):
+        w, c, t = _numbers(batch, "w", "c", "t")
+        rng = _batch_rng(2, sweep, w)
+        new = resample(rng, c, np.minimum(t, c), np.full(len(c), discount * g * share), discount)
+        return new, rng.gamma(c - discount * new)
 
+    new = written(_extended(words, seated, s=T.LongType(), drawn=T.DoubleType()), "lm-corpus")
+    tables, mass = new.agg(F.coalesce(F.sum("s"), F.lit(0)), F.coalesce(F.sum("drawn"), F.lit(0.0))).first()
+    rest = ROOT_STRENGTH + discount * tables
+    free = np.random.default_rng([3, sweep]).gamma(rest)
+    p = (F.col("drawn") + F.lit(float(free * share))) / F.lit(float(mass + free))
+    q = (F.col("c") - F.lit(discount) * F.col("s") + F.lit(rest * share)) / F.lit(ROOT_STRENGTH + customers)
+    return new.select("w", "count", "singles", "c", F.col("s").alias("t"), p.alias("p"), q.alias("q"))
 
-def entries(by_word: DataFrame, words: DataFrame, sweeps: list[int], total: int, distinct: int) -> DataFrame:
-    """Per document row: known tokens, base score and for each sweep the word part of the log probability and the tables."""
-    names = ["row", "n_known", "base", *[f"{c}{s}" for s in sweeps for c in ("w", "t")]]
 
-    def run(batches):
-        rng, held, size = _rng(2_000_000), [], 0
-
-        def combined():
-            table = pa.Table.from_batches(held)
-
-            def flat(column):
-                lists = table.column(column).chunks
-                return np.concatenate([c.flatten().to_numpy() for c in lists]).astype(np.int64), np.concatenate(list(map(_offsets, lists)))
-
-            def spread(column, sizes):
-                return np.repeat(table.column(column).to_numpy(), sizes)
-
-            (once, ones), (many, sizes), (n, _), (u, _) = map(flat, ("once", "many", "ns", "us"))
-            row = np.concatenate([once + spread("base", ones), many + spread("base", sizes)])
-            times = np.concatenate([np.ones(len(once), np.int64), n])
-            count = np.concatenate([spread("count", ones), spread("count", sizes)])
-            out = [row, np.where(count > 0, times, 0), times * np.log10((count + 1) / (total + distinct + 1))]
-            new = STRENGTH + DISCOUNT * u
-            for s in sweeps:
-                p = spread(f"p{s}", sizes)
-                tables, norm = seat(rng, n, new * p, DISCOUNT)
-                part = np.log(p) + norm - (tables - 1) * np.log(new)
-                out.append(np.concatenate([np.log(spread(f"p{s}", ones)), part]))
-                out.append(np.concatenate([np.ones(len(once), np.int32), tables.astype(np.int32)]))
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in out], names)
+def contexts(listed: DataFrame, many: DataFrame) -> DataFrame:
+    """``u, customers, tables`` of each context."""
+    met = listed.join(many.groupBy("u").agg(F.sum("t").alias("_t")), "u", "left")
+    return met.select("u", "customers", (F.col("singles") + F.coalesce("_t", F.lit(0))).alias("tables"))
+
+
+def sweep_pairs(many: DataFrame, rooms: DataFrame, words: DataFrame, sweep: int, discount: float) -> DataFrame:
+    """``many`` (``u, w, n, t``) with new tables, given each context's gamma variable and the corpus measure."""
 
+    def gamma(batch):
+        u, tables = _numbers(batch, "u", "tables")
+        return [_batch_rng(4, sweep, u).gamma(WORD_STRENGTH / discount + tables)]
+
+    def seated(batch):
+        u, n, t, g, p = _numbers(batch, "u", "n", "t", "g", "p")
+        return [resample(_batch_rng(5, sweep, u), n, t, np.maximum(discount * g * p, 1e-300), discount)]
+
+    drawn = _extended(rooms, gamma, g=T.DoubleType()).select("u", "g")
+    met = many.join(drawn.hint("shuffle_hash"), "u").join(words.select("w", "p").hint("shuffle_hash"), "w")
+    return written(_extended(met, seated, s=T.LongType()).select("u", "w", "n", F.col("s").alias("t")), "lm-pairs")
+
+
+def _batch_rng(kind: int, sweep: int, keys: np.ndarray) -> np.random.Generator:
+    return np.random.default_rng([int(_rng(kind, sweep).integers(1 << 62)), *np.ascontiguousarray(keys[:1]).view(np.uint64).tolist()])
+
+
+def with_customers(words: DataFrame, many: DataFrame) -> DataFrame:
+    """``words`` with new ``c``, the tables of each word over all contexts."""
+    met = words.join(many.groupBy("w").agg(F.sum("t").alias("_t")), "w", "left")
+    return met.select("w", "count", "singles", (F.col("singles") + F.coalesce("_t", F.lit(0))).alias("c"), "t")
+
+
+def entries(listed: DataFrame, chances: DataFrame, sweeps: list[int]) -> DataFrame:
+    """Per document row: known tokens, base score and for each sweep the log probability."""
+    names = ["row", "n_known", "base", *[f"l{s}" for s in sweeps]]
+
+    def run(batches):
         for batch in batches:
             if batch.num_rows:
-                held.append(batch)
-                size += len(batch.column("once").flatten()) + len(batch.column("many").flatten())
-            if size >= CHUNK:
-                yield combined()
-                held, size = [], 0
-        if held:
-            yield combined()
-
-    lists = by_word.select("word", "base", "once", "many", "ns", "us")
-    met = lists.join(words.select("word", "count", *[f"p{s}" for s in sweeps]), "word")
-    kinds = ["long", "long", "double", *["double", "int"] * len(sweeps)]
-    each = met.mapInArrow(run, ", ".join(f"{a} {b}" for a, b in zip(names, kinds)))
+                lists = batch.column("docs")
+                sizes = np.diff(lists.offsets.to_numpy().astype(np.int64))
+                ns = batch.column("ns").flatten().to_numpy().astype(np.int64)
+                row = np.repeat(batch.column("base").to_numpy(), sizes) + lists.flatten().to_numpy()
+                known = np.repeat(batch.column("known").to_numpy(zero_copy_only=False), sizes)
+                out = [row, ns * known, *[ns * np.repeat(batch.column(c).to_numpy(), sizes) for c in ("b", *names[3:])]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names)
+
+    met = listed.select("u", "w", "base", "docs", "ns").join(chances, ["u", "w"])
+    each = met.mapInArrow(run, ", ".join(f"{c} {'long' if c in ('row', 'n_known') else 'double'}" for c in names))
     return each.groupBy("row").agg(*[F.sum(c).alias(c) for c in names[1:]])
 
 
@@ -269,31 +322,41 @@ def log_gamma(x: Column) -> Column:
 def scores(docs: DataFrame, burn_in: int = 1, samples: int = 2, held_mod: int = HELD_MOD, held_at: int = HELD_AT) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` per row."""
     listed = written(postings(docs, held_mod, held_at), "lm-postings")
-    by_word = listed.where("word is not null")
-    words = written(
-        by_word.groupBy("word").agg(
-            F.sum("trained").alias("count"), F.sum("single").alias("singles"), F.sum("learned").alias("multis")
-        ),
-        "lm-words",
-    )
-    total, distinct = words.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count_if(F.col("count") > 0)).first()
-    # The first parent has one table per word and document.
-    words = with_parent(words.select("word", "count", "singles", (F.col("singles") + F.col("multis")).alias("c")), 0)
-    sweeps = list(range(burn_in + 1, burn_in + samples + 1))
+    by_pair = listed.where("w is not null")
+    pairs = written(by_pair.groupBy("u", "w").agg(F.sum("n").alias("n")), "lm-counts")
+    single = F.count_if(F.col("n") == 1).alias("singles")
+    learned = pairs.where("n > 0")
+    rooms = written(learned.groupBy("u").agg(F.sum("n").alias("customers"), single), "lm-contexts")
+    words = written(learned.groupBy("w").agg(F.sum("n").alias("count"), single), "lm-words")
+    total, distinct = words.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
+    discount = _estimated(*learned.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first())
+    # One table per pair and per word to begin with.
+    many = learned.where("n > 1").withColumn("t", F.lit(1).cast("long"))
+    words = with_customers(words.withColumn("t", F.lit(1).cast("long")), many)
+    root = _estimated(*words.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first())
+    chances, sweeps, kept = pairs, list(range(burn_in + 1, burn_in + samples + 1)), []
     for sweep in range(1, burn_in + samples + 1):
-        again = sweep_documents(by_word, words, sweep)
-        words = with_parent(again if sweep - 1 in sweeps else again.drop(f"p{sweep - 1}"), sweep)
-    sums = entries(by_word, words, sweeps, total, distinct)
-    rows = listed.where("word is null").select(F.col("base").alias("row"), "doc_id", "held_out", F.col("trained").alias("n_tokens"))
-    met = rows.join(sums, "row")
-    ratio = STRENGTH / DISCOUNT
+        words = corpus(words, sweep, distinct, root)
+        many = sweep_pairs(many, contexts(rooms, many), words, sweep, discount)
+        words = with_customers(words, many)
+        if sweep in sweeps:
+            kept.append((many, words := corpus(words, 1_000_000 + sweep, distinct, root)))
+    halls, dishes = rooms, words.select("w", "count")
+    for s, (tables, measure) in zip(sweeps, kept):
+        chances = chances.join(tables.select("u", "w", F.col("t").alias(f"t{s}")).hint("shuffle_hash"), ["u", "w"], "left")
+        halls = halls.join(contexts(rooms, tables).select("u", F.col("tables").alias(f"tables{s}")), "u")
+        dishes = dishes.join(measure.select("w", F.col("q").alias(f"q{s}")), "w")
+    met = chances.join(halls.drop("singles").hint("shuffle_hash"), "u", "left").join(dishes.hint("shuffle_hash"), "w", "left")
     logs = []
-    for s in sweeps:
-        t = F.col(f"t{s}").cast("double")
-        opened = (t - 1) * F.lit(float(np.log(DISCOUNT))) + log_gamma(t + ratio) - log_gamma(F.lit(ratio + 1))
-        seated = log_gamma(F.col("n_tokens") + F.lit(STRENGTH)) - log_gamma(F.lit(STRENGTH + 1))
-        logs.append(F.col(f"w{s}") + opened - seated)
-    met = met.withColumn("_logs", F.array(*logs)).withColumn("_top", F.array_max("_logs"))
+    for s, (tables, measure) in zip(sweeps, kept):
+        logs.append(_chance(s, discount, unseen_share(measure, distinct, root)).alias(f"l{s}"))
+    count = F.coalesce("count", F.lit(0))
+    base = F.log10((count + 1) / F.lit(total + distinct + 1))
+    chances = met.select("u", "w", (count > 0).cast("long").alias("known"), base.alias("b"), *logs)
+    sums = entries(by_pair, chances, sweeps)
+    rows = listed.where("w is null").select(F.col("base").alias("row"), "doc_id", "held_out", F.col("n").alias("n_tokens"))
+    met = rows.join(sums, "row")
+    met = met.withColumn("_logs", F.array(*[f"l{s}" for s in sweeps])).withColumn("_top", F.array_max("_logs"))
     mean = F.aggregate("_logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_top"))) / len(sweeps)
     return met.select(
         "doc_id",
@@ -306,6 +369,20 @@ def scores(docs: DataFrame, burn_in: int = 1, samples: int = 2, held_mod: int =
     )
 
 
+def unseen_share(measure: DataFrame, distinct: int, discount: float) -> float:
+    """The corpus restaurant's probability of any word that no training text has."""
+    customers, tables = measure.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
+    return (ROOT_STRENGTH + discount * tables) / (distinct + 1) / (ROOT_STRENGTH + customers)
+
+
+def _chance(s: int, discount: float, unseen: float) -> Column:
+    """Natural log of the word's probability after its context; a context without customers gives the corpus measure."""
+    n, customers, tables = F.col("n"), F.coalesce("customers", F.lit(0)), F.coalesce(f"tables{s}", F.lit(0))
+    t = F.coalesce(F.col(f"t{s}"), F.least(n, F.lit(1)))
+    back = (F.lit(WORD_STRENGTH) + F.lit(discount) * tables) * F.coalesce(f"q{s}", F.lit(unseen))
+    return F.log((n - F.lit(discount) * t + back) / (F.lit(WORD_STRENGTH) + customers))
+
+
 def perplexity(scored: DataFrame, column: str = "score") -> DataFrame:
     """``held_out, perplexity`` per token."""
     return scored.groupBy("held_out").agg(F.pow(F.lit(10.0), -F.sum(column) / F.sum("n_tokens")).alias("perplexity"))
