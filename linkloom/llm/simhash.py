@@ -15,7 +15,8 @@ and no list yields all its pairs. Links are joined to groups by star contraction
 
 Null and empty texts have fingerprint zero and link like any other. Repeated rows fall in one class.
 An empty table gives no rows. Columns other than ``doc_id`` and ``text`` are not read. Components are
-named by the smallest ``doc_id``; null ids count only where a component has no other.
+named by the smallest ``doc_id``; null ids count only where a component has no other. ``keep_one`` keeps
+one row of every component, of null ids too.
 """
 
 from __future__ import annotations
@@ -196,15 +197,19 @@ def _sorted(lists: DataFrame, *keys: str) -> DataFrame:
     return lists.repartition(*keys).sortWithinPartitions(*keys, "fp")
 
 
-def groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """``doc_id, fp, component_id`` per row: its fingerprint and the smallest id its links reach."""
-    prints = written(fingerprints(docs, shingle), "simhash")
+def _named(prints: DataFrame, max_bits: int) -> DataFrame:
+    """``fp, root, component_id`` of each distinct fingerprint: its component's root and smallest id."""
     classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
     roots = components(links(classes.select("fp"), max_bits), "simhash-groups").withColumnRenamed("node", "fp")
     rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(names, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return rooted.join(names, "root").select("fp", "root", "component_id")
+
+
+def groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
+    """``doc_id, fp, component_id`` per row: its fingerprint and the smallest id its links reach."""
+    prints = written(fingerprints(docs, shingle), "simhash")
+    return prints.join(_named(prints, max_bits), "fp").select("doc_id", "fp", "component_id")
 
 
 def hex_digits(fp):
@@ -212,11 +217,29 @@ def hex_digits(fp):
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """``docs`` with one row of each group: that of its smallest ``doc_id``, one of them if that is repeated.
+    """``docs`` with one row of each group: that of its smallest ``doc_id``, a null id last.
 
-    Rows without an id cannot be named and stay.
+    Rows of one id are told apart by fingerprint, then by a hash of the whole row, so that the choice does not
+    change between runs; rows equal in all of these are alike, and one of them stays.
     """
-    leaders = groups(docs, shingle, max_bits).where("doc_id = component_id").select(F.col("doc_id").alias("_leader")).distinct()
-    named = docs.where(F.col("doc_id").isNotNull())
-    kept = named.join(leaders, named["doc_id"] == leaders["_leader"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    hashed = [F.to_json(F.struct(c)) if "map<" in kind else F.col(c) for c, kind in docs.dtypes]  # maps have no hash
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64(*hashed).alias("tie"))
+    prints = written(_keyed(rows, shingle), "simhash")
+    named = _named(prints.select("doc_id", "fp"), max_bits)
+    order = F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "fp", "tie")
+    leaders = prints.join(named.select("fp", "root"), "fp").groupBy("root").agg(F.min(order).alias("first"))
+    met = rows.join(leaders.select(F.col("first.tie").alias("tie")), "tie", "left_semi")
+    return met.dropDuplicates(["tie"]).select("doc.*")
+
+
+def _keyed(rows: DataFrame, shingle: int) -> DataFrame:
+    """``doc_id, tie, fp`` of every row."""
+
+    def run(batches):
+        for batch in batches:
+            got = np.fromiter((simhash(t.as_py(), shingle) for t in batch.column("text")), np.uint64, batch.num_rows)
+            columns = [batch.column("doc_id"), batch.column("tie"), pa.array(got.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tie", "fp"])
+
+    narrow = rows.select(F.col("doc.doc_id").cast("long").alias("doc_id"), "tie", F.col("doc.text").cast("string").alias("text"))
+    return narrow.mapInArrow(run, "doc_id long, tie long, fp long")
