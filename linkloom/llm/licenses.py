@@ -2,7 +2,8 @@
 
 A text's words (A-Z lowered, runs of digits, a-z and all that is not ASCII) are cut into blocks of
 ``BLOCK`` words at every ``STRIDE`` words, so that any passage of up to ``BLOCK - STRIDE + 1`` words
-lies whole in a block. A block matches a template when it holds at least ``CONTAINMENT`` of the
+lies whole in a block. Templates of more words than that have blocks of their own (``geometry``), so that any
+passage of up to twice their words lies whole in one. A block matches a template when it holds at least ``CONTAINMENT`` of the
 template's distinct words. Template words are ordered by the number of documents that hold them, rarest
 first, counted over the whole table. A match shares a word of the template's prefix (prefix filter), has
 enough template words (length filter) and enough left after the first shared word (positional filter);
@@ -56,6 +57,15 @@ def _distinct(text: str) -> list[str]:
     return list(dict.fromkeys(text.split()))
 
 
+def geometry(text: str) -> tuple[int, int]:
+    """``(block, stride)`` in words of a template."""
+    n = len(text.split())
+    if n <= BLOCK - STRIDE + 1:
+        return BLOCK, STRIDE
+    stride = max(STRIDE, n // 4)
+    return 2 * n + stride, stride
+
+
 def _strings(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
@@ -110,24 +120,30 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment:
     index = []
     for label, text in templates.items():
         own = sorted(_distinct(text), key=rank.__getitem__)
+        if not own:
+            raise ValueError(f"template {label!r} has no words")
         least = needed(own, containment)
-        index += [(w, i, label, own, least) for i, w in enumerate(own[: len(own) - least + 1])]
-    prefixes = _strings(sorted({row[0] for row in index}))
+        index += [(*geometry(text), w, i, label, own, least) for i, w in enumerate(own[: len(own) - least + 1])]
     spark = docs.sparkSession
-    by_word = spark.createDataFrame(index, "word string, at int, label string, own array<string>, least int")
+    by_word = spark.createDataFrame(index, "_size int, _stride int, word string, at int, label string, own array<string>, least int")
+
+    def cut(size: int, stride: int) -> Column:
+        """Blocks with a prefix word: their size and template words in the global order."""
+        prefixes = _strings(sorted({row[2] for row in index if row[:2] == (size, stride)}))
+        blocks = F.expr(f"transform(sequence(0, greatest(size(words) - 1, 0), {stride}), i -> slice(words, i + 1, {size}))")
+        blocks = F.filter(blocks, lambda b: F.arrays_overlap(b, prefixes))
+        blocks = F.when(F.arrays_overlap("words", prefixes), blocks).otherwise(F.array().cast("array<array<string>>"))
+        return F.transform(blocks, lambda b: F.struct(F.lit(size).alias("_size"), F.array_intersect(_strings(order), b).alias("_known")))
 
-    blocks = F.expr(f"transform(sequence(0, greatest(size(words) - 1, 0), {STRIDE}), i -> slice(words, i + 1, {BLOCK}))")
-    blocks = F.filter(blocks, lambda b: F.arrays_overlap(b, prefixes))
-    blocks = F.when(F.arrays_overlap("words", prefixes), blocks).otherwise(F.array().cast("array<array<string>>"))
+    every = F.concat(*[cut(*g) for g in sorted({row[:2] for row in index})])
     rows = with_base(words).withColumn("_row", F.monotonically_increasing_id())
-    rows = rows.select("*", F.explode_outer(blocks).alias("_block")).drop("words")
-    # The block's template words in the global order.
-    rows = rows.withColumn("_known", F.array_intersect(_strings(order), "_block")).drop("_block")
+    rows = rows.select("*", F.explode_outer(every).alias("_block")).drop("words")
+    rows = rows.select("*", "_block.*").drop("_block")
     keep = ["_row", "doc_id", "n_words", "n_base", "first_word", "last_word", "base"]
-    each = rows.select(*keep, "_known", F.posexplode_outer("_known").alias("_j", "word"))
+    each = rows.select(*keep, "_size", "_known", F.posexplode_outer("_known").alias("_j", "word"))
     left = F.least(F.size("own") - F.col("at"), F.size("_known") - F.col("_j"))
     passes = (F.size("_known") >= F.col("least")) & (left >= F.col("least"))
-    met = each.join(F.broadcast(by_word), "word", "left")
+    met = each.join(F.broadcast(by_word.drop("_stride")), ["_size", "word"], "left")
     shared = F.when(passes, F.size(F.array_intersect("_known", "own")))
     met = met.withColumn("_shared", shared)
     hit = F.col("_shared") >= F.col("least")
