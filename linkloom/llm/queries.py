@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import fingerprints, licenses, lm, mixing, packing, pivots, sharding, simhash, token_files, toxicity
+from linkloom.llm import fingerprints, licenses, lm, merkle, mixing, packing, pivots, sharding, simhash, token_files, toxicity
 from linkloom.llm.common import small_batches, table, written
 from linkloom.session import fresh_path
 
@@ -63,6 +63,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         return written(token_files.checksums(token_files.read(spark, path)), "token-checksums")
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.checked(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_licenses": op2_licenses,
@@ -74,8 +78,10 @@ QUERIES = {
     "op8_pitman_yor": op8_pitman_yor,
     "op9_toxicity": op9_toxicity,
     "op10_token_files": op10_token_files,
+    "op12_merkle": op12_merkle,
 }
 ORACLES: dict[str, str] = {
     "op2_licenses": licenses.oracle(),
     "op5_mixing": mixing.oracle(),
+    "op12_merkle": merkle.oracle(),
 }
