@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import fingerprints, licenses, lm, merkle, mixing, packing, pivots, sharding, simhash, token_files, toxicity
+from linkloom.llm import collocations, fingerprints, licenses, lm, merkle, mixing, packing, pivots, sharding, simhash, token_files, toxicity
 from linkloom.llm.common import small_batches, table, written
 from linkloom.session import fresh_path
 
@@ -67,6 +67,10 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.checked(table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mined(table(spark, sf_dir, "documents"), min_count=10, inside_percent=50, top=2_000)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_licenses": op2_licenses,
@@ -79,9 +83,11 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_token_files": op10_token_files,
     "op12_merkle": op12_merkle,
+    "op13_collocations": op13_collocations,
 }
 ORACLES: dict[str, str] = {
     "op2_licenses": licenses.oracle(),
     "op5_mixing": mixing.oracle(),
     "op12_merkle": merkle.oracle(),
+    "op13_collocations": collocations.oracle(),
 }
