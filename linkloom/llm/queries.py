@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import collocations, fingerprints, licenses, lm, merkle, mixing, packing, pivots, sharding, simhash, token_files, toxicity
+from linkloom.llm import collocations, fingerprints, licenses, lm, merkle, mixing, packing, pii, pivots, sharding, simhash, token_files, toxicity
 from linkloom.llm.common import small_batches, table, written
 from linkloom.session import fresh_path
 
@@ -63,6 +63,13 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         return written(token_files.checksums(token_files.read(spark, path)), "token-checksums")
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = pii.fitted(docs, sample_docs=20_000, per_kind=1_000, steps=500)
+    with small_batches(spark):
+        return written(pii.summary(pii.find(docs, model)), "pii")
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.checked(table(spark, sf_dir, "documents"))
 
@@ -82,6 +89,7 @@ QUERIES = {
     "op8_pitman_yor": op8_pitman_yor,
     "op9_toxicity": op9_toxicity,
     "op10_token_files": op10_token_files,
+    "op11_pii": op11_pii,
     "op12_merkle": op12_merkle,
     "op13_collocations": op13_collocations,
 }
