@@ -33,8 +33,8 @@ from linkloom.llm.common import in_order, part_offsets, small_batches, written
 NO_LANG = "und"
 END = ""  # stands for "no further word of the piece"; no word is empty
 BLANKS, CUTS = b" \t", b".,;:!?\n\x0b\x0c\r"
-SLICE_BYTES = 24 << 20
-RANGE_TOKENS = 2_000_000
+SLICE_BYTES = 3 << 19
+RANGE_TOKENS = 700_000
 MAX_RANGES = 50_000  # bounds sent to every task; ranges of more tokens are cut by hash, so tasks do not grow
 REQUESTS = 500_000  # part lookups of one range that one task answers
 CELLS = "range int, share int, whole boolean, lang string, automaton binary"
@@ -98,7 +98,7 @@ class Transducer:
         order, same = _sorted(codes, len(labels))
         heads = np.flatnonzero(~same)
         weights = np.ones(len(order), np.int64) if weights is None else weights[order]
-        summed = np.add.reduceat(weights, heads) if len(heads) else weights
+        summed = np.add.reduceat(weights, heads, dtype=np.int64) if len(heads) else weights.astype(np.int64)
         return cls.build(labels, [c[order[heads]] for c in codes], summed)
 
     @classmethod
@@ -164,7 +164,7 @@ class Transducer:
     def from_bytes(cls, blob: bytes) -> Transducer:
         head, at, arrays = np.frombuffer(blob, "<i8", 20).reshape(10, 2), 160, []
         for n, size in head.tolist():
-            arrays.append(np.frombuffer(blob, f"<u{size}", n, at).astype(np.int64 if len(arrays) != 1 else np.uint8))
+            arrays.append(np.frombuffer(blob, f"<u{size}", n, at).astype(np.uint8 if len(arrays) == 1 else np.int64 if size > 3 else np.int32))
             at += n * size
         sizes, letters, a, s, n1, label1, state1, n2, label2, weight2 = arrays
         labels = pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(_offsets(sizes)), pa.py_buffer(letters))
@@ -183,7 +183,7 @@ def numbered(words: list[pa.Array]) -> tuple[pa.Array, np.ndarray]:
     """The distinct words, sorted, and the number of each word of the arrays, one after the other."""
     coded = pa.concat_arrays(words).dictionary_encode()
     order = pc.array_sort_indices(coded.dictionary).to_numpy()
-    rank = np.empty(len(order), np.int64)
+    rank = np.empty(len(order), np.int32)
     rank[order] = np.arange(len(order))
     return coded.dictionary.take(pa.array(order)), rank[coded.indices.to_numpy()]
 
@@ -203,7 +203,7 @@ def _changes(*columns: np.ndarray) -> np.ndarray:
 def _sorted(codes: list[np.ndarray], wide: int) -> tuple[np.ndarray, np.ndarray]:
     """The order of the windows, and which of them equal the one before."""
     if wide < 1 << 21:  # three numbers fit one of 64 bits
-        key = (codes[0] * wide + codes[1]) * wide + codes[2]
+        key = (codes[0].astype(np.int64) * wide + codes[1]) * wide + codes[2]
         order = np.argsort(key, kind="stable")
         key = key[order]
         same = np.concatenate([[False], key[1:] == key[:-1]])[: len(key)]
@@ -232,7 +232,7 @@ def _frozen(heads: np.ndarray, label: np.ndarray, target: np.ndarray) -> tuple[n
     single = np.flatnonzero(sizes == 1)
     at = heads[single]
     wide = int(label.max(initial=0)) + 1
-    _, pick, number = np.unique(target[at] * wide + label[at], return_index=True, return_inverse=True)
+    _, pick, number = np.unique(target[at].astype(np.int64) * wide + label[at], return_index=True, return_inverse=True)
     state[single] = number
     kept = [single[pick]]
     register: dict[bytes, int] = {}
@@ -258,38 +258,44 @@ def _arc(keys: np.ndarray, targets: np.ndarray, wanted: np.ndarray) -> tuple[np.
 
 
 def shards(docs: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """``lang, automaton``: one row per slice of texts and language in it, written."""
+    """``lang, automaton``: one row per slice of a partition's texts in one language, written."""
     rows = docs.select(
         F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), F.col("text").cast("string").alias("text")
     )
 
     def build(batches):
-        held, size = [], 0
+        held: dict[str, list] = {}  # texts of each language that wait for more
+        sizes: dict[str, int] = {}
         for batch in batches:
-            first, ends = 0, np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64))
-            while first < batch.num_rows:  # as many rows as fit, one at least
-                base = int(ends[first - 1]) if first else 0
-                stop = max(first + 1, int(np.searchsorted(ends, base + slice_bytes - size, "right")))
-                held.append(batch.slice(first, stop - first))
-                size, first = size + int(ends[stop - 1]) - base, stop
-                if size >= slice_bytes or first < batch.num_rows:
-                    yield from made(held)
-                    held, size = [], 0
-        yield from made(held)
-
-    def made(held):
-        if not held:
-            return
-        rows = pa.Table.from_batches(held)
-        for lang in pc.unique(rows.column("lang")).to_pylist():
-            texts = rows.filter(pc.equal(rows.column("lang"), lang)).column("text").combine_chunks()
-            labels, codes = windows(texts)
-            if len(codes[0]):
-                blob = Transducer.counted(labels, codes).to_bytes()
-                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([blob], pa.binary())], ["lang", "automaton"])
+            rows = pa.Table.from_batches([batch])
+            for lang in pc.unique(rows.column("lang")).to_pylist():
+                texts = rows.filter(pc.equal(rows.column("lang"), lang)).column("text").combine_chunks()
+                first, ends = 0, np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
+                while first < len(texts):  # as many texts as fit, one at least
+                    base = int(ends[first - 1]) if first else 0
+                    room = slice_bytes - sizes.get(lang, 0)
+                    stop = max(first + 1, int(np.searchsorted(ends, base + room, "right")))
+                    held.setdefault(lang, []).append(texts.slice(first, stop - first))
+                    sizes[lang] = sizes.get(lang, 0) + int(ends[stop - 1]) - base
+                    first = stop
+                    if sizes[lang] >= slice_bytes or first < len(texts):
+                        yield from made(lang, held.pop(lang))
+                        del sizes[lang]
+            while sum(sizes.values()) > 4 * slice_bytes:
+                lang = max(sizes, key=sizes.get)
+                yield from made(lang, held.pop(lang))
+                del sizes[lang]
+        for lang, texts in held.items():
+            yield from made(lang, texts)
+
+    def made(lang, texts):
+        labels, codes = windows(pa.concat_arrays(texts))
+        if len(codes[0]):
+            blob = Transducer.counted(labels, codes).to_bytes()
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([blob], pa.binary())], ["lang", "automaton"])
 
     with small_batches(docs.sparkSession):
-        return written(rows.mapInArrow(build, "lang string, automaton binary"), "phrase-shards")
+        return written(rows.mapInArrow(build, "lang string, automaton binary"), "phrase-shards", 8 << 20)
 
 
 def word_counts(made: DataFrame) -> DataFrame:
@@ -302,10 +308,10 @@ def word_counts(made: DataFrame) -> DataFrame:
                 first, *_, weight = t.entries()
                 heads = _changes(first)
                 words = t.labels.take(pa.array(first[heads])).cast(pa.string())
-                f = pa.array(np.add.reduceat(weight, heads))
+                f = pa.array(np.add.reduceat(weight, heads, dtype=np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(f)), words, f], ["lang", "word", "f"])
 
-    with small_batches(made.sparkSession, 4):
+    with small_batches(made.sparkSession, 1):
         rows = made.mapInArrow(roots, "lang string, word string, f long")
         return written(rows.groupBy("lang", "word").agg(F.sum("f").alias("f")), "phrase-words")
 
@@ -329,19 +335,26 @@ class Ranges:
 
 
 def ranges(words: DataFrame, range_tokens: int = RANGE_TOKENS) -> Ranges:
-    """Ranges of about ``range_tokens`` word occurrences, at most ``MAX_RANGES`` and one per language."""
+    """Ranges of about ``range_tokens`` word occurrences, at most about ``MAX_RANGES``.
+
+    Sizes are estimated from all frequent words and one in 64 of the rest, counted 64 times.
+    """
     total = words.agg(F.sum("f")).first()[0] or 0
     step = max(range_tokens, -(-total // MAX_RANGES))
-    placed = in_order(words, ["lang", "word"], "phrase-words-sorted")
+    frequent = F.col("f") >= step // 1000
+    some = words.where(frequent | (F.pmod(F.xxhash64("lang", "word"), F.lit(64)) == 0))
+    some = some.withColumn("f", F.when(frequent, F.col("f")).otherwise(64 * F.col("f")))
+    placed = in_order(some, ["lang", "word"], "phrase-words-sorted")
     before = written(part_offsets(placed, "f"), "phrase-parts")
     own = "sum(f) OVER (PARTITION BY _part ORDER BY _row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     at = placed.withColumn("_own", F.coalesce(F.expr(own), F.lit(0))).join(before, "_part")
     at = at.withColumn("_at", F.col("_own") + F.col("_before")).withColumn("_range", F.floor(F.col("_at") / step))
     firsts = at.groupBy("_range").agg(F.min_by(F.struct("lang", "word", "_at"), "_at").alias("s")).orderBy("_range")
     rows = [r.s for r in firsts.collect()]  # MAX_RANGES rows at most
-    sizes = np.diff([r._at for r in rows] + [total])
+    end = at.agg(F.max(F.col("_at") + F.col("f"))).first()[0] or 0
+    sizes = np.diff([r._at for r in rows] + [end])
     starts = [(r.lang.encode(), r.word.encode()) for r in rows]
-    return Ranges(starts, [max(1, int(n) // range_tokens) for n in sizes])
+    return Ranges(starts, [max(1, round(int(n) / range_tokens)) for n in sizes])
 
 
 def counts(made: DataFrame, bounds: Ranges, min_count: int) -> tuple[DataFrame, DataFrame]:
@@ -380,11 +393,11 @@ def counts(made: DataFrame, bounds: Ranges, min_count: int) -> tuple[DataFrame,
             t = Transducer.union([Transducer.from_bytes(b.as_py()) for b in blobs])
             a, b, c, weight = t.entries()
             heads = _changes(a, b)
-            sums = np.add.reduceat(weight, heads)
+            sums = np.add.reduceat(weight, heads, dtype=np.int64)
             # A pair whose windows lie in one cell only is complete here; shares of pairs are summed later.
             pairs = (b[heads] > 0) & ((sums >= min_count) | (not complete))
             triples = (c > 0) & (weight >= min_count)
-            for keep, at, f in ((pairs, heads, sums), (triples, np.arange(len(c)), weight)):
+            for keep, at, f in ((pairs, heads, sums), (triples, np.arange(len(c)), weight.astype(np.int64))):
                 at, f = at[keep], f[keep]
                 words = [t.labels.take(pa.array(x[at])) for x in (a, b, c)]
                 if keep is pairs:
@@ -393,7 +406,7 @@ def counts(made: DataFrame, bounds: Ranges, min_count: int) -> tuple[DataFrame,
                 out.append(pa.Table.from_arrays([*columns, pa.array(np.full(len(at), complete))], ["lang", "w1", "w2", "w3", "a", "whole"]))
         return pa.concat_tables(out)
 
-    with small_batches(made.sparkSession, 4):
+    with small_batches(made.sparkSession, 1):
         found = written(made.mapInArrow(cut, CELLS).groupBy("range", "share").applyInArrow(unite, COUNTED), "phrase-counts")
     pairs = found.where("w3 IS NULL")
     summed = pairs.where("NOT whole").groupBy("lang", "w1", "w2").agg(F.sum("a").alias("a")).where(F.col("a") >= min_count)

@@ -16,23 +16,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, and still there when an executor is lost."""
+def written(df: DataFrame, label: str, group_bytes: int = 128 << 20) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: computed once, and still there when an executor is lost.
+
+    A task holds a row group of about ``group_bytes`` as it writes or reads.
+    """
     path = fresh_path(df.sparkSession, f"llm-{label}")
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", group_bytes).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 2_000):
-    """Jobs run inside hand ``rows`` rows at a time to Python, so that whole texts take little memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 2_000, size: str = "8m"):
+    """Jobs run inside hand at most ``rows`` rows or about ``size`` bytes at a time to Python, so that whole texts take little memory."""
+    arrow = "spark.sql.execution.arrow."
+    wanted = {f"{arrow}maxRecordsPerBatch": str(rows), f"{arrow}maxBytesPerBatch": size}
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def lower_ascii(text: Column) -> Column:
