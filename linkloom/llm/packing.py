@@ -113,7 +113,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, group_rows: int = 50_000) -> DataFrame:
     """Every piece with its sequence and place there. Sequence ids are unique, not gapless."""
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession, 4_000):
         cut = written(pieces(docs, capacity, vocabulary), "pieces")
     rests = cut.where(F.col("length") < capacity)
     groups = max(1, -(-rests.count() // group_rows))

@@ -77,7 +77,7 @@ def write(
         "parquet.enable.dictionary": "false",
         "parquet.enable.dictionary#ids.list.element": str(encoding == "dictionary").lower(),
     }
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession, 4_000):
         ordered.select("doc_id", "text").mapInArrow(encode, STORED).write.options(**options).parquet(path)
 
 

@@ -3,14 +3,14 @@
 The pre-tokenizer of these vocabularies always cuts before a single space that stands between two
 characters that are no white space. Texts are therefore cut there first, each distinct word is
 encoded once, and the words' ids are put together by array operations: the ids are those of encoding
-the whole text. A text with a space next to other white space, at its start or its end is encoded whole.
+the whole text. A text with a space next to other white space, at its start or its end, or that holds
+one of the vocabulary's added tokens is encoded whole.
 """
 
 from __future__ import annotations
 
+import gc
 import os
-import sys
-from array import array
 from itertools import chain
 
 import numpy as np
@@ -18,7 +18,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 END_ID = 0
-TAIL = ".,;:!?"
+# Words that the pre-tokenizer cuts into one run of letters, whose bytes go to the merges as they are, and the marks after it.
+SIMPLE = r"^(?P<stem> ?[A-Za-zªµºÀ-ÖØ-öø-ɏ]+)(?P<tail>[.,;:!?]*)$"
+# White space as str.isspace has it, at either end of a word, or no word at all.
+_SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+ODD = rf"^{_SPACE}|{_SPACE}$|^$"
 
 
 def default_vocabulary() -> str:
@@ -34,18 +38,26 @@ def vocabulary_text(path: str | None = None) -> str:
 
 
 class Encoder:
-    """Encodes Arrow string arrays. Holds the ids of words met lately: ``keep`` and those of one slice at most."""
+    """Encodes Arrow string arrays. Holds the ids of words met lately in flat arrays: ``keep`` words and those of one slice at most."""
 
-    def __init__(self, vocabulary: str, keep: int = 500_000, slice_bytes: int = 6 << 20):
+    def __init__(self, vocabulary: str, keep: int = 600_000, slice_bytes: int = 8 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import Split
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.tokenizer.encode_special_tokens = True
-        self.merges = Tokenizer(self.tokenizer.model)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.byte_chars = byte_chars()
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = Split(self.byte_chars[10], "isolated")
+        (self.feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.keep, self.slice_bytes = keep, slice_bytes
-        self.words: dict[str, bytes] = {"": b""}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Known words; the ids of the word at ``i`` are ``flat[ends[i]:ends[i + 1]]``. The first word is empty."""
+        self.words = pa.array([""], pa.string())
+        self.flat, self.ends = np.empty(0, np.int32), np.zeros(2, np.int64)
 
     def slices(self, texts: pa.Array):
         """``(first row, ids, offsets)`` of pieces of the array, each of about ``slice_bytes``; a null text is empty.
@@ -57,65 +69,106 @@ class Encoder:
         while first < len(texts):
             base = sizes[first - 1] if first else 0
             stop = max(first + 1, int(np.searchsorted(sizes, base + self.slice_bytes, "right")))
-            yield first, *self._encode(pc.fill_null(texts.slice(first, stop - first), ""))
+            gc.disable()  # many strings and lists, none of them in a cycle
+            try:
+                coded = self._encode(pc.fill_null(texts.slice(first, stop - first), ""))
+            finally:
+                gc.enable()
+            yield first, *coded
             first = stop
 
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.words) > self.keep:
+            self._forget()
         lists = pc.split_pattern(texts, " ")
         bounds = lists.offsets.to_numpy().astype(np.int64)
         bounds -= bounds[0]
+        starts = bounds[:-1]
         coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        odd = np.fromiter((not w or w[0].isspace() or w[-1].isspace() for w in words), bool, len(words))
-        bad = np.maximum.reduceat(odd[codes], bounds[:-1])
-        firsts = [words[c] for c in codes[bounds[:-1]]]
-        # Codes: words after a space, then the first words, then texts encoded whole, then the end id.
-        n = len(words)
-        keys = ["" if o else " " + w for w, o in zip(words, odd)] + ["" if b else w for w, b in zip(firsts, bad)]
-        ids = self._ids(keys)
+        words, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(words, ODD).to_numpy(zero_copy_only=False)
+        bad = np.maximum.reduceat(odd[codes], starts)
+        for content in self.added:
+            bad |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
+        # Words of texts encoded whole are passed over: they become the empty word.
+        kept = np.zeros(len(words), bool)
+        kept[codes[np.repeat(~bad, np.diff(bounds))]] = True
+        firsts, first_of = np.unique(codes[starts[~bad]], return_inverse=True)
+        spaced = pc.binary_join_element_wise(pa.scalar(" "), words.filter(pa.array(kept)), pa.scalar(""))
+        place = self._places(pa.concat_arrays([spaced, words.take(pa.array(firsts))]))
+        of_word = np.zeros(len(words), np.int64)
+        of_word[kept] = place[: len(spaced)]
+        at = of_word[codes]
+        at[np.repeat(bad, np.diff(bounds))] = 0
+        at[starts[~bad]] = place[len(spaced) :][first_of]
         whole = np.flatnonzero(bad)
-        odd_texts = self.tokenizer.encode_batch([texts[int(i)].as_py() for i in whole], add_special_tokens=False)
-        ids += [array("i", e.ids).tobytes() for e in odd_texts]
-        ids.append(array("i", [END_ID]).tobytes())
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), np.int32)
-        codes[bounds[:-1]] = n + np.arange(len(firsts))
-        keep = ~np.repeat(bad, np.diff(bounds))
-        keep[bounds[:-1]] = True
-        codes[bounds[:-1][whole]] = n + len(firsts) + np.arange(len(whole))
-        counts = np.add.reduceat(keep, bounds[:-1], dtype=np.int64)
-        ends = np.cumsum(counts)
-        codes = np.insert(codes[keep], ends, len(ids) - 1)
-        each = lengths[codes]
+        ids = [e.ids for e in self.tokenizer.encode_batch([texts[int(i)].as_py() for i in whole], add_special_tokens=False)]
+        # After the known words: the texts encoded whole, then the end id.
+        flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32), np.array([END_ID], np.int32)])
+        ends = np.cumsum([self.ends[-1], *map(len, ids), 1])[1:]
+        ends = np.concatenate([self.ends, ends])
+        known = len(self.words)
+        at[starts[whole]] = known + np.arange(len(whole))
+        at = np.insert(at, bounds[1:], known + len(whole))
+        each = (ends[at + 1] - ends[at]).astype(np.int32)
         after = np.cumsum(each)
-        starts = np.concatenate([[0], np.cumsum(lengths)])[codes]
-        at = np.repeat(starts - (after - each), each)
-        at += np.arange(len(at))
-        stops = after[ends + np.arange(len(ends))]
-        return flat[at], np.concatenate([[0], stops])
-
-    def _ids(self, keys: list[str]) -> list[bytes]:
-        """Ids of each word, as bytes; a word starts with its space, if it has one."""
-        words = self.words
-        parts = {k: _parts(k) for k in keys if k not in words}
-        missing = [p for p in dict.fromkeys(chain.from_iterable(parts.values())) if p not in words]
-        # One run of letters is one pre-token: its bytes go to the merges as they are.
-        letters = [p for p in missing if p[p[0] == " " :].isalpha() and max(p) < "ɐ"]
-        for some, coded, tokenizer in (
-            (letters, [p.encode().decode("latin-1").translate(self.byte_chars) for p in letters], self.merges),
-            (others := list(dict.fromkeys(missing).keys() - set(letters)), others, self.tokenizer),
-        ):
-            for p, e in zip(some, tokenizer.encode_batch_fast(coded, add_special_tokens=False)):
-                words[p] = array("i", e.ids).tobytes()
-        for k, cut in parts.items():
-            if len(cut) > 1:
-                words[k] = b"".join([words[p] for p in cut])
-        out = [words[k] for k in keys]
-        if len(words) > self.keep:
-            self.words = {"": b""}
+        source = np.repeat((ends[at] - (after - each)).astype(np.int32 if after[-1] < 1 << 30 else np.int64), each)
+        source += np.arange(len(source), dtype=source.dtype)
+        stops = after[bounds[1:] + np.arange(len(starts))]
+        return flat[source], np.concatenate([[0], stops])
+
+    def _places(self, keys: pa.Array) -> np.ndarray:
+        """The place of each word among the known ones; words not known yet are encoded and added.
+
+        A word starts with its space, if it has one.
+        """
+        place = pc.index_in(keys, value_set=self.words)
+        missing = pc.is_null(place)
+        out = pc.fill_null(place, 0).to_numpy().astype(np.int64)
+        if len(unknown := keys.filter(missing)):
+            known = len(self.words)
+            new = self._learned(unknown.unique())
+            out[missing.to_numpy(zero_copy_only=False)] = known + pc.index_in(unknown, value_set=new).to_numpy()
         return out
 
+    def _learned(self, new: pa.Array) -> pa.Array:
+        """Adds new words, in the order returned. Letters and the marks after them are encoded apart."""
+        cut = pc.extract_regex(new, SIMPLE)
+        simple = pc.is_valid(cut)
+        stems, tails = (cut.field(i).filter(simple).dictionary_encode() for i in (0, 1))
+        others = new.filter(pc.invert(simple)).to_pylist()
+        stem_flat, stem_sizes = self._stems(stems.dictionary)
+        tail_flat, tail_sizes = self._whole(tails.dictionary.to_pylist())
+        flat, ends = np.concatenate([stem_flat, tail_flat]), np.concatenate([[0], np.cumsum(np.concatenate([stem_sizes, tail_sizes]))])
+        halves = np.stack([stems.indices.to_numpy(), len(stem_sizes) + tails.indices.to_numpy()], axis=1).ravel()
+        n = ends[halves + 1] - ends[halves]
+        before = np.cumsum(n) - n
+        ids = flat[np.repeat(ends[halves] - before, n) + np.arange(n.sum())]
+        other_ids, other_sizes = self._whole(others)
+        added = pa.concat_arrays([new.filter(simple), pa.array(others, pa.string())])
+        sizes = np.concatenate([n.reshape(-1, 2).sum(axis=1), other_sizes])
+        self.words = pa.concat_arrays([self.words, added])
+        self.flat = np.concatenate([self.flat, ids, other_ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        return added
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def _stems(self, stems: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number of each run of letters: as characters that stand for bytes, many as the lines of one text."""
+        bounds = np.append(np.arange(0, len(stems), 2_000), len(stems)).astype(np.int32)
+        lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds), stems), "\n").to_pylist() if len(stems) else []
+        shown = [f"{x}\n".encode().decode("latin-1").translate(self.byte_chars) for x in lines]
+        flat, sizes = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+        for e in self.merges.encode_batch_fast(shown, add_special_tokens=False):
+            ids = np.array(e.ids, np.int32)
+            kept = ids != self.feed
+            flat.append(ids[kept])
+            sizes.append(np.diff(np.flatnonzero(~kept), prepend=-1) - 1)
+        return np.concatenate(flat), np.concatenate(sizes)
+
 
 def byte_chars() -> dict[int, str]:
     """The character that stands for each byte in a byte-level vocabulary: itself if printable, else the next from 256 on."""
@@ -124,27 +177,15 @@ def byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-def _parts(word: str) -> tuple | list:
-    """A word cut where the pre-tokenizer always cuts: at a lone line feed, and between letter and end marks."""
-    if "\n" in word:
-        lines = word.split("\n")
-        if any(not x or x[-1].isspace() or (i and x[0].isspace()) for i, x in enumerate(lines)):
-            return (word,)
-        return [p for i, x in enumerate(lines) for p in (("\n", *_parts(x)) if i else _parts(x))]
-    stem = word.rstrip(TAIL)
-    if len(stem) != len(word) and stem and stem[-1].isalpha() and stem[-1] < "ɐ":
-        return stem, word[len(stem) :]
-    return (word,)
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def task_encoder(vocabulary: str) -> Encoder:
     """The encoder of this Python worker, made by the first task that asks and kept for the next ones."""
-    kept = sys.modules["__main__"].__dict__.setdefault("_linkloom_encoders", {})
-    key = hash(vocabulary)
-    if key not in kept:
-        kept.clear()
-        kept[key] = Encoder(vocabulary)
-    return kept[key]
+    if vocabulary not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[vocabulary] = Encoder(vocabulary)
+    return _ENCODERS[vocabulary]
 
 
 def little_endian(ids: np.ndarray) -> memoryview:

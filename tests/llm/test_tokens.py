@@ -11,6 +11,7 @@ from linkloom.llm import packing, token_files, tokens
 from linkloom.session import fresh_path
 
 ODD = ["", " ", "a", " a", "a ", "a  b", "a\nb c", "a\n\nb. c", "x.\n", "don't 's  it's 's", None, "tab\t x", "é, ß. 1.5, 3! ok?!"]
+ODD += ["a <|endoftext|> b", "<|endoftext|>", "x <|endoftext|>. y", "\u3000a b", "a\u2028 b", "a b\x85", "ª µ º × ÷ ɐ ɏ"]
 ODD += ["\n", "a \n b", "nb  sp", "日本 語。 か", "a" * 5000, "<|endoftext|> x<|endoftext|>", "a.\x1cb c", "x'll. y're,"]
 
 
@@ -22,7 +23,6 @@ def vocabulary():
 @pytest.fixture(scope="module")
 def plain(vocabulary):
     t = Tokenizer.from_str(vocabulary)
-    t.encode_special_tokens = True
     return lambda texts: [e.ids + [0] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -49,6 +49,10 @@ def test_any_text(texts):
     assert encoded(tokens.Encoder(vocabulary), texts) == want
 
 
+def test_end_mark_in_a_text_is_its_token(vocabulary):
+    assert encoded(tokens.Encoder(vocabulary), ["a <|endoftext|> b"]) == [[64, 220, 50256, 275, 0]]
+
+
 def test_best_fit_decreasing_takes_the_tightest():
     rng = np.random.default_rng(3)
     lengths = np.sort(rng.integers(1, 64, 400))[::-1]
