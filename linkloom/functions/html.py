@@ -1,70 +1,17 @@
-"""Page fields out of raw HTML with native regex expressions over the whole text.
-
-For pages whose nesting matters, ``linkloom.functions.parsed`` reads the same field rules with a
-real tag parser.
-"""
+"""Page fields out of raw HTML with native expressions (see ``linkloom.functions.markup``)."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from dataclasses import dataclass
-from html.entities import name2codepoint
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.functions import markup as M
 from linkloom.functions.urls import quoted
 
-# --- fixed values ------------------------------------------------------------------------
-# Patterns that run over a whole page start with their "<", so a scan leaves every other
-# character after one comparison.
-COMMENT_OR_RAW_TEXT = r"(?is)<(?:!--.*?-->|(?:script|style)\b[^>]*>.*?</(?:script|style)\s*>)"
-COMMENT_OR_TAG = r"(?s)<(?:!--.*?-->|/?[a-zA-Z!][^>]*>)"
-TAG = r"(?s)</?[a-zA-Z!][^>]*>"
-HEAD_PART = r"(?is)\A(.*?)(?:<body\b|\z)"
-BODY_START = r"(?i)<body\b[^>]*>"
-BODY_END = r"(?i)</body\s*>"
-TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
-# Attributes one by one up to the first href, whatever the quoted values before it hold.
-ANCHOR_HREF = (
-    r"""(?is)<a(?=[\s/])(?:"[^"]*+"|'[^']*+'|[^"'>\s/]++|[\s/]++(?!href\s*=))*+"""
-    r"""[\s/]++href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
-)
 TITLE_DEFAULT = "Title Not Found"
-# What follows a tag's name: attributes, whose quoted values may hold ">".
-TAG_REST = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
-# Elements that end an open paragraph, as they start or end.
-BLOCKS = (
-    "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-    "header hr main menu nav ol p pre section table ul"
-).split()
-# Elements that only end.
-ENCLOSING = "body dd dt html li tbody td tfoot th thead tr".split()
-# -----------------------------------------------------------------------------------------
-
-# "name character" lines of the standard entity table; one foldable literal in the plan.
-_ENTITY_TABLE = "str_to_map(" + quoted("\n".join(f"{n} {chr(cp)}" for n, cp in name2codepoint.items())) + ", '\\n', ' ')"
-_ENTITY = quoted(r"\A(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,7});")
-# Text between two ampersands: "amp;rest" -> "&rest"; what is no entity gets its "&" back.
-# Entities met on almost every page are tested before the pattern and the full table.
-_DECODE_PIECE = f"""
-(p, i) -> CASE WHEN i = 0 THEN p
-  WHEN startswith(p, 'amp;') THEN concat('&', substr(p, 5))
-  WHEN startswith(p, 'nbsp;') THEN concat('\u00a0', substr(p, 6))
-  WHEN startswith(p, 'quot;') THEN concat('"', substr(p, 6))
-  WHEN startswith(p, 'lt;') THEN concat('<', substr(p, 4))
-  WHEN startswith(p, 'gt;') THEN concat('>', substr(p, 4))
-  ELSE transform(array(regexp_extract(p, {_ENTITY}, 1)), n ->
-    CASE WHEN n = '' THEN concat('&', p)
-      WHEN NOT startswith(n, '#') THEN
-        coalesce(concat(try_element_at({_ENTITY_TABLE}, n), substr(p, length(n) + 2)), concat('&', p))
-      ELSE transform(array(coalesce(try_cast(substr(n, 2) AS bigint), try_cast(conv(substr(n, 3), 16, 10) AS bigint))), c ->
-        CASE WHEN c BETWEEN 1 AND 55295 OR c BETWEEN 57344 AND 1114111
-          THEN concat(decode(unhex(lpad(hex(c), 8, '0')), 'UTF-32'), substr(p, length(n) + 2))
-          ELSE concat('&', p) END)[0]
-      END)[0]
-  END"""
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -72,144 +19,79 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def decode_entities(text: Column) -> Column:
-    """Named and numeric character references, decoded in one pass (``&amp;lt;`` -> ``&lt;``)."""
-    return F.array_join(F.call_function("transform", F.split(text, "&"), F.expr(_DECODE_PIECE)), "")
-
+def _over(column: Column, name: str, sql: str) -> Column:
+    """SQL over one column, named in it, and the table of references."""
+    return F.get(F.call_function("transform", F.array(column), F.expr(f"{name} -> {M.bind(M.REFERENCES, 'refs', sql)}")), F.lit(0))
 
-def markup_only(html: Column) -> Column:
-    """HTML without comments and without script/style contents: what can hold real tags."""
-    return F.regexp_replace(html, COMMENT_OR_RAW_TEXT, "")
 
-
-def strip_tags(html: Column) -> Column:
-    return F.regexp_replace(html, TAG, "")
+def decode_entities(text: Column) -> Column:
+    """Named and numeric character references, decoded in one pass (``&amp;lt;`` -> ``&lt;``) by the rules of HTML:
+    the longest known name counts, with or without its ``;``."""
+    return _over(text, "html", M.decoded("html"))
 
 
 def title_text(html: Column) -> Column:
-    """First head title, entities decoded; NULL when there is none or it is empty."""
-    head = F.regexp_extract(html, HEAD_PART, 1)
-    title = F.regexp_extract(markup_only(head), TITLE, 1)
-    return let(title, lambda t: F.when(t != "", decode_entities(t)))
+    """First head title, references decoded; NULL when there is none or it is empty."""
+    found = M.decoded(f"regexp_extract(html, {quoted(M.HEAD_TITLE)}, 2)")
+    return _over(html, "html", M.bind(found, "tx", "CASE WHEN tx <> '' THEN tx END"))
 
 
 def body_text(html: Column, strip_script: bool = False) -> Column:
-    """All text under body, comments excluded; ``''`` without a body.
+    """All text under body, comments excluded; ``''`` without any.
 
-    Script and style text counts as text unless ``strip_script`` is set.
+    A body that is not written starts with the first content that can stand in no head; content after
+    the body's end tag belongs to it, but for blanks. Script and style text counts as text unless
+    ``strip_script`` is set.
     """
-    after = F.coalesce(F.get(F.split(html, BODY_START, 2), F.lit(1)), F.when(html.isNotNull(), F.lit("")))
-    body = F.get(F.split(after, BODY_END, 2), F.lit(0))
-    if strip_script:
-        return decode_entities(strip_tags(markup_only(body)))
-    return decode_entities(F.regexp_replace(body, COMMENT_OR_TAG, ""))
+    after_end = r"(?i)\A</(?:body|html)[\s/>]"
+    blank = f"f RLIKE {quoted(r'\A\s+\z')} AND j > 0 AND get(ts, j - 1) RLIKE {quoted(after_end)}"
+    text = f"array_join(transform(ts, (f, j) -> CASE WHEN NOT ({blank}) THEN {M.text_of('f', strip_script)} END), '')"
+    body = f"substr(html, length(regexp_extract(html, {quoted(M.HEAD_PART)}, 0)) + 1)"
+    return _over(html, "html", f"CASE WHEN html IS NOT NULL THEN {M.bind(M.tokens(body), 'ts', text)} END")
 
 
 def anchor_tokens(html: Column) -> Column:
     """Raw href values (quotes included) of every anchor, in document order."""
-    return F.regexp_extract_all(markup_only(html), F.lit(ANCHOR_HREF), F.lit(1))
+    return F.filter(F.regexp_extract_all(html, F.lit(M.ANCHOR_HREF), F.lit(1)), lambda t: t != "")
 
 
 def unquote(token: Column) -> Column:
     """An attribute value as written -> its text."""
-    quoted = token.startswith('"') | token.startswith("'")
-    plain = F.when(quoted, F.substr(token, F.lit(2), F.length(token) - 2)).otherwise(token)
-    return F.when(token.contains("&"), decode_entities(plain)).otherwise(plain)
-
-
-def _where(attr: str | None, value: str | None, match: str) -> str:
-    if attr is None:
-        return ""
-    if value is None:
-        return rf"[^>]*?\s{attr}\s*="
-    want = re.escape(value)
-    inside = {
-        "equals": want,
-        "contains": f"[^\"'>]*{want}[^\"'>]*",
-        "token": rf"(?:[^\"'>]*\s)?{want}(?:\s[^\"'>]*)?",
-    }[match]
-    return rf"[^>]*?\s{attr}\s*=\s*[\"']{inside}[\"']"
-
-
-def _spans(tag: str) -> tuple[str, str]:
-    """Spark SQL for an array ``ps`` of pieces that each start with a tag: the pieces' pattern, and per piece the depth after it.
-
-    An element runs to the first later piece whose depth is below its own. End tags without a start
-    are passed over; without an end, an element runs to the end of the text. A list item ends at the next
-    item of its list and at the list's end; elements of other lists inside it are its own.
-    """
-    up = quoted(rf"(?is)\A<{tag}[\s/>]")
-    down = quoted(rf"(?is)\A</{tag}\s*>")
-    if tag.lower() != "li":
-        return rf"(?i)(?=</?{tag}[\s/>])", f"CASE WHEN p RLIKE {up} THEN d + 1 WHEN p RLIKE {down} THEN greatest(d - 1, 0) ELSE d END"
-    # Depth 2 n + 1 is within an item of the n-th list, 2 n within that list.
-    ups, downs = quoted(r"(?is)\A<(?:ul|ol|menu)[\s/>]"), quoted(r"(?is)\A</(?:ul|ol|menu)\s*>")
-    return (
-        r"(?i)(?=</?(?:li|ul|ol|menu)[\s/>])",
-        f"CASE WHEN p RLIKE {up} THEN d + 1 - d % 2 WHEN p RLIKE {down} THEN d - d % 2 "
-        f"WHEN p RLIKE {ups} THEN d + 2 - d % 2 WHEN p RLIKE {downs} THEN greatest(d - d % 2 - 2 + (CASE WHEN d >= 3 THEN 1 ELSE 0 END), 0) ELSE d END",
+    return F.when(token.contains("&"), _over(token, "html", M.unquoted("html"))).otherwise(
+        F.when(token.startswith('"') | token.startswith("'"), F.substr(token, F.lit(2), F.length(token) - 2)).otherwise(token)
     )
 
 
-def _insides(markup: Column, tag: str, attr: str | None, value: str | None, match: str, outer: bool) -> Column:
-    """Insides of all matching elements of markup without comments and scripts, by their nesting."""
-    opener = quoted(rf"(?is)\A<{tag}(?=[\s/>]){_where(attr, value, match)}{TAG_REST}")
-    if tag.lower() == "p":  # paragraphs do not nest
-        ends = rf"<(?:{'|'.join(BLOCKS)})[\s/>]|</(?:{'|'.join(BLOCKS + ENCLOSING)})\s*>"
-        found = rf"(?is)<p(?=[\s/>]){_where(attr, value, match)}{TAG_REST}(.*?)(?={ends}|\z)"
-        return F.regexp_extract_all(markup, F.lit(found), F.lit(1))
-    cut, depth = _spans(tag)
-    first = quoted(rf"(?is)\A<{tag}(?=[\s/>]){TAG_REST}")
-    spans = f"""
-transform(filter(sequence(0, size(x.ps) - 1), k -> get(x.ps, k) RLIKE {opener}), k -> struct(k AS k,
-  coalesce(array_min(filter(sequence(k, size(x.ps)), j -> j > k AND (get(x.ds, j) < get(x.ds, k)
-    {"OR (get(x.ds, j) = get(x.ds, k) AND get(x.ps, j) RLIKE " + quoted(r"(?is)\A<li[\s/>]") + ")" if tag.lower() == "li" else ""}))), size(x.ps)) AS e))"""
-    if outer:
-        spans = f"""aggregate({spans}, struct(0 AS e, cast(array() AS array<struct<k: int, e: int>>) AS a),
-  (s, y) -> CASE WHEN y.k < s.e THEN s ELSE struct(y.e AS e, array_append(s.a, y) AS a) END, s -> s.a)"""
-    return _cut(markup, cut, depth, spans, first)
-
-
-def _cut(markup: Column, cut: str, depth: str, spans: str, first: str) -> Column:
-    """The text of the pieces of each span, without the opening tag."""
-    depths = f"""aggregate(ps, struct(0 AS d, cast(array() AS array<int>) AS a),
-  (s, p) -> transform(transform(array(s.d), d -> {depth}), n -> struct(n AS d, array_append(s.a, n) AS a))[0], s -> s.a)"""
-    return F.call_function(
-        "flatten",
-        F.call_function(
-            "transform",
-            F.array(F.split(markup, cut)),
-            F.expr(f"""ps -> flatten(transform(array(struct(ps AS ps, {depths} AS ds)), x -> transform({spans},
-  y -> regexp_replace(array_join(slice(x.ps, y.k + 1, y.e - y.k), ''), {first}, ''))))"""),
-        ),
-    )
+def _fit(tag: str, attr: str | None, value: str | None, match: str) -> Callable[[str], str]:
+    return lambda token: M.fits(token, tag, attr, value, match)
 
 
 def regions(html: Column, tag: str, attr: str | None = None, value: str | None = None, match: str = "equals") -> Column:
     """Insides of all matching elements, in document order; an element ends at its own end tag."""
-    return _insides(markup_only(html), tag, attr, value, match, outer=False)
+    found = M.elements(_fit(tag, attr, value, match))
+    return _over(html, "html", M.over_page("html", f"transform({found}, el -> {M.inside('el')})"))
 
 
 def scoped_anchor_tokens(html: Column, tag: str, attr: str | None = None, value: str | None = None) -> Column:
     """Raw href values of anchors inside the matching elements only, each once."""
-    outer = _insides(markup_only(html), tag, attr, value, "equals", outer=True)
-    return F.flatten(F.transform(outer, lambda r: F.regexp_extract_all(r, F.lit(ANCHOR_HREF), F.lit(1))))
+    outer = M.outermost(M.elements(_fit(tag, attr, value, "equals")))
+    hrefs = f"filter(transform(slice(ts, el + 2, get(ns, el).e - el - 1), f -> CASE WHEN f RLIKE '(?i)^<a[ \\\\s/]' THEN {M.attribute('f', 'href')} END), f -> f <> '')"
+    return _over(html, "html", M.over_page("html", f"flatten(transform({outer}, el -> {hrefs}))"))
 
 
 @dataclass(frozen=True)
 class FieldRule:
     """One record field.
 
-    ``take``: ``first`` first match, trimmed, ``''`` if none; ``join`` all matches joined by a
-    newline, then trimmed; ``attr`` value of attribute ``attr`` or NULL; ``must`` first match as
-    it stands, where a missing element fails the row.
+    ``take``: ``first`` first text, trimmed, ``''`` if none; ``join`` all texts joined by a
+    newline, then trimmed; ``attr`` value of attribute ``attr`` of the first match, NULL without one; ``must`` first match as
+    it stands, where a missing element fails the row. ``strict`` fails the row of an ``attr`` rule whose
+    element lacks the attribute.
     ``tag``/``attr_name``/``attr_value``/``match`` pick the element: the attribute equals the
     value, contains it, or has it among its blank-separated tokens. ``inside`` narrows the search
     to another rule's elements, to their direct children if ``child`` is set.
     ``text``: ``all`` text of the element, its ``own`` text nodes, those of its descendants
-    (``below``), or its ``only`` text (NULL if it has several children). Native columns and parser
-    agree on which elements there are and on ``all``; the native columns read ``own`` up to the first
-    tag inside, and only the parser tells all four apart.
+    (``below``), or its ``only`` text (NULL if it has several children; a trimmed ``must`` then fails).
     """
 
     name: str
@@ -224,6 +106,10 @@ class FieldRule:
     child: bool = False
     trim: bool = True
     dash_clean: bool = False
+    strict: bool = False
+
+
+_TRIM = quoted(r"\A\s+|\s+\z")
 
 
 def trim_space(text: Column) -> Column:
@@ -236,58 +122,93 @@ def dash_clean(day: Column) -> Column:
     return let(day, lambda d: F.when(d.endswith("-"), trim_space(F.rtrim(d, F.lit("-")))).otherwise(d))
 
 
-def _found(markup: Column, rule: FieldRule, outer: bool = False) -> Column:
-    """Insides of the rule's elements, within those of the rule it stands inside of."""
-
-    def own(text: Column) -> Column:
-        return _insides(text, rule.tag, rule.attr_name, rule.attr_value, rule.match, outer)
+def _scopes(rules: list[FieldRule]) -> list[FieldRule]:
+    """The rules that others stand inside of, outer ones first."""
+    out: list[FieldRule] = []
+    for r in rules:
+        for scope in (*_scopes([r.inside]), r.inside) if r.inside else ():
+            if scope not in out:
+                out.append(scope)
+    return out
 
-    if rule.inside is None:
-        return own(markup)
-    return F.flatten(F.transform(_found(markup, rule.inside, outer=True), own))
 
+def _found(rule: FieldRule, scopes: list[FieldRule]) -> str:
+    fit = _fit(rule.tag, rule.attr_name, rule.attr_value, rule.match)
+    return M.elements(fit, f"pg.s{scopes.index(rule.inside)}" if rule.inside else None, rule.child)
 
-def _region_text(inner: Column, rule: FieldRule) -> Column:
-    if rule.text == "own":
-        inner = let(inner, lambda r: F.when(r.startswith("<"), r).otherwise(F.substring_index(r, "<", 1)))
-    return decode_entities(strip_tags(inner))
 
-
-def _field(markup: Column, rule: FieldRule) -> Column:
-    """A rule over markup without comments and scripts."""
+def _field(rule: FieldRule, scopes: list[FieldRule]) -> str:
+    """SQL: ``struct(value, missing)`` of a rule over a page's tokens and nodes."""
+    found = _found(rule, scopes)
     if rule.take == "attr":
-        where = rf"(?is)<{rule.tag}(?=[\s/>]){_where(rule.attr_name, rule.attr_value, rule.match)}{TAG_REST}"
-        scopes = F.array(markup) if rule.inside is None else _found(markup, rule.inside, outer=True)
-        elements = F.flatten(F.transform(scopes, lambda s: F.regexp_extract_all(s, F.lit(where), F.lit(0))))
-        value = rf"""(?is)\s{rule.attr}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
-        token = F.regexp_extract(F.coalesce(F.get(elements, F.lit(0)), F.lit("")), value, 1)
-        return let(token, lambda t: F.when(t != "", unquote(t)))
-    found = _found(markup, rule)
-    if rule.take == "join":
-        return trim_space(F.array_join(F.transform(found, lambda r: _region_text(r, rule)), "\n"))
+        there = M.fits("get(ts, el)", rule.tag, rule.attr, None, "equals")
+        value = f"CASE WHEN el IS NOT NULL AND {there} THEN {M.unquoted(M.attribute('get(ts, el)', rule.attr))} END"
+        missing = f"el IS NOT NULL AND NOT {there}" if rule.strict else "false"
+        return M.bind(f"get({found}, 0)", "el", f"struct({value} AS value, {missing} AS missing)")
     if rule.take == "must":
-        text = _region_text(F.get(found, F.lit(0)), rule)
-        return trim_space(text) if rule.trim else text
+        text = f"CASE WHEN el IS NOT NULL THEN {M.texts('el', rule.text)}[0] END"
+        trimmed = f"regexp_replace(tx, {_TRIM}, '')" if rule.trim else "tx"
+        missing = "tx IS NULL" if rule.trim else "el IS NULL"
+        return M.bind(f"get({found}, 0)", "el", M.bind(text, "tx", f"struct({trimmed} AS value, {missing} AS missing)"))
+    if rule.take == "join":
+        every = f"flatten(transform({found}, el -> {M.texts('el', rule.text)}))"
+        return f"struct(regexp_replace(array_join({every}, '\\n'), {_TRIM}, '') AS value, false AS missing)"
     if rule.take != "first":
         raise ValueError(f"unknown take {rule.take!r}")
-    text = trim_space(_region_text(F.coalesce(F.get(found, F.lit(0)), F.lit("")), rule))
-    return dash_clean(text) if rule.dash_clean else text
+    first = f"aggregate({found}, cast(NULL AS string), (tx, el) -> CASE WHEN tx IS NOT NULL THEN tx ELSE get({M.texts('el', rule.text)}, 0) END)"
+    text = f"regexp_replace(coalesce({first}, ''), {_TRIM}, '')"
+    if rule.dash_clean:
+        text = M.bind(text, "tx", f"CASE WHEN endswith(tx, '-') THEN regexp_replace(rtrim('-', tx), {_TRIM}, '') ELSE tx END")
+    return f"struct({text} AS value, false AS missing)"
 
 
-def fields(html: Column, rules: list[FieldRule]) -> Column:
-    """All rules as one struct; the page is freed of comments and scripts once.
+def page(html: Column) -> Column:
+    """A page's tokens, nodes and texts: what several field lists can be read from without reading the page again."""
+    every = f"transform(ts, f -> {M.text_of('f')})"
+    return _over(html, "html", M.over_page("html", f"struct(ts AS ts, ns AS ns, {every} AS xs)"))
 
-    A ``must`` field is NULL where its element is missing.
-    """
-    return let(markup_only(html), lambda m: F.struct(*(_field(m, r).alias(r.name) for r in rules)))
+
+def _on_page(read: Column, sql: str) -> Column:
+    return _over(read, "pg", f"CASE WHEN pg IS NOT NULL THEN {M.bind('pg.ts', 'ts', M.bind('pg.ns', 'ns', M.bind('pg.xs', 'xs', sql)))} END")
 
 
-def missing_must(html: Column, rules: list[FieldRule]) -> Column:
-    """``missing_<field>`` of the first ``must`` rule without an element, else NULL."""
-    needed = [r for r in rules if r.take == "must"]
+def page_steps(rules: list[FieldRule]) -> list[Callable[[Column], Column]]:
+    """How the page that :func:`page_fields` reads is made of HTML: each step takes the column of the one before.
+
+    After :func:`page`, a step per depth of nested rules adds the elements that others stand inside of. As
+    columns of their own they are analyzed one after the other; a single expression would nest too deep.
+    """
+    scopes, steps, done = _scopes(rules), [page], 0
+    while done < len(scopes):
+        inner = [r for r in scopes[done:] if r.inside is None or r.inside in scopes[:done]]
+        level = scopes[done : done + len(inner)] if inner == scopes[done : done + len(inner)] else scopes[done : done + 1]
+        kept = ["pg.ts AS ts", "pg.ns AS ns", "pg.xs AS xs", *(f"pg.s{k} AS s{k}" for k in range(done))]
+        new = [f"{_found(r, scopes)} AS s{done + k}" for k, r in enumerate(level)]
+        steps.append(lambda read, sql=f"struct({', '.join(kept + new)})": _on_page(read, sql))
+        done += len(level)
+    return steps
+
+
+def page_fields(read: Column, rules: list[FieldRule]) -> Column:
+    """All rules as one struct, over a column made by :func:`page_steps` of the same rules."""
+    scopes = _scopes(rules)
+    return _on_page(read, f"struct({', '.join(f'{_field(r, scopes)}.value AS `{r.name}`' for r in rules)})")
+
+
+def page_failure(read: Column, rules: list[FieldRule]) -> Column:
+    """``missing_<field>`` of the first rule that a page fails, else NULL."""
+    scopes = _scopes(rules)
+    needed = [r for r in rules if r.take == "must" or r.strict]
     if not needed:
         return F.lit(None).cast("string")
-    return let(
-        markup_only(html),
-        lambda m: F.coalesce(*(F.when(_field(m, r).isNull(), F.lit(f"missing_{r.name}")) for r in needed)),
-    )
+    each = ", ".join(f"CASE WHEN {_field(r, scopes)}.missing THEN 'missing_{r.name}' END" for r in needed)
+    return _on_page(read, f"coalesce({each}, cast(NULL AS string))")
+
+
+def with_fields(df: DataFrame, html: Column, rules: list[FieldRule], out: str) -> DataFrame:
+    """``df`` with all rules over a page as the struct ``out``; the page is read once."""
+    read = html
+    for step in page_steps(rules):
+        df = df.withColumn("_read", step(read))
+        read = F.col("_read")
+    return df.withColumn(out, page_fields(read, rules)).drop("_read")

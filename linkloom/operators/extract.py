@@ -1,13 +1,11 @@
 """Page extractors: raw HTML in, a record (JSON) and raw outlinks out.
 
-An extractor is a set of Column builders, so extraction runs inside the scan stage. A page whose
-nesting needs a real parser can name a pandas function instead; only rows routed to it carry
-their HTML to Python.
+An extractor is a set of Column builders, so extraction runs inside the scan stage. A user's own
+pandas function can stand in its place; only rows routed to it carry their HTML to Python.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -17,7 +15,6 @@ from pyspark.sql import functions as F
 
 from linkloom.functions import html as H
 from linkloom.functions.html import FieldRule
-from linkloom.functions.parsed import read_fields
 from linkloom.functions.records import EVENT_FIELDS, page_record, record_json, talk_record
 
 NO_HREFS = "cast(array() as array<string>)"
@@ -29,13 +26,15 @@ class Extractor:
     """``record(html, url)`` -> struct, ``hrefs(html)`` -> raw href values as written,
     ``failure(html, url)`` -> error class or NULL. A part left out yields nothing.
 
-    ``pandas`` replaces all three: ``(html: Series, url: Series) -> DataFrame`` with columns
+    ``prepare`` makes, step by step, a column of the page that ``record`` and ``failure`` are given in place of the HTML.
+    ``pandas`` replaces all of them: ``(html: Series, url: Series) -> DataFrame`` with columns
     ``record`` (JSON), ``hrefs`` (list), ``error``.
     """
 
     record: Callable[[Column, Column], Column] | None = None
     hrefs: Callable[[Column], Column] | None = None
     failure: Callable[[Column, Column], Column] | None = None
+    prepare: tuple[Callable[[Column], Column], ...] = ()
     pandas: Callable[[pd.Series, pd.Series], pd.DataFrame] | None = None
 
 
@@ -71,17 +70,17 @@ def links_extractor(tag: str | None = None, attr: str | None = None, value: str
 def rules_extractor(rules: list[FieldRule], hrefs: Callable[[Column], Column] | None = None) -> Extractor:
     """``url`` plus one field per rule, in rule order."""
 
-    def record(html: Column, url: Column) -> Column:
-        got = H.fields(html, rules)
+    def record(page: Column, url: Column) -> Column:
+        got = H.page_fields(page, rules)
         return H.let(got, lambda f: F.struct(url.alias("url"), *(f[r.name].alias(r.name) for r in rules)))
 
-    return Extractor(record, hrefs, _failure(rules))
+    return Extractor(record, hrefs, _failure(rules), tuple(H.page_steps(rules)))
 
 
 def _failure(rules: list[FieldRule]) -> Callable[[Column, Column], Column] | None:
-    if not any(r.take == "must" for r in rules):
+    if not any(r.take == "must" or r.strict for r in rules):
         return None
-    return lambda html, url: H.missing_must(html, rules)
+    return lambda page, url: H.page_failure(page, rules)
 
 
 # --- fixed values: field rules and paths of the two calendar sites ---------------------------
@@ -103,8 +102,8 @@ _TALK_SPEAKER = FieldRule("speaker", "section", "class", "field-name-field-speak
 _TALK_FROM = FieldRule("from", "section", "class", "field-name-field-speaker-institution", "token")
 TALK_RULES = [
     FieldRule("title", "h1", "id", "page-title", take="must", text="only"),
-    FieldRule("start_time", "span", "class", "date-display-start", "token", take="attr", attr="content", inside=_TALK_ITEM),
-    FieldRule("end_time", "span", "class", "date-display-end", "token", take="attr", attr="content", inside=_TALK_ITEM),
+    FieldRule("start_time", "span", "class", "date-display-start", "token", take="attr", attr="content", inside=_TALK_ITEM, strict=True),
+    FieldRule("end_time", "span", "class", "date-display-end", "token", take="attr", attr="content", inside=_TALK_ITEM, strict=True),
     FieldRule("location", "div", "class", "field-name-field-location", "token", take="must", text="only", trim=False),
     FieldRule("speaker_name", "div", "class", "field-items", "token", take="must", text="only", trim=False, inside=_TALK_SPEAKER),
     FieldRule("speaker_from", "div", "class", "field-items", "token", take="must", text="only", trim=False, inside=_TALK_FROM),
@@ -119,60 +118,25 @@ TALK_LIST_PATTERN = r"^/calendar/month/[0-9]{4}-[0-9]+$"
 
 
 def event_extractor() -> Extractor:
-    """The nine-field event record as native columns; no links."""
+    """The nine-field event record; no links."""
 
-    def record(html: Column, url: Column) -> Column:
+    def record(page: Column, url: Column) -> Column:
         return H.let(
-            H.fields(html, EVENT_RULES),
+            H.page_fields(page, EVENT_RULES),
             lambda f: F.struct(*((url if n == "url" else f[n]).alias(n) for n in EVENT_FIELDS)),
         )
 
-    return Extractor(record)
+    return Extractor(record, prepare=tuple(H.page_steps(EVENT_RULES)))
 
 
 def talk_extractor() -> Extractor:
-    """The talk record with its nested speaker as native columns; a missing required element
-    fails the row."""
-    return Extractor(
-        lambda html, url: H.let(H.fields(html, TALK_RULES), lambda f: talk_record(url, f)),
-        None,
-        _failure(TALK_RULES),
-    )
+    """The talk record with its nested speaker; a missing required element, or a date element without its
+    value, fails the row."""
 
+    def record(page: Column, url: Column) -> Column:
+        return H.let(H.page_fields(page, TALK_RULES), lambda f: talk_record(url, f))
 
-def parsed_extractor(rules: list[FieldRule], layout: Callable[[str, dict], dict]) -> Extractor:
-    """The same rules read with a tag parser, for pages with nested or broken markup.
-
-    ``layout(url, fields)`` makes the record.
-    """
-
-    def one(html: str, url: str) -> tuple[str | None, str | None]:
-        fields, missing = read_fields(html, rules)
-        if missing is not None:
-            return None, f"missing_{missing}"
-        return json.dumps(layout(url, fields), ensure_ascii=False, separators=(",", ":")), None
-
-    def batch(html: pd.Series, url: pd.Series) -> pd.DataFrame:
-        got = [one(h, u) for h, u in zip(html, url)]
-        return pd.DataFrame({"record": [r for r, _ in got], "hrefs": [[] for _ in got], "error": [e for _, e in got]})
-
-    return Extractor(pandas=batch)
-
-
-def parsed_event_extractor() -> Extractor:
-    return parsed_extractor(EVENT_RULES, lambda url, f: {n: url if n == "url" else f[n] for n in EVENT_FIELDS})
-
-
-def parsed_talk_extractor() -> Extractor:
-    return parsed_extractor(
-        TALK_RULES,
-        lambda url, f: {
-            "url": url,
-            **{n: f[n] for n in ("title", "start_time", "end_time", "location")},
-            "speaker": {"name": f["speaker_name"], "from": f["speaker_from"]},
-            "body": f["body"],
-        },
-    )
+    return Extractor(record, failure=_failure(TALK_RULES), prepare=tuple(H.page_steps(TALK_RULES)))
 
 
 def _over_own_rows(fn: Callable) -> Callable:
@@ -206,26 +170,32 @@ def with_extraction(
     shared: dict[int, tuple[Extractor, list[str]]] = {}
     for name, extractor in handlers:
         shared.setdefault(id(extractor), (extractor, []))[1].append(name)
-    parsed = []
+    made = []
     for n, (extractor, names) in enumerate(shared.values()):
         mine = live & F.col(handler).isin(names)
         if extractor.pandas is not None:
-            parsed.append(f"_parsed_{n}")
+            made.append(f"_made_{n}")
             udf = F.pandas_udf(_over_own_rows(extractor.pandas), PANDAS_SCHEMA)
-            df = df.withColumn(parsed[-1], udf(F.when(mine, page), F.when(mine, at)))
-            out = F.col(parsed[-1])
+            df = df.withColumn(made[-1], udf(F.when(mine, page), F.when(mine, at)))
+            out = F.col(made[-1])
             record = F.when(mine, out["record"]).otherwise(record)
             has_record = has_record | (mine & out["record"].isNotNull())
             hrefs = F.when(mine, F.coalesce(out["hrefs"], F.expr(NO_HREFS))).otherwise(hrefs)
             failure = F.when(mine, out["error"]).otherwise(failure)
             continue
+        read = F.when(mine, page) if extractor.prepare else page
+        for step in extractor.prepare:
+            df = df.withColumn(f"_made_{n}", step(read))
+            read = F.col(f"_made_{n}")
+        if extractor.prepare:
+            made.append(f"_made_{n}")
         if extractor.record is not None:
-            record = F.when(mine, record_json(extractor.record(page, at))).otherwise(record)
+            record = F.when(mine, record_json(extractor.record(read, at))).otherwise(record)
             has_record = has_record | mine
         if extractor.hrefs is not None:
             hrefs = F.when(mine, extractor.hrefs(page)).otherwise(hrefs)
         if extractor.failure is not None:
-            failure = F.when(mine, extractor.failure(page, at)).otherwise(failure)
+            failure = F.when(mine, extractor.failure(read, at)).otherwise(failure)
     return df.withColumns(
         {"record": record, "hrefs": hrefs, "failure": failure, "has_record": has_record}
-    ).drop(*parsed)
+    ).drop(*made)

@@ -42,24 +42,20 @@ def event_calendar(name: str, by_name: bool = False) -> Source:
     source = Source(
         name,
         handlers=(
-            Handler("parse_events", ((X.EVENT_PATTERN, None),), X.parsed_event_extractor()),
+            Handler("parse_events", ((X.EVENT_PATTERN, None),), X.event_extractor()),
             Handler("parse_calendar", ((X.EVENT_LIST_PATTERN, None),), X.links_extractor(*X.EVENT_LIST_REGION)),
         ),
     )
     return source.in_name_order() if by_name else source
 
 
-def talk_calendar(name: str, parsed: bool = True) -> Source:
-    """Numbered talk pages and month pages; URLs lose their query.
-
-    ``parsed=False`` reads talks with native columns instead of the tag parser.
-    """
-    talks = X.parsed_talk_extractor() if parsed else X.talk_extractor()
+def talk_calendar(name: str) -> Source:
+    """Numbered talk pages and month pages; URLs lose their query."""
     return Source(
         name,
         drop_query=True,
         handlers=(
-            Handler("parse_events", ((X.TALK_PATTERN, None),), talks),
+            Handler("parse_events", ((X.TALK_PATTERN, None),), X.talk_extractor()),
             Handler("parse_calendar_page", ((X.TALK_LIST_PATTERN, None),), X.links_extractor()),
         ),
     )

@@ -1,39 +1,22 @@
-"""Field rules over a real tag tree (standard-library parser): the per-page helper of the
-pandas extractors, for markup that regex regions cannot follow."""
+"""Field rules over a tag tree of the standard-library parser: what the native columns are held against."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from html.entities import name2codepoint
 from html.parser import HTMLParser
 
-from linkloom.functions.html import BLOCKS, FieldRule
+from linkloom.functions.html import FieldRule
+from linkloom.functions.markup import BLOCKS
 
 # --- fixed values: elements without an end tag, and elements that end an open one -------------
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 LISTS = {"menu", "ol", "ul"}
-REFERENCE = re.compile(r"&(?:(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,7});)?")
-BARE = "\ue000"  # stands for an ampersand that starts no reference while the parser runs
 # -----------------------------------------------------------------------------------------------
 
 
-def _mark_bare(found: re.Match) -> str:
-    """Only closed, known references are decoded, as by the native columns."""
-    name = found[1]
-    if name is None:
-        return BARE
-    if name.startswith("#"):
-        code = int(name[2:], 16) if name[1] in "xX" else int(name[1:])
-        known = 0 < code < 0xD800 or 0xDFFF < code < 0x110000
-    else:
-        known = name in name2codepoint
-    return found[0] if known else f"{BARE}{name};"
-
-
 class Element:
     def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.children = tag, attrs, []
+        self.tag, self.attrs, self.children, self.number = tag, attrs, [], 0
 
     def below(self) -> Iterator[Element]:
         """Descendant elements in document order."""
@@ -46,15 +29,19 @@ class Element:
     def own_texts(self) -> list[str]:
         return [c for c in self.children if isinstance(c, str)]
 
-    def all_text(self) -> str:
-        parts, todo = [], list(reversed(self.children))
+    def texts(self) -> list[tuple[str, Element]]:
+        """Text nodes in document order, each with the element it stands in."""
+        out, todo = [], [(c, self) for c in reversed(self.children)]
         while todo:
-            c = todo.pop()
+            c, up = todo.pop()
             if isinstance(c, str):
-                parts.append(c)
+                out.append((c, up))
             else:
-                todo.extend(reversed(c.children))
-        return "".join(parts)
+                todo.extend((d, c) for d in reversed(c.children))
+        return out
+
+    def all_text(self) -> str:
+        return "".join(t for t, _ in self.texts())
 
     def only_text(self) -> str | None:
         e = self
@@ -69,7 +56,7 @@ class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Element("", {})
-        self.open = [self.root]
+        self.open, self.made, self.cut = [self.root], 0, False
 
     def handle_starttag(self, tag, attrs):
         names = [e.tag for e in self.open]
@@ -79,7 +66,9 @@ class _Tree(HTMLParser):
             since = max((i for i, n in enumerate(names) if n in LISTS), default=0)
             if "li" in names[since:]:
                 del self.open[since + names[since:].index("li") :]
-        e = Element(tag, {k: (v or "").replace(BARE, "&") for k, v in attrs})
+        e = Element(tag, {k: (v or "") for k, v in attrs})
+        self.made += 1
+        e.number = self.made
         self.open[-1].children.append(e)
         if tag not in VOID:
             self.open.append(e)
@@ -90,23 +79,24 @@ class _Tree(HTMLParser):
             self.open.pop()
 
     def handle_endtag(self, tag):
+        self.cut = True  # any tag ends a text node
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag == tag:
                 del self.open[i:]
                 return
 
     def handle_data(self, data):
-        data = data.replace(BARE, "&")
         kids = self.open[-1].children
-        if kids and isinstance(kids[-1], str):
+        if kids and isinstance(kids[-1], str) and not self.cut:
             kids[-1] += data
         else:
             kids.append(data)
+        self.cut = False
 
 
 def parse(html: str) -> Element:
     tree = _Tree()
-    tree.feed(REFERENCE.sub(_mark_bare, html))
+    tree.feed(html)
     tree.close()
     return tree.root
 
@@ -139,14 +129,14 @@ def select(root: Element, rule: FieldRule) -> list[Element]:
             if _fits(e, rule) and id(e) not in seen:
                 seen.add(id(e))
                 out.append(e)
-    return out
+    return sorted(out, key=lambda e: e.number)
 
 
 def _texts(e: Element, rule: FieldRule) -> list[str]:
     if rule.text == "own":
         return e.own_texts()
     if rule.text == "below":
-        return [t for d in e.below() for t in d.own_texts()]
+        return [t for t, up in e.texts() if up is not e]
     return [e.all_text()]
 
 
@@ -154,7 +144,8 @@ def _field(root: Element, rule: FieldRule) -> tuple[str | None, bool]:
     """(value, a required element is missing)."""
     found = select(root, rule)
     if rule.take == "attr":
-        return (found[0].attrs.get(rule.attr) if found else None), False
+        value = found[0].attrs.get(rule.attr) if found else None
+        return value, rule.strict and bool(found) and value is None
     if rule.take == "must":
         if not found:
             return None, True
