@@ -1,14 +1,15 @@
 """Key lookups against a table with one row per key, with the small side's size checked.
 
-A lookup table within the bounds is broadcast, so the large side is never shuffled. Past them the
-join is salted: the lookup side repeats each row once per salt and the large side takes its salt
-from the input partition it sits in, so a key that holds a third of all rows is spread over all
-salts, a retried task salts its rows the same way, and no row is dropped or doubled.
+A lookup table within the bounds is broadcast, so the large side is never shuffled. Past them the keys of
+the large side are counted first, on that one column: if the table's rows for the keys that occur are within the
+bounds, these are broadcast instead. Else the keys that hold a thousandth of all rows or more, a thousand of
+them at most, are broadcast, and only rows of other keys are shuffled to the table, so no key is hot in a shuffle
+and rows without a key stay where they are. A stream cannot be counted: its join is salted by input partition.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from linkloom.session import fresh_path
 MAX_BROADCAST_ROWS = 500_000
 MAX_BROADCAST_BYTES = 64 << 20
 SALTS = 32
+HOT_SHARE = 1_000
 
 
 @dataclass(frozen=True)
@@ -58,8 +60,26 @@ class Lookup:
         on_key = F.col(on) == F.col("_lk_key")
         if self.fits_broadcast:
             return df.join(F.broadcast(side), on_key, how).drop("_lk_key")
-        salted = side.withColumn("_lk_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        left = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
-        return left.join(salted, on_key & (F.col("_salt") == F.col("_lk_salt")), how).drop(
-            "_lk_key", "_lk_salt", "_salt"
-        )
+        if df.isStreaming:
+            salted = side.withColumn("_lk_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            left = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+            return left.join(salted, on_key & (F.col("_salt") == F.col("_lk_salt")), how).drop(
+                "_lk_key", "_lk_salt", "_salt"
+            )
+        return self._past_broadcast(df, on, side, how)
+
+    def _past_broadcast(self, df: DataFrame, on: str, side: DataFrame, how: str) -> DataFrame:
+        counts = df.where(F.col(on).isNotNull()).groupBy(F.col(on).alias("_lk_key")).agg(F.count(F.lit(1)).alias("_lk_n"))
+        met = Lookup.measured(side.join(counts, "_lk_key"), "_lk_key", label="lookup-met")
+        met = replace(met, max_rows=self.max_rows, max_bytes=self.max_bytes)
+        names = [c for c in side.columns if c != "_lk_key"]
+        if met.fits_broadcast:
+            return met.join(df, on, {c: c for c in names}, how)
+        total = counts.agg(F.sum("_lk_n")).first()[0]
+        hot = counts.where(F.col("_lk_n") * HOT_SHARE >= total).select(F.col("_lk_key").alias("_hot"))  # HOT_SHARE keys at most
+        told = hot.join(side, F.col("_hot") == F.col("_lk_key"), "left")
+        known = df.join(F.broadcast(told), F.col(on) == F.col("_hot"), "left")
+        stays = F.col("_hot").isNotNull() | F.col(on).isNull()
+        stay = known.where(F.col("_lk_key").isNotNull() if how == "inner" else stays)
+        moved = known.where(~stays).drop(*names, "_lk_key", "_hot")
+        return stay.drop("_lk_key", "_hot").unionByName(moved.join(side, F.col(on) == F.col("_lk_key"), how).drop("_lk_key"))

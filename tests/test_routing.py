@@ -11,6 +11,7 @@ from linkloom.plans import seeding
 from linkloom.functions.urls import canonical_url
 from linkloom.operators import extract as X
 from linkloom.operators.lookup import Lookup
+from linkloom.session import fresh_path
 from linkloom.operators.routing import canonicalize, with_route
 from linkloom.registry import Handler, Registry, Source, calendar_seeds, load_registry
 
@@ -122,18 +123,28 @@ def test_own_canonicalizer(spark):
     assert canon(spark, own, ["http://h/UP/?Q=1"]) == [("http://h/up?Q=1", None)]
 
 
-def test_lookup_past_its_bounds_is_salted_and_equal(spark):
-    table = spark.range(200).select(F.concat(F.lit("k"), F.col("id")).alias("k"), F.col("id").alias("v"))
+def test_lookup_past_its_bounds_is_equal(spark):
+    """Bounds that hold the whole table, its rows that occur, or neither."""
+    table = spark.range(400).select(F.concat(F.lit("k"), F.col("id")).alias("k"), F.col("id").alias("v"))
     small = Lookup.measured(table, "k")
-    large = replace(small, max_rows=10)
-    assert small.fits_broadcast and not large.fits_broadcast
-    # A third of all rows on one key, another third on keys the table lacks.
-    keys = F.when(F.col("id") % 3 == 0, "k7").when(F.col("id") % 3 == 1, "nokey").otherwise(F.concat(F.lit("k"), F.col("id") % 200))
-    rows = spark.range(0, 6000, 1, 16).select("id", keys.alias("key"))
+    occur, large = replace(small, max_rows=250), replace(small, max_rows=10)
+    assert small.fits_broadcast and not occur.fits_broadcast
+    # A third of all rows on one key, another third on keys the table lacks, some without a key.
+    keys = F.when(F.col("id") % 3 == 0, "k7").when(F.col("id") % 3 == 1, "nokey").when(F.col("id") % 50 != 2, F.concat(F.lit("k"), F.col("id") % 200))
+    path = fresh_path(spark, "lookup-rows")
+    spark.range(0, 6000, 1, 16).select("id", keys.alias("key"), F.lit("<p>").alias("html")).write.parquet(path)
+    rows = spark.read.parquet(path)
     for how in ("left", "inner"):
-        a, b = (sorted(lk.join(rows, "key", {"v": "value"}, how).collect()) for lk in (small, large))
-        assert a == b and len(a) == (6000 if how == "left" else 4000)
-    assert "Broadcast" not in large.join(rows, "key", {"v": "value"})._jdf.queryExecution().optimizedPlan().toString()
+        a, b, c = (sorted(map(tuple, lk.join(rows, "key", {"v": "value"}, how).collect()), key=repr) for lk in (small, occur, large))
+        assert a == b == c and len(a) == (6000 if how == "left" else 3960)
+
+    def shuffles(lookup):
+        plan = lookup.join(rows, "key", {"v": "value"})._jdf.queryExecution().executedPlan().toString()
+        return [line for line in plan.splitlines() if "Exchange hashpartitioning" in line], plan
+
+    assert not shuffles(occur)[0]
+    moved, plan = shuffles(large)
+    assert len(moved) <= 2 and "NOT" in plan.upper()  # rows of frequent keys, and those without a key, stay
 
 
 def test_seeds(spark):
