@@ -6,9 +6,12 @@ first, so no key can be hot.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from linkloom.operators.lookup import MAX_BROADCAST_BYTES, MAX_BROADCAST_ROWS, Lookup
 from linkloom.session import fresh_path
 
 # --- fixed values ------------------------------------------------------------------------
@@ -30,6 +33,19 @@ def unseen(frontier: DataFrame, links: DataFrame) -> DataFrame:
     return links.select("link").where(F.col("link").isNotNull()).distinct().join(frontier.select("link"), "link", "left_anti")
 
 
+def unseen_by_batch(seen: DataFrame, links: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """:func:`unseen` for a batch much smaller than the table.
+
+    The batch's distinct links are written and measured. Within the bounds they are broadcast to the scan
+    of the table, whose rows stay where they are; what they meet there is no more than the batch.
+    """
+    found = Lookup.measured(links.select("link").where(F.col("link").isNotNull()).distinct(), "link", label="batch-links")
+    if not replace(found, max_rows=max_rows, max_bytes=max_bytes).fits_broadcast:
+        return unseen(seen, found.table)
+    known = seen.select("link").join(F.broadcast(found.table), "link", "left_semi").distinct()
+    return found.table.join(known, "link", "left_anti")
+
+
 def insert(frontier: DataFrame, links: DataFrame, status: str = WAITING, round_no: int = 0) -> DataFrame:
     """Insert-if-absent: new links get ``status``; links already there keep theirs."""
     new = unseen(frontier, links).select(

@@ -134,4 +134,5 @@ def _wave(store: _Store, done: int, claim: int) -> DataFrame:
         return seen.where(F.col("found_round") == done)
     if "settled" in store.made:
         seen = seen.join(store.table("settled").select("link"), "link", "left_anti")
-    return seen.orderBy("found_round", "link").limit(claim)
+    waiting = seen.select("link", F.lit(fr.WAITING).alias("status"), F.col("found_round").alias("round"))
+    return fr.take(waiting, fr.WAITING, claim).select("link", F.col("round").alias("found_round"))

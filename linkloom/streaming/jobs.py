@@ -59,12 +59,13 @@ def link_ingest(links: DataFrame, path: str, status: str = fr.WAITING) -> DataSt
     """Insert-if-absent of a link stream into the batch table at ``path``.
 
     Each batch is reduced to its distinct links before it meets the table; "seen before" is asked
-    of the table, so no state grows in the query.
+    of the table, so no state grows in the query. A batch within the broadcast bounds is looked for where
+    the table's links are scanned: the table is read in that one column and never shuffled.
     """
 
     def absorb(batch: DataFrame, batch_id: int) -> None:
         seen = batch_table(batch.sparkSession, path, LINK_BATCH, before=batch_id)
-        new = fr.unseen(seen, batch)
+        new = fr.unseen_by_batch(seen, batch)
         write_batch(
             new.select("link", F.lit(status).alias("status"), F.lit(batch_id + 1).cast("int").alias("round")), path, batch_id
         )
@@ -135,47 +136,27 @@ def result_fanout(responses: DataFrame, registry: Registry, path: str) -> DataSt
 # --- bounded runs, for tests and backfills -------------------------------------------------------
 
 
-def _stream(spark: SparkSession, source: DataFrame | tuple[str, StructType]) -> DataFrame:
-    """A stream as it is, or the one over :func:`staged` files."""
-    return source if isinstance(source, DataFrame) else stream_files(spark, *source, files_per_batch=2)
-
-
-def staged(df: DataFrame, label: str, files: int = 4) -> tuple[str, StructType]:
-    """Writes a table as the files of a stream source."""
-    path = fresh_path(df.sparkSession, f"source-{label}")
-    df.repartition(files).write.parquet(path)
-    return path, df.schema
-
-
-def run_link_ingest(
-    spark: SparkSession, source: DataFrame | tuple[str, StructType], initial: DataFrame
-) -> DataFrame:
+def run_link_ingest(spark: SparkSession, source: DataFrame, initial: DataFrame) -> DataFrame:
     path = fresh_path(spark, "links")
     write_batch(initial.select("link", "status", "round"), path, INITIAL)
-    _finish(link_ingest(_stream(spark, source), path), spark)
+    _finish(link_ingest(source, path), spark)
     return batch_table(spark, path, LINK_BATCH).select("link", "status")
 
 
-def run_status_update(
-    spark: SparkSession, source: DataFrame | tuple[str, StructType], seq: tuple[str, ...]
-) -> DataFrame:
+def run_status_update(spark: SparkSession, source: DataFrame, seq: tuple[str, ...]) -> DataFrame:
     path = fresh_path(spark, "statuses")
-    _finish(status_update(_stream(spark, source), path, seq), spark)
+    _finish(status_update(source, path, seq), spark)
     return current_statuses(spark, path)
 
 
-def run_result_fanout(
-    spark: SparkSession, source: DataFrame | tuple[str, StructType], registry: Registry
-) -> Outputs:
+def run_result_fanout(spark: SparkSession, source: DataFrame, registry: Registry) -> Outputs:
     path = fresh_path(spark, "results")
-    _finish(result_fanout(_stream(spark, source), registry, path), spark)
+    _finish(result_fanout(source, registry, path), spark)
     read = lambda name: spark.read.parquet(f"{path}/{name}")
     return Outputs(read("statuses"), read("records"), read("links"))
 
 
-def run_status_gauge(
-    spark: SparkSession, source: DataFrame | tuple[str, StructType], seq: tuple[str, ...] = ("round",)
-) -> DataFrame:
+def run_status_gauge(spark: SparkSession, source: DataFrame, seq: tuple[str, ...] = ("round",)) -> DataFrame:
     path = fresh_path(spark, "gauge")
-    _finish(status_update(_stream(spark, source), path, seq), spark)
+    _finish(status_update(source, path, seq), spark)
     return status_gauge(spark, path)

@@ -10,10 +10,17 @@ from linkloom.streaming import jobs
 SF = "/root/testdata/sf0.001"
 
 
+def staged(spark, df, label, files=4):
+    """A table as the files of a stream, two files a batch."""
+    path = fresh_path(spark, f"source-{label}")
+    df.repartition(files).write.parquet(path)
+    return jobs.stream_files(spark, path, df.schema, files_per_batch=2)
+
+
 def test_link_ingest_equals_insert(spark):
     have = demo.frontier(spark, SF)
     new = spark.range(400).select(F.concat(F.lit("http://new/"), F.col("id") % 130).alias("link")).union(have.select("link"))
-    got = jobs.run_link_ingest(spark, jobs.staged(new, "t"), have)
+    got = jobs.run_link_ingest(spark, staged(spark, new, "t"), have)
     want = fr.insert(have, new).select("link", "status")
     assert sorted(got.collect()) == sorted(want.collect())
 
@@ -47,13 +54,13 @@ def test_status_update_takes_the_last_by_sequence(spark):
         F.when(F.col("id") % 2 == 0, "completed").otherwise("failed").alias("status"),
         ((F.col("id") * 37) % 300).alias("seq"),
     )
-    got = jobs.run_status_update(spark, jobs.staged(log, "s"), ("seq",))
+    got = jobs.run_status_update(spark, staged(spark, log, "s"), ("seq",))
     assert sorted(got.collect()) == sorted(fr.latest_status(log).collect())
 
 
 def test_gauge_equals_counts(spark):
     have = demo.frontier(spark, SF)
-    got = jobs.run_status_gauge(spark, jobs.staged(have, "g"))
+    got = jobs.run_status_gauge(spark, staged(spark, have, "g"))
     assert sorted(got.collect()) == sorted(fr.status_counts(have).collect())
 
 
@@ -62,7 +69,7 @@ def test_gauge_counts_a_changed_link_once_and_shows_zeros(spark):
         [("a", "waiting", 0), ("a", "processing", 1), ("a", "completed", 2), ("b", "waiting", 0)],
         "link STRING, status STRING, seq INT",
     )
-    got = {r["status"]: r["n"] for r in jobs.run_status_gauge(spark, jobs.staged(log, "g"), ("seq",)).collect()}
+    got = {r["status"]: r["n"] for r in jobs.run_status_gauge(spark, staged(spark, log, "g"), ("seq",)).collect()}
     assert got == {"waiting": 1, "processing": 0, "completed": 1, "failed": 0}
 
 
@@ -80,3 +87,19 @@ def test_live_frontier_and_its_compaction(spark):
     assert sorted(tuple(r)[:3] for r in jobs.batch_table(spark, compacted, jobs.LINK_BATCH).collect()) == want
     gauge = {r["status"]: r["n"] for r in fr.status_counts_zero(jobs.live_frontier(spark, links, statuses)).collect()}
     assert gauge == {"waiting": 1, "processing": 0, "completed": 1, "failed": 1}
+
+
+def test_a_batch_is_looked_for_in_place(spark):
+    """The table is not shuffled, and not read but for its links; past the bounds the result is the same."""
+    path = fresh_path(spark, "seen")
+    have = spark.range(5000).select(F.concat(F.lit("http://h/"), F.col("id")).alias("link"), F.lit("waiting").alias("status"))
+    have.write.parquet(path)
+    seen = spark.read.parquet(path)
+    batch = spark.createDataFrame([("http://h/7",), ("http://n/1",), ("http://n/1",), (None,)], "link STRING")
+    new = fr.unseen_by_batch(seen, batch)
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    assert [r.link for r in new.collect()] == ["http://n/1"]
+    scans = [line for line in plan.splitlines() if path.rsplit("/", 1)[-1][:12] in line and "ReadSchema" in line]
+    assert scans and all("ReadSchema: struct<link:string>" in line for line in scans)
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert [r.link for r in fr.unseen_by_batch(seen, batch, max_rows=0).collect()] == ["http://n/1"]
