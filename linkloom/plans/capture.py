@@ -9,18 +9,21 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from linkloom.functions.html import unquote
 from linkloom.functions.urls import URL_PARTS, resolved_url, with_resolved_parts, with_url_parts
 from linkloom.operators.extract import with_extraction
+from linkloom.operators.lookup import Lookup
+from linkloom.operators.metrics import result_totals
 from linkloom.operators.routing import all_handlers, canonical_links, route, with_host, with_route
 from linkloom.registry import Registry
 from linkloom.session import fresh_path
 
 # --- fixed values ------------------------------------------------------------------------
 RESPONSES_SCHEMA = "url STRING, final_url STRING, status INT, location STRING, html STRING"
+RESPONSE_COLUMNS = ["url", "final_url", "status", "location", "html"]
 RESULT_COLUMNS = ["url", "final_url", "handler", "success", "error", "redirected", "has_record", "record", "hrefs"]
 REDIRECT_STATUSES = [301, 302, 303, 307, 308]
 NOT_CAPTURED, HTTP_ERROR, NO_HANDLER = "not_captured", "http_error", "no_handler"
@@ -44,8 +47,8 @@ def latest_captures(responses: DataFrame, order: list[str], capture_id: str) ->
 def fetch(links: DataFrame, responses: DataFrame, link: str = "link") -> DataFrame:
     """Left join of links to their captured responses: exactly one row per link.
 
-    ``responses`` holds one row per URL (see :func:`latest_captures`); a link without a response
-    has a NULL status and becomes ``not_captured``.
+    ``responses`` holds one row per URL (see :func:`latest_captures`, and :func:`fetched_results`, which
+    sees to it itself); a link without a response has a NULL status and becomes ``not_captured``.
     """
     found = responses.withColumnRenamed("url", "_captured_url")
     joined = links.withColumnRenamed(link, "url").join(found, F.col("url") == F.col("_captured_url"), "left")
@@ -97,29 +100,55 @@ def page_results(responses: DataFrame, registry: Registry, resolve_location: boo
     )
 
 
-def fetched_results(links: DataFrame, responses: DataFrame, registry: Registry, link: str = "link") -> DataFrame:
-    """:func:`page_results` of :func:`fetch`, with the join moved behind the extraction.
-
-    Pages are extracted where they are scanned and only results are shuffled to their links, so
-    no HTML moves. Exactly one row per link; one without a response fails as ``not_captured``.
+def fetched_results(
+    links: DataFrame,
+    responses: DataFrame,
+    registry: Registry,
+    link: str = "link",
+    capture_id: str | None = None,
+    order: tuple[str, ...] = (),
+) -> DataFrame:
+    """:func:`page_results` of :func:`fetch`: exactly one row per row of ``links``; a link without a response
+    fails as ``not_captured``. Columns of ``links`` pass through.
+
+    With a unique ``capture_id`` the last capture of each URL counts (as in :func:`latest_captures`); without
+    one the responses must hold one row per URL. Which capture answers which link is settled on narrow
+    columns and measured; the answer is then looked up from the pages, before they are extracted, so only asked
+    captures are read and, as long as the answer can be broadcast, neither HTML nor records are shuffled.
     """
-    results = page_results(responses, registry).drop("handler").withColumnRenamed("url", "_captured_url")
+    key = capture_id or "url"
     asked = links.withColumnRenamed(link, "url")
-    joined = asked.join(results, F.col("url") == F.col("_captured_url"), "left").withColumns(
+    extra = [c for c in asked.columns if c != "url"]
+    rank = F.struct(*(F.col(c) for c in order), F.col(key).alias("_key"))
+    found = responses.select("url", rank.alias("_rank")).join(asked.select("url"), "url", "left_semi")
+    last = found.groupBy("url").agg(F.max("_rank").alias("_last")).select("url", F.col("_last._key").alias("_key"))
+    told = asked.join(last, "url", "left").select("_key", F.struct("url", *extra).alias("_link"))
+    answers = Lookup.measured(told.where(F.col("_key").isNotNull()), "_key", label="answers")
+    captured = responses.select(F.col(key).alias("_key"), *RESPONSE_COLUMNS)
+    met = answers.join(captured, "_key", {"_link": "_link"}, "inner").drop("_key")
+    columns = [F.col(f"_link.{c}").alias(c) for c in (*extra, "url")]
+    answered = page_results(met, registry).drop("url").select(*columns, *(c for c in RESULT_COLUMNS if c != "url"))
+    # A link that no capture answers is routed all the same.
+    types = {f.name: f.dataType for f in answered.schema}
+    absent = told.where(F.col("_key").isNull()).select("_link.*").withColumn("final_url", F.col("url"))
+    routed = with_route(absent, registry, "final_url").withColumns(
         {
-            "final_url": F.coalesce("final_url", "url"),
-            "error": F.when(F.col("_captured_url").isNull(), F.lit(NOT_CAPTURED)).otherwise(F.col("error")),
-            **{c: F.coalesce(c, F.lit(False)) for c in ("success", "redirected", "has_record")},
+            "error": F.lit(NOT_CAPTURED),
+            **{c: F.lit(False) for c in ("success", "redirected", "has_record")},
+            **{c: F.lit(None).cast(types[c]) for c in ("record", "hrefs")},
         }
     )
-    extra = [c for c in joined.columns if c not in (*RESULT_COLUMNS, "_captured_url")]
-    return with_route(joined, registry, "final_url").select(*extra, *RESULT_COLUMNS)
+    return answered.unionByName(routed.select(*answered.columns))
+
 
+def store_results(results: DataFrame, path: str | None = None, observed: Observation | None = None) -> DataFrame:
+    """Writes results and reads them back, so that several outputs cost one pass over the pages.
 
-def store_results(results: DataFrame, path: str | None = None) -> DataFrame:
-    """Writes results and reads them back, so that several outputs cost one pass over the pages."""
+    ``observed`` gets the :func:`metrics.result_totals` of the rows as they are written.
+    """
     path = path or fresh_path(results.sparkSession, "results")
-    results.write.mode("overwrite").parquet(path)
+    rows = results if observed is None else results.observe(observed, *result_totals())
+    rows.write.mode("overwrite").parquet(path)
     return results.sparkSession.read.schema(results.schema).parquet(path)
 
 

@@ -81,6 +81,19 @@ def responses(spark: SparkSession, sf_dir: str, key: str = "page_id") -> DataFra
     return responses_of(table(spark, sf_dir, "pages"), table(spark, sf_dir, "pages"))
 
 
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`responses` with an earlier capture of every page, a 404, before each of them."""
+    now = responses(spark, sf_dir)
+    times = F.explode(F.array(F.lit(1), F.lit(2))).alias("taken")
+    return now.select("*", times).withColumns(
+        {
+            "capture_id": F.col("page_id") * 2 + F.col("taken"),
+            "status": F.when(F.col("taken") == 1, 404).otherwise(F.col("status")),
+            "location": F.when(F.col("taken") == 2, F.col("location")),
+        }
+    )
+
+
 def responses_of(pages: DataFrame, all_pages: DataFrame) -> DataFrame:
     """:func:`responses` of ``pages``, which may be a stream; ``all_pages`` is the whole table."""
     return _with_responses(pages, next_urls(all_pages)).where(F.col("page_id") % 10 != 2)
@@ -166,7 +179,7 @@ def calendar_registry(spark: SparkSession, sf_dir: str) -> Registry:
         kinds = F.explode(F.array(F.lit("events"), F.lit("talks")))
         hosts = page_hosts(spark, sf_dir).select(kinds.alias("source"), "host")
         hosts = hosts.select("source", F.concat("source", F.lit("."), "host").alias("host"))
-        _registries[key] = Registry([event_calendar("events"), talk_calendar("talks", parsed=False)], hosts)
+        _registries[key] = Registry([event_calendar("events"), talk_calendar("talks")], hosts)
     return _registries[key]
 
 
@@ -185,6 +198,10 @@ TALK_PAGE = (
     '<section class="field-name-field-speaker-institution"><div class="field-items">{h}</div></section>'
     '<section class="field-name-body"><p>{t} <i>{i}</i></p></section></body></html>'
 )
+MONTH_PAGE = (
+    '<html><body><a href="">now</a><a href="/events/{i}?from=list">{t}</a><a href="../month/2018-{i}/">next</a>'
+    '<ul><li><a href="/about">about</a></ul><a href="/events/{i}#top">{t}</a></body></html>'
+)
 LIST_PAGE = (
     '<html><body><a href="/calendar/other"></a><ul class="events-teasers-list semantic">'
     '<li><a href="tue-2018-12-04-1100/p{i}/"></a></li><li><a href="/calendar?page={i}"></a></li></ul></body></html>'
@@ -192,8 +209,49 @@ LIST_PAGE = (
 # -------------------------------------------------------------------------------------------------
 
 
+# --- fixed values: what is put into pages to try the lexical rules -------------------------------
+MESSY_TEXT = [
+    (r"(?is)</?body[^>]*>", ""),
+    (r"(?i)(<body[^>]*>)", r"""$1<script>var x="</body>";</script>"""),
+    (r"(?i)<head>", '<head><!-- <body class="x"> -->'),
+    (r"\z", "<p>late &amp more</p>"),
+    (r"(?i)(<body[^>]*>)", '$1<a title="x > y">quoted &apos;&#00000065;</a>'),
+]
+MESSY_TITLE = [
+    (r"(?i)<head>", """<head><script>var b="<body>";</script>"""),
+    (r"(?i)<head>", "<head><!-- <title>no</title> -->"),
+    (r"(?i)<head>", "<head><meta content='<title>no</title>'>"),
+    (r"(?i)</title>", " &apos;&#00000065;&amp x&notit;</title>"),
+    (r"(?i)</title>", " <b></title >"),
+]
+# -------------------------------------------------------------------------------------------------
+
+
+def messy_pages(spark: SparkSession, sf_dir: str, shapes: list[tuple[str, str]]) -> DataFrame:
+    """Every page with the change that its number picks."""
+    html = F.col("html")
+    made = html
+    for k, (pattern, put) in enumerate(shapes):
+        made = F.when(F.col("page_id") % len(shapes) == k, F.regexp_replace(html, pattern, put)).otherwise(made)
+    return table(spark, sf_dir, "pages").select("page_id", made.alias("html"))
+
+
+def month_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A month page of every listed page's title and number."""
+    return _calendar_pages(spark, sf_dir, [("https://talks.%s/calendar/month/2018-%d", MONTH_PAGE)])
+
+
 def calendar_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An event page, a talk page and a calendar page made of every page's title, host and number."""
+    layouts = [
+        ("https://events.%s/calendar/tue-2018-12-04-1100/p%d", EVENT_PAGE),
+        ("https://talks.%s/events/%d", TALK_PAGE),
+        ("https://events.%s/calendar/?page=%d", LIST_PAGE),
+    ]
+    return _calendar_pages(spark, sf_dir, layouts)
+
+
+def _calendar_pages(spark: SparkSession, sf_dir: str, layouts: list[tuple[str, str]]) -> DataFrame:
     pages = with_url_parts(table(spark, sf_dir, "pages"))
     title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
     facts = pages.select("page_id", "host", title.alias("title"))
@@ -204,11 +262,7 @@ def calendar_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
             html = F.replace(html, F.lit(mark), value)
         return F.struct(F.format_string(url, "host", "page_id").alias("url"), html.alias("html"))
 
-    each = F.array(
-        made("https://events.%s/calendar/tue-2018-12-04-1100/p%d", EVENT_PAGE),
-        made("https://talks.%s/events/%d", TALK_PAGE),
-        made("https://events.%s/calendar/?page=%d", LIST_PAGE),
-    )
+    each = F.array(*(made(url, layout) for url, layout in layouts))
     return facts.select(F.explode(each).alias("p")).select(
         "p.url", F.col("p.url").alias("final_url"), F.lit(200).alias("status"), F.lit(None).cast("string").alias("location"), "p.html"
     )

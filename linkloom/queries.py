@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions import html as H
@@ -13,7 +13,7 @@ from linkloom.functions import urls as U
 from linkloom.functions.records import record_bytes, record_json, talk_record
 from linkloom.operators import frontier as fr
 from linkloom.operators import metrics
-from linkloom.operators.extract import parsed_extractor, with_extraction
+from linkloom.operators.extract import rules_extractor, with_extraction
 from linkloom.operators.routing import canonicalize as canonicalize_urls
 from linkloom.operators.routing import canonical_links, pattern_fits, with_route
 from linkloom.plans import capture, seeding
@@ -196,6 +196,20 @@ def page_text_no_script(spark: SparkSession, d: str) -> DataFrame:
     return _pages(spark, d, "html").select("page_id", H.body_text(F.col("html"), strip_script=True).alias("text"))
 
 
+@query
+def page_title_messy(spark: SparkSession, d: str) -> DataFrame:
+    """Titles of pages whose heads hold scripts, comments, attributes and open references."""
+    pages = demo.messy_pages(spark, d, demo.MESSY_TITLE)
+    return pages.select("page_id", H.title_text(F.col("html")).alias("title"))
+
+
+@query
+def page_text_messy(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of pages whose bodies start or end elsewhere than their tags' first strings say."""
+    pages = demo.messy_pages(spark, d, demo.MESSY_TEXT)
+    return pages.select("page_id", H.body_text(F.col("html")).alias("text"))
+
+
 @query
 def page_links(spark: SparkSession, d: str) -> DataFrame:
     return (
@@ -230,16 +244,14 @@ def scoped_links_nested(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def field_rules(spark: SparkSession, d: str) -> DataFrame:
-    return _pages(spark, d, "html").select("page_id", H.fields(F.col("html"), demo.PAGE_RULES).alias("f")).select(
-        "page_id", "f.*"
-    )
+    return H.with_fields(_pages(spark, d, "html"), F.col("html"), demo.PAGE_RULES, "f").select("page_id", "f.*")
 
 
 @query
 def field_rules_parsed(spark: SparkSession, d: str) -> DataFrame:
-    """Flat fields of every page through the tag parser instead of native columns."""
+    """Flat fields of every page as the JSON record of an extractor, read back."""
     rules = [r for r in demo.PAGE_RULES if r.name in ("heading", "footer", "title", "paragraphs", "charset")]
-    extractor = parsed_extractor(rules, lambda url, fields: {"url": url, **fields})
+    extractor = rules_extractor(rules)
     pages = _pages(spark, d).withColumn("handler", F.lit("parsed"))
     got = with_extraction(pages, [("parsed", extractor)], "handler", "html", "url", F.lit(True))
     names = ["url"] + [r.name for r in rules]
@@ -270,7 +282,7 @@ def nested_record(spark: SparkSession, d: str) -> DataFrame:
             "body": fields["paragraphs"],
         },
     )
-    found = _pages(spark, d).select("page_id", "url", H.fields(F.col("html"), demo.PAGE_RULES).alias("f"))
+    found = H.with_fields(_pages(spark, d), F.col("html"), demo.PAGE_RULES, "f")
     return found.select("page_id", record.alias("r")).select(
         "page_id",
         F.col("r.title").alias("title"),
@@ -367,7 +379,7 @@ def fetch_join(spark: SparkSession, d: str) -> DataFrame:
 
 def _fetched_results(spark: SparkSession, d: str) -> DataFrame:
     links = demo.frontier(spark, d).select("link")
-    return capture.fetched_results(links, demo.responses(spark, d), demo.demo_registry(spark, d))
+    return capture.fetched_results(links, demo.captures(spark, d), demo.demo_registry(spark, d), capture_id="capture_id", order=("taken",))
 
 
 @query
@@ -389,14 +401,14 @@ def batch_output(spark: SparkSession, d: str) -> DataFrame:
     """Every page URL as one batch: record, links and error per input, with its position."""
     idx = _pages(spark, d, "url").select(F.col("page_id").alias("idx"), F.col("url").alias("link"))
     registry = demo.demo_registry(spark, d)
-    got = capture.fetched_results(idx, demo.responses(spark, d).drop("page_id"), registry)
+    got = capture.fetched_results(idx, demo.captures(spark, d), registry, capture_id="capture_id", order=("taken",))
     out = capture.batch_output(capture.store_results(got), registry)
     return out.select("idx", "url", "success", "data", F.array_join("links", " ").alias("links"), "error")
 
 
 @query
 def calendar_records(spark: SparkSession, d: str) -> DataFrame:
-    """Event records (tag parser) and talk records (native columns, nested speaker)."""
+    """Event records and talk records with their nested speaker."""
     registry = demo.calendar_registry(spark, d)
     results = capture.page_results(demo.calendar_responses(spark, d), registry)
     return results.where("has_record").select("url", "handler", "record")
@@ -409,6 +421,13 @@ def calendar_links(spark: SparkSession, d: str) -> DataFrame:
     return capture.result_links(capture.page_results(demo.calendar_responses(spark, d), registry), registry)
 
 
+@query
+def month_links(spark: SparkSession, d: str) -> DataFrame:
+    """Links of the month pages: all routable anchors, each once."""
+    registry = demo.calendar_registry(spark, d)
+    return capture.result_links(capture.page_results(demo.month_responses(spark, d), registry), registry)
+
+
 @query
 def redirects(spark: SparkSession, d: str) -> DataFrame:
     """Followed redirects and their single link."""
@@ -530,8 +549,9 @@ def status_latest(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def crawl_counters(spark: SparkSession, d: str) -> DataFrame:
-    results = capture.store_results(_fetched_results(spark, d))
-    return metrics.crawl_counters(demo.frontier(spark, d), results, capture.result_links(results, demo.demo_registry(spark, d)))
+    totals = Observation("results")
+    results = capture.store_results(_fetched_results(spark, d), observed=totals)
+    return metrics.crawl_counters(demo.frontier(spark, d), totals.get, capture.result_links(results, demo.demo_registry(spark, d)))
 
 
 @query
@@ -540,6 +560,21 @@ def outcome_timing(spark: SparkSession, d: str) -> DataFrame:
     return metrics.outcome_timing(demo.table(spark, d, "events"), "event_type", "value", (0.5, 0.95))
 
 
+@query
+def outcome_timing_merged(spark: SparkSession, d: str) -> DataFrame:
+    """Timings out of the stored sketches of 24 batches, and whether the sketched percentiles' ranks are within 2 %."""
+    events, path = demo.table(spark, d, "events"), fresh_path(spark, "timing")
+    for batch in range(24):
+        own = events.where(F.col("event_id") % 24 == batch)
+        metrics.timing_batch(own, "event_type", "value").coalesce(1).write.parquet(f"{path}/batch={batch}")
+    merged = metrics.merged_timing(spark.read.parquet(path), (0.5, 0.95))
+    met = events.join(F.broadcast(merged), F.col("event_type") == F.col("outcome"))  # one row per outcome
+    shares = [(F.count_if(F.col("value") <= F.col(f"p{p}_ms")) / F.count(F.lit(1))).alias(f"_{p}") for p in (50, 95)]
+    ranks = met.groupBy("outcome").agg(*shares)
+    near = [(F.abs(F.col(f"_{p}") - p / 100) < 0.02).alias(f"p{p}_near") for p in (50, 95)]
+    return merged.join(ranks, "outcome").select("outcome", "n", "sum_ms", "mean_ms", "lower_ms", "upper_ms", *near)
+
+
 # --- crawl -----------------------------------------------------------------------------------
 
 

@@ -10,6 +10,7 @@ from linkloom.operators import extract as X
 from linkloom.operators.extract import Extractor, page_extractor
 from linkloom.plans import capture as C
 from linkloom.registry import Handler, Registry, Source
+from linkloom.session import fresh_path
 from tests.test_html import EVENT
 
 PAGE = '<html><head><title>T</title></head><body>b<a href="/x/">1</a><a href="/x#f">2</a><a href="http://o.org/">3</a><a href="/y.pdf">4</a></body></html>'
@@ -122,7 +123,7 @@ def test_pandas_extractor_sees_only_its_rows(spark):
 
 def test_event_pages_end_to_end(spark):
     handlers = (
-        Handler("event", ((X.EVENT_PATTERN, None),), X.parsed_event_extractor()),
+        Handler("event", ((X.EVENT_PATTERN, None),), X.event_extractor()),
         Handler("list", ((X.EVENT_LIST_PATTERN, None),), X.links_extractor(*X.EVENT_LIST_REGION)),
     )
     reg = Registry([Source("e", handlers=handlers)], spark.createDataFrame([("e", "e.edu")], "source STRING, host STRING"))
@@ -141,8 +142,24 @@ def test_join_behind_the_extraction_gives_the_same_results(spark, registry, resp
     before = C.page_results(C.fetch(links, responses), registry).select(*C.RESULT_COLUMNS)
     behind = C.fetched_results(links, responses, registry)
     assert sorted(map(repr, before.collect())) == sorted(map(repr, behind.collect()))
-    plan = behind._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.index("Join LeftOuter, (url#") < plan.index("<title")
+
+
+def test_repeated_captures_and_links(spark, registry, responses):
+    """Every link row gets one row, from the last capture; no HTML and no record is shuffled."""
+    rows = [(i, t, *r) for t in (1, 2) for i, r in enumerate(responses.collect(), 100 * t)]
+    captures = spark.createDataFrame(rows, "id INT, taken INT, " + C.RESPONSES_SCHEMA)
+    captures = captures.withColumn("status", F.when(F.col("taken") == 1, 404).otherwise(F.col("status"))).repartition(4)
+    path = fresh_path(spark, "captures")
+    captures.write.parquet(path)
+    links = spark.createDataFrame([(n, u) for n in (1, 2) for u, *_ in ROWS] + [(3, "http://h.org/never")], "n INT, link STRING")
+    got = C.fetched_results(links, spark.read.parquet(path), registry, capture_id="id", order=("taken",))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    rows = got.collect()
+    assert len(rows) == 2 * len(ROWS) + 1 and {r["n"] for r in rows} == {1, 2, 3}
+    once = {r["url"]: (r["error"], r["record"], r["handler"]) for r in C.page_results(responses, registry).collect()}
+    assert all((r["error"], r["record"], r["handler"]) == once[r["url"]] for r in rows if r["n"] < 3)
+    shuffled = [line for line in plan.splitlines() if "Exchange" in line and "BroadcastExchange" not in line]
+    assert not any("html" in line or "record" in line for line in shuffled)
 
 
 def test_batch_output_has_one_row_per_input(spark, registry, responses):
