@@ -40,7 +40,6 @@ from pyspark.sql import types as T
 from linkloom.llm.common import written
 
 HELD_MOD, HELD_AT = 7, 2
-DISCOUNT, STRENGTH = 0.85, 75.0  # of ``seat`` in its tests
 WORD_STRENGTH, ROOT_STRENGTH = 1.0, 1.0  # the discounts are estimated from dishes with one and two customers
 EXACT, STEPS = 256, 16
 SLICE_BYTES, CHUNK = 16 << 20, 200_000
@@ -48,30 +47,43 @@ POSTINGS = "u long, w long, n long, base long, docs array<int>, ns array<int>, d
 NAMES = [c.split()[0] for c in POSTINGS.split(", ")]
 
 
-def seat(rng: np.random.Generator, customers: np.ndarray, opening: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray]:
-    """Tables of each dish after its customers sit down one by one, and the log of the steps' normalizers.
-
-    With ``i`` customers at ``t`` tables the next one opens a table with probability
-    ``opening / (opening + i - discount * t)``; ``opening`` is the restaurant's strength for new tables
-    times the dish's probability in the parent.
-    """
-    order = np.argsort(-customers, kind="stable")
-    left, a = customers[order] - 1, opening[order]
-    tables = np.minimum(customers[order], 1).astype(np.int64)
-    norm = np.zeros(len(a))
-    seated, active = 1, int(np.searchsorted(-left, 0, "left"))  # dishes whose customers still wait
-    while active:
-        step = max(1, seated // 16)
-        block = np.minimum(step, left[:active])
-        each = a[:active] + seated - discount * tables[:active]
-        norm[:active] += block * np.log(each + (block - 1) / 2)
-        tables[:active] += rng.binomial(block, np.clip(a[:active] / each, 0, 1))
-        left[:active] -= block
-        seated += step
-        active = int(np.searchsorted(-left[:active], 0, "left"))
-    out, logs = np.empty_like(tables), np.empty_like(norm)
-    out[order], logs[order] = tables, norm
-    return out, logs
+class Draws:
+    """Random numbers of rows: each row's depend on its keys and the purpose alone, not on its partition or batch."""
+
+    def __init__(self, kind: int, sweep: int, *keys: np.ndarray):
+        state = np.full(len(keys[0]), (kind << 40) + sweep, np.uint64)
+        for k in keys:
+            state = _mixed(state ^ np.ascontiguousarray(k, np.int64).view(np.uint64))
+        self.state, self.drawn = state, 0
+
+    def uniform(self) -> np.ndarray:
+        """The next number of every row, within (0, 1)."""
+        self.drawn += 1
+        bits = _mixed(self.state + np.uint64(self.drawn * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+        return ((bits >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
+
+    def gamma(self, shape: np.ndarray) -> np.ndarray:
+        """Gamma variables by squeezed normals (Marsaglia and Tsang); shapes below one by a power of a uniform."""
+        shape = np.asarray(shape, np.float64)
+        low = shape < 1
+        power = np.where(low, self.uniform() ** (1 / np.maximum(shape, 1e-300)), 1.0)
+        d = shape + low - 1 / 3
+        c = 1 / np.sqrt(9 * d)
+        out, left = np.zeros(len(d)), np.ones(len(d), bool)
+        while left.any():
+            x = np.sqrt(-2 * np.log(self.uniform())) * np.cos(2 * np.pi * self.uniform())
+            v, u = (1 + c * x) ** 3, self.uniform()
+            with np.errstate(invalid="ignore", divide="ignore"):
+                good = left & (v > 0) & (np.log(u) < x * x / 2 + d - d * v + d * np.log(v))
+            out[good], left = d[good] * v[good], left & ~good
+        return out * power
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit number with all its bits mixed."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 @lru_cache(maxsize=4)
@@ -124,15 +136,16 @@ def _log_factorial(n: np.ndarray) -> np.ndarray:
     return (up - 0.5) * np.log(up) - up + 0.5 * np.log(2 * np.pi) + 1 / (12 * up) - 1 / (360 * up**3) + 1 / (1260 * up**5) - down
 
 
-def resample(rng: np.random.Generator, n: np.ndarray, t: np.ndarray, weight: np.ndarray, discount: float, steps: int = STEPS) -> np.ndarray:
+def resample(draws: Draws, n: np.ndarray, t: np.ndarray, weight: np.ndarray, discount: float, steps: int = STEPS) -> np.ndarray:
     """``t`` after Metropolis steps for the law ``S(n, t) weight^t``."""
     t, now = t.copy(), log_stirling(n, t, discount)
     log_weight = np.log(weight)
     reach = np.maximum(1, np.sqrt(n).astype(np.int64))
     for _ in range(steps):
-        jump = rng.integers(1, reach + 1) * rng.choice([-1, 1], len(t))
+        jump = 1 + (draws.uniform() * reach).astype(np.int64)
+        jump = np.where(draws.uniform() < 0.5, -jump, jump)
         new = log_stirling(n, t + jump, discount)
-        taken = np.log(rng.random(len(t))) < new - now + jump * log_weight
+        taken = np.log(draws.uniform()) < new - now + jump * log_weight
         t[taken] += jump[taken]
         now[taken] = new[taken]
     return t
@@ -211,12 +224,6 @@ def _slice(texts: pa.Array, numbers: np.ndarray, held: np.ndarray, ids: pa.Array
     yield pa.RecordBatch.from_arrays(columns, NAMES)
 
 
-def _rng(kind: int, sweep: int) -> np.random.Generator:
-    from pyspark import TaskContext
-
-    return np.random.default_rng([kind, sweep, TaskContext.get().partitionId()])
-
-
 def _estimated(once: int, twice: int) -> float:
     return min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
 
@@ -246,9 +253,8 @@ def corpus(words: DataFrame, sweep: int, distinct: int, discount: float) -> Data
 
     def seated(batch):
         w, c, t = _numbers(batch, "w", "c", "t")
-        rng = _batch_rng(2, sweep, w)
-        new = resample(rng, c, np.minimum(t, c), np.full(len(c), discount * g * share), discount)
-        return new, rng.gamma(c - discount * new)
+        new = resample(Draws(2, sweep, w), c, np.minimum(t, c), np.full(len(c), discount * g * share), discount)
+        return new, Draws(6, sweep, w).gamma(c - discount * new)
 
     new = written(_extended(words, seated, s=T.LongType(), drawn=T.DoubleType()), "lm-corpus")
     tables, mass = new.agg(F.coalesce(F.sum("s"), F.lit(0)), F.coalesce(F.sum("drawn"), F.lit(0.0))).first()
@@ -270,21 +276,17 @@ def sweep_pairs(many: DataFrame, rooms: DataFrame, words: DataFrame, sweep: int,
 
     def gamma(batch):
         u, tables = _numbers(batch, "u", "tables")
-        return [_batch_rng(4, sweep, u).gamma(WORD_STRENGTH / discount + tables)]
+        return [Draws(4, sweep, u).gamma(WORD_STRENGTH / discount + tables)]
 
     def seated(batch):
-        u, n, t, g, p = _numbers(batch, "u", "n", "t", "g", "p")
-        return [resample(_batch_rng(5, sweep, u), n, t, np.maximum(discount * g * p, 1e-300), discount)]
+        u, w, n, t, g, p = _numbers(batch, "u", "w", "n", "t", "g", "p")
+        return [resample(Draws(5, sweep, u, w), n, t, np.maximum(discount * g * p, 1e-300), discount)]
 
     drawn = _extended(rooms, gamma, g=T.DoubleType()).select("u", "g")
     met = many.join(drawn.hint("shuffle_hash"), "u").join(words.select("w", "p").hint("shuffle_hash"), "w")
     return written(_extended(met, seated, s=T.LongType()).select("u", "w", "n", F.col("s").alias("t")), "lm-pairs")
 
 
-def _batch_rng(kind: int, sweep: int, keys: np.ndarray) -> np.random.Generator:
-    return np.random.default_rng([int(_rng(kind, sweep).integers(1 << 62)), *np.ascontiguousarray(keys[:1]).view(np.uint64).tolist()])
-
-
 def with_customers(words: DataFrame, many: DataFrame) -> DataFrame:
     """``words`` with new ``c``, the tables of each word over all contexts."""
     met = words.join(many.groupBy("w").agg(F.sum("t").alias("_t")), "w", "left")

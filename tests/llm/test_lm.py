@@ -48,44 +48,22 @@ def test_odd(odd_docs, no_docs):
     assert lm.scores(no_docs).collect() == []
 
 
-def test_seating_follows_the_process():
-    """The mean number of tables of one restaurant with one dish, against its closed form."""
-    d, strength, n = 0.5, 2.0, 200
-    tables, _ = lm.seat(np.random.default_rng(1), np.full(4000, n), np.full(4000, strength), d)
-    # opening / (opening + i - d t) with base 1 is the process whose strength for new tables is fixed
-    t = np.ones(4000)
-    rng = np.random.default_rng(2)
-    for i in range(1, n):
-        t += rng.random(4000) < strength / (strength + i - d * t)
-    assert abs(tables.mean() - t.mean()) < 0.15
-    assert lm.seat(np.random.default_rng(1), np.array([0, 1, 5]), np.ones(3), d)[0][0] == 0
-
-
-def test_text_probability_is_unbiased():
-    """Weighed seatings average to the exact probability of a small text: the sum over all its seatings."""
-    d, strength, p = lm.DISCOUNT, lm.STRENGTH, {"a": 0.3, "b": 0.05}
-    text = ["a", "a", "b", "a"]
-
-    def exact(at, tables):  # tables: (dish, customers)
-        if at == len(text):
-            return 1.0
-        out, w = 0.0, text[at]
-        for i, (dish, c) in enumerate(tables):
-            if dish == w:
-                more = [*tables[:i], (dish, c + 1), *tables[i + 1 :]]
-                out += (c - d) / (strength + at) * exact(at + 1, more)
-        return out + (strength + d * len(tables)) / (strength + at) * p[w] * exact(at + 1, [*tables, (w, 1)])
-
-    n, runs = Counter(text), 20_000
-    rng, logs, opened = np.random.default_rng(3), np.zeros(runs), np.zeros(runs)
-    new = strength + d * 3
-    for w, c in n.items():
-        t, norm = lm.seat(rng, np.full(runs, c), np.full(runs, new * p[w]), d)
-        logs += math.log(p[w]) + norm - (t - 1) * math.log(new)
-        opened += t
-    logs += [sum(math.log(strength + k * d) for k in range(1, int(t))) for t in opened]
-    logs -= sum(math.log(strength + i) for i in range(1, len(text)))
-    assert np.exp(logs).mean() == pytest.approx(exact(0, []), rel=0.03)
+def test_scores_do_not_depend_on_partitions(docs):
+    few = docs.limit(60)
+    a, b = ({r.doc_id: r.score for r in lm.scores(few.repartition(n)).collect()} for n in (1, 5))
+    assert a.keys() == b.keys() and all(a[d] == pytest.approx(b[d], rel=1e-9) for d in a)
+
+
+def test_draws_are_those_of_their_keys():
+    keys = np.arange(20_000)
+    every = lm.Draws(1, 2, keys)
+    first, some = every.uniform(), lm.Draws(1, 2, keys[500:700]).uniform()
+    assert (first[500:700] == some).all() and abs(first.mean() - 0.5) < 0.01 and abs(every.uniform().mean() - 0.5) < 0.01
+    assert not (first == lm.Draws(2, 2, keys).uniform()).any()
+    for shape in (0.3, 1.0, 2.5, 40.0, 1e6):
+        got = lm.Draws(3, 1, keys).gamma(np.full(len(keys), shape))
+        assert got.mean() == pytest.approx(shape, rel=0.03) and got.var() == pytest.approx(shape, rel=0.06)
+        assert (got[:9] == lm.Draws(3, 1, keys[:9]).gamma(np.full(9, shape))).all()
 
 
 def test_log_gamma(spark):

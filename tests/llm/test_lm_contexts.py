@@ -26,6 +26,51 @@ def test_order_of_words_counts(spark):
     assert text.score > salad.score + 5
 
 
+def test_small_corpus_against_the_sum_over_seatings(spark):
+    """Scores of production code, averaged over many sweeps, against sums over all tables of all restaurants."""
+    import itertools
+    import math
+
+    held = next(str(i) for i in range(50) if lm.zlib.crc32(str(i).encode()) % 7 == 2)
+    texts = {i: t for i, t in zip((i for i in range(9) if lm.zlib.crc32(str(i).encode()) % 7 != 2), ["a a b", "a a", "b a a"])}
+    rows = [*texts.items(), (int(held), "a b")]
+    got = {r.doc_id: r.score for r in lm.scores(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), burn_in=3, samples=40).collect()}
+    pairs, words = {}, {}
+    for t in texts.values():
+        own = t.split() + [""]
+        for u, w in zip(["", *own], own):
+            pairs[u, w] = pairs.get((u, w), 0) + 1
+            words[w] = words.get(w, 0) + 1
+    ones = lambda values: (sum(v == 1 for v in values), sum(v == 2 for v in values))
+    d = lm._estimated(*ones(pairs.values()))
+    tables_of = lambda t: {w: sum(k for (u, x), k in t.items() if x == w) for w in words}
+    root = lm._estimated(*ones(tables_of({p: 1 for p in pairs}).values()))  # as production has it: one table per pair
+    share, total, want = 1 / (len(words) + 1), 0.0, {k: 0.0 for k, _ in rows}
+    rising = lambda s, x, n: sum(math.log(s + x * k) for k in range(1, n))
+    for choice in itertools.product(*[range(1, n + 1) for n in pairs.values()]):
+        t = dict(zip(pairs, choice))
+        c = tables_of(t)
+        low = sum(stirling(n, d)[t[p]] for p, n in pairs.items())
+        for u in {u for u, _ in pairs}:
+            low += rising(lm.WORD_STRENGTH, d, sum(k for (x, _), k in t.items() if x == u))
+        high = -sum(math.log(lm.ROOT_STRENGTH + k) for k in range(1, sum(c.values())))
+        for seats in itertools.product(*[range(1, n + 1) for n in c.values()]):
+            s = dict(zip(c, seats))
+            weight = low + high + sum(stirling(n, root)[s[w]] for w, n in c.items()) + rising(lm.ROOT_STRENGTH, root, sum(seats)) + sum(seats) * math.log(share)
+            weight = math.exp(weight)
+            q = {w: (c[w] - root * s[w] + (lm.ROOT_STRENGTH + root * sum(seats)) * share) / (lm.ROOT_STRENGTH + sum(c.values())) for w in words}
+            total += weight
+            for k, text in rows:
+                own, p = text.split() + [""], 1.0
+                for u, w in zip(["", *own], own):
+                    n, customers = pairs.get((u, w), 0), sum(v for (x, _), v in pairs.items() if x == u)
+                    opened = sum(v for (x, _), v in t.items() if x == u)
+                    p *= (n - d * t.get((u, w), 0) + (lm.WORD_STRENGTH + d * opened) * q[w]) / (lm.WORD_STRENGTH + customers)
+                want[k] += weight * p
+    for k, score in got.items():
+        assert score == pytest.approx(math.log10(want[k] / total), abs=0.08)
+
+
 @pytest.mark.parametrize("d", [0.3, 0.85])
 def test_stirling_numbers(d):
     n, t = 1200, np.array([1, 2, 5, 30, 300, 900, 1190])
@@ -40,9 +85,9 @@ def test_steps_keep_the_law(n, weight):
     law = stirling(n, d)[1:] + np.arange(1, n + 1) * np.log(weight)
     law = np.exp(law - law.max()) / np.exp(law - law.max()).sum()
     mean = law @ np.arange(1, n + 1)
-    rng, t = np.random.default_rng(4), np.ones(runs, np.int64)
-    for _ in range(20):
-        t = lm.resample(rng, np.full(runs, n), t, np.full(runs, weight), d)
+    t = np.ones(runs, np.int64)
+    for sweep in range(20):
+        t = lm.resample(lm.Draws(1, sweep, np.arange(runs)), np.full(runs, n), t, np.full(runs, weight), d)
     assert t.mean() == pytest.approx(mean, rel=0.03)
 
 
@@ -59,7 +104,7 @@ def test_sweeps_of_a_restaurant_are_gibbs():
     for sweep in range(60):
         g = rng.gamma(strength / d + t.sum(axis=1))
         weight = d * g[:, None] * p
-        t = lm.resample(rng, np.tile(n, runs), t.ravel(), weight.ravel(), d).reshape(runs, 2)
+        t = lm.resample(lm.Draws(2, sweep, np.arange(2 * runs)), np.tile(n, runs), t.ravel(), weight.ravel(), d).reshape(runs, 2)
         if sweep >= 20:
             total += t.mean(axis=0) / 40
     assert total == pytest.approx(want, rel=0.02)
