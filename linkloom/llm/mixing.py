@@ -11,7 +11,8 @@ so a source with a third of all rows costs no more than another; cells meet the
 that Spark broadcasts within its size threshold.
 
 Null sources, languages and texts count as ``''``. A null id draws like an empty string. Repeated rows
-share a draw. Cells without tokens are kept whole; an empty table gives no rows.
+share a draw. Cells without tokens are kept whole, so a table without any word is; an empty table gives no
+rows. ``report`` says which targets cannot be met, and how near the others came.
 """
 
 from __future__ import annotations
@@ -65,6 +66,8 @@ def targets(observed: DataFrame, dimension: str, keep: float, temper: float, sha
     key = f"_{dimension}"
     margin = observed.groupBy(key).agg(F.sum("observed").alias("_margin"))
     whole = observed.agg(F.sum("observed")).first()[0]
+    if not whole:  # no tokens at all: nothing to want
+        return margin.select(key, F.lit(0.0).alias("target"))
     weight = F.pow(F.col("_margin") / F.lit(whole), F.lit(float(temper)))
     if shares:
         given = F.create_map(*[F.lit(x) for kv in shares.items() for x in (kv[0], float(kv[1]))])
@@ -89,6 +92,22 @@ def rake(observed: DataFrame, keep: float = KEEP, temper: float = TEMPER, rounds
     return fitted
 
 
+def report(fitted: DataFrame, keep: float = KEEP, temper: float = TEMPER, shares: dict | None = None) -> DataFrame:
+    """``dimension, value, target, reached, available`` of ``rake`` rows: what each margin wanted and got.
+
+    A target above ``available``, the tokens there are, cannot be met; one short of it after all rounds has
+    not converged.
+    """
+    out = None
+    for d in DIMENSIONS:
+        key = f"_{d}"
+        got = fitted.groupBy(key).agg(F.sum("fitted").alias("reached"), F.sum("observed").alias("available"))
+        rows = got.join(targets(fitted, d, keep, temper, (shares or {}).get(d)), key)
+        rows = rows.select(F.lit(d).alias("dimension"), F.col(key).alias("value"), "target", "reached", "available")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def draw(doc_id: Column, seed: int = SEED) -> Column:
     """A number in [0, 1) that depends on the id alone: the first 52 bits of an MD5."""
     digest = F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{seed}")))

@@ -50,3 +50,21 @@ def test_odd(odd_docs, no_docs):
     kept = [r.doc_id for r in mixing.sample(odd_docs).collect()]
     assert kept.count(5) in (0, 3)  # repeated rows share a draw
     assert mixing.sample(no_docs).collect() == []
+
+
+def test_table_without_words_is_kept_whole(spark, collect):
+    docs = spark.createDataFrame([(1, None, "en", "s"), (2, "", "de", "s"), (2, " ", "de", None)], "doc_id long, text string, lang string, source string")
+    rows = collect(mixing.drawn(docs))
+    assert len(rows) == 3 and all(r["_kept"] and r["_probability"] == 1 for r in rows)
+    assert mixing.sample(docs).count() == 3
+
+
+def test_report_tells_targets_that_cannot_be_met(docs):
+    fitted = mixing.rake(mixing.cells(docs), rounds=30)
+    for r in mixing.report(fitted).collect():
+        assert r.reached <= r.available + 1e-6
+    wanted = {d.dimension for d in mixing.report(fitted).collect()}
+    assert wanted == set(mixing.DIMENSIONS)
+    shares = {"lang": {"en": 1e-9}}  # all tokens are wanted of the others, more than they have
+    short = [r for r in mixing.report(mixing.rake(mixing.cells(docs), shares=shares, rounds=8), shares=shares).collect() if r.dimension == "lang" and r.target > r.available]
+    assert short and all(r.value != "en" for r in short)
