@@ -60,12 +60,15 @@ def latest_status(updates: DataFrame, link: str = "link", status: str = "status"
     return updates.groupBy(F.col(link).alias("link")).agg(F.max_by(F.col(status), order).alias("status"))
 
 
-def update(frontier: DataFrame, statuses: DataFrame) -> DataFrame:
+def update(frontier: DataFrame, statuses: DataFrame, seq: tuple[str, ...] = ()) -> DataFrame:
     """Sets the status of the given links; unknown links are ignored.
 
-    A link given more than once takes the greatest of its statuses, so that it stays one row.
+    A link given more than once takes its last status by ``seq``, or without one the status that is furthest
+    along (failed, completed, processing, waiting), so that it stays one row.
     """
-    new = statuses.groupBy("link").agg(F.max("status").alias("_new"))
+    rank = F.array_position(F.array(*map(F.lit, STATUSES)), F.col("status"))
+    order = F.struct(*(F.col(c) for c in seq), rank.alias("_rank"), F.col("status").alias("_status"))
+    new = statuses.groupBy("link").agg(F.max_by("status", order).alias("_new"))
     return frontier.join(new, "link", "left").select(
         "link", F.coalesce("_new", "status").alias("status"), "round"
     )

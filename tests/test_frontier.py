@@ -89,3 +89,11 @@ def test_timing_percentiles_stay_within_their_rank(spark):
 def test_update_with_a_repeated_link_keeps_one_row(spark):
     got = fr.update(table(spark, BASE), spark.createDataFrame([("a", "failed"), ("a", "completed")], "link STRING, status STRING"))
     assert state(got)["a"] == ("failed", 0)
+
+
+def test_update_takes_the_last_status_by_sequence(spark):
+    table = spark.createDataFrame([("a", "waiting", 0), ("b", "waiting", 0)], "link STRING, status STRING, round INT")
+    log = spark.createDataFrame([("a", "completed", 1), ("a", "waiting", 2), ("b", "completed", 5), ("b", "processing", 4)], "link STRING, status STRING, seq INT")
+    by_seq = {r.link: r.status for r in fr.update(table, log, ("seq",)).collect()}
+    assert by_seq == {"a": "waiting", "b": "completed"}
+    assert {r.link: r.status for r in fr.update(table, log).collect()} == {"a": "completed", "b": "completed"}
