@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import small_batches, written
+from linkloom.llm.common import small_batches, tidy, written
 from linkloom.llm.tokens import little_endian, task_encoder, vocabulary_text
 
 CAPACITY = 1024
@@ -108,7 +108,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(cut), schema)
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, group_rows: int = 50_000) -> DataFrame:
@@ -135,7 +135,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = Non
         {"sequence_id": F.monotonically_increasing_id() + F.lit(1 << 62), "offset": F.lit(0).cast("long")}
     )
     # Round-robin after a local sort: a task that runs again gets the same rows.
-    return full.unionByName(rests.repartition(groups).mapInArrow(fill, PACKED))
+    return full.unionByName(rests.repartition(groups).mapInArrow(tidy(fill), PACKED))
 
 
 def sequences(docs: DataFrame, packed: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, pad: int = 0) -> DataFrame:

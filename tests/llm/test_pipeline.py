@@ -41,7 +41,7 @@ def test_stages(spark, docs):
 
 def test_registered():
     assert QUERIES.items() <= entry.queries().items() and ORACLES.items() <= entry.oracle_sql().items()
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert entry.queries()["pipeline"] is corpus_pipeline.run
 
 
