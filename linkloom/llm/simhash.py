@@ -28,9 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import components, written
+from linkloom.llm.common import components, tidy, written
 
 SHORT_LIST, LONG_LIST = 32, 8192
+SALTS = 32
 
 
 def simhash(text: str | None, shingle: int = 4) -> int:
@@ -62,7 +63,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got.view(np.int64))], ["doc_id", "fp"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, fp long")
+    return narrow.mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def _choices(unit: int, places: list[int], take: int) -> list[tuple[int, int]]:
@@ -201,9 +202,14 @@ def _named(prints: DataFrame, max_bits: int) -> DataFrame:
     """``fp, root, component_id`` of each distinct fingerprint: its component's root and smallest id."""
     classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
     roots = components(links(classes.select("fp"), max_bits), "simhash-groups").withColumnRenamed("node", "fp")
-    rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(names, "root").select("fp", "root", "component_id")
+    rooted = written(classes.join(roots, "fp", "left"), "simhash-rooted")
+    alone = rooted.where("root IS NULL").select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
+    linked = rooted.where("root IS NOT NULL")
+    names = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    # One component may hold a third of all fingerprints: its members meet copies of its name.
+    names = names.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(names, ["root", "salt"])
+    return alone.unionByName(met.select("fp", "root", "component_id"))
 
 
 def groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
@@ -242,4 +248,4 @@ def _keyed(rows: DataFrame, shingle: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tie", "fp"])
 
     narrow = rows.select(F.col("doc.doc_id").cast("long").alias("doc_id"), "tie", F.col("doc.text").cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, tie long, fp long")
+    return narrow.mapInArrow(tidy(run), "doc_id long, tie long, fp long")
