@@ -4,12 +4,14 @@ Features are the distinct hashed character n-grams of a text (case folded, a spa
 Each is scaled by the log of its smoothed share among toxic over that among clean training texts, the
 vector is brought to length one, and a logistic regression is fitted on top by mini-batch descent.
 
-The fit uses at most ``max_rows`` labelled training rows (those of the smallest hash of ``doc_id``);
-they alone come to the driver, as feature numbers. Scoring is map-only over whole texts.
+The fit uses at most ``max_rows`` labelled documents (those of the smallest hash of ``doc_id``) of at most
+``max_chars`` characters in all; they alone come to the driver, as feature numbers (12 bytes a character at
+most). N-grams are hashed into ``2 ** BITS`` features. Scoring is map-only over whole texts.
 
 A text without n-grams scores by the bias. With no training row every score is 0; with one class the
 features are zero and the bias decides. Null labels are not learned from; a document labelled more
-than once is toxic if any label says so. Repeated rows score alike. Null ids are never learned from.
+than once is toxic if any label says so. Repeated rows score alike. Null ids are never learned from and not
+held out.
 """
 
 from __future__ import annotations
@@ -22,12 +24,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.llm.common import give_back, tidy
+
 LOW, HIGH, BITS = 3, 5, 18
 HELD_OUT_MOD = 5
+MAX_CHARS = 32_000_000
 
 
 def is_held_out(doc_id: Column, mod: int = HELD_OUT_MOD) -> Column:
-    return F.crc32(doc_id.cast("string")) % mod == 0
+    return F.coalesce(F.crc32(doc_id.cast("string")) % mod == 0, F.lit(False))
 
 
 def ngrams(text: str | None) -> np.ndarray:
@@ -64,13 +69,19 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int, mod: int = HELD_OUT_MOD) -> DataFrame:
-    """``doc_id, toxic, text`` of at most ``max_rows`` labelled documents outside the held-out part."""
+def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int, mod: int = HELD_OUT_MOD, max_chars: int = MAX_CHARS) -> DataFrame:
+    """``doc_id, toxic, text`` of labelled documents outside the held-out part, within both bounds.
+
+    Labels without a document do not count. Documents are taken by hash while their texts fit together.
+    """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~is_held_out(F.col("doc_id"), mod))
     known = known.groupBy(F.col("doc_id").cast("long").alias("_doc")).agg(F.max("toxic").alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("_doc"), "_doc").limit(max_rows)
-    # max_rows bounds the broadcast side; texts stay where they are scanned.
-    own = docs.select(F.col("doc_id").cast("long").alias("_doc"), "text")
+    own = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    sizes = own.groupBy("_doc").agg(F.max(F.length("text")).alias("_size"))
+    chosen = known.join(sizes, "_doc").orderBy(F.xxhash64("_doc"), "_doc").limit(max_rows)
+    # max_rows bounds the window and the broadcast side; texts stay where they are scanned.
+    so_far = "sum(_size) OVER (ORDER BY xxhash64(_doc), _doc ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    chosen = chosen.withColumn("_so_far", F.expr(so_far)).where(F.col("_so_far") <= max_chars).select("_doc", "toxic")
     met = own.join(F.broadcast(chosen), "_doc")
     return met.groupBy("_doc", "toxic").agg(F.min("text").alias("text")).withColumnRenamed("_doc", "doc_id")
 
@@ -82,7 +93,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, steps: int =
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(rows)], ["doc_id", "toxic", "grams"])
 
     rows = training_rows(docs, labels, max_rows, mod).select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
-    got = rows.mapInArrow(features, "doc_id long, toxic int, grams binary").toArrow()
+    got = rows.mapInArrow(tidy(features), "doc_id long, toxic int, grams binary").toArrow()
     order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
     grams = [g for chunk in got.column("grams").chunks for g in _views(chunk)]
     model = fit_rows([grams[i] for i in order], got.column("toxic").to_numpy()[order], steps)
@@ -138,7 +149,9 @@ def score(text: Column, model: Model, docs: DataFrame) -> Column:
 
     def run(texts: pd.Series) -> pd.Series:
         own = Model(*shared.value)
-        return texts.map(lambda t: own.score(t if isinstance(t, str) else None)).astype("float64")
+        out = texts.map(lambda t: own.score(t if isinstance(t, str) else None)).astype("float64")
+        give_back()
+        return out
 
     return F.pandas_udf(run, "double")(text)
 

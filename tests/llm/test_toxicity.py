@@ -47,3 +47,20 @@ def test_fit_is_linear_in_scaled_features():
     grams = [np.array([1, 2], np.int32), np.array([2, 3], np.int32)] * 20
     model = toxicity.fit_rows(grams, np.array([1, 0] * 20), steps=60)
     assert model.weights[1] > 0 > model.weights[3] and model.squares[2] < 1e-9
+
+
+def test_null_ids_are_not_held_out(odd_docs, spark, collect):
+    labels = spark.createDataFrame([(5, 1), (6, 0), (None, 1)], "doc_id long, toxic int")
+    rows = collect(toxicity.scored(odd_docs, labels))
+    assert all(r["held_out"] in (True, False) for r in rows)
+    assert all(not r["held_out"] for r in rows if r["doc_id"] != r["doc_id"] or r["doc_id"] is None)
+
+
+def test_bounds_of_the_fit(docs, spark):
+    """Labels without a document take no place; texts past the bound of characters are left out."""
+    labels = spark.range(1_000_000, 1_000_500).selectExpr("id AS doc_id", "1 AS toxic")
+    own = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) AS toxic")
+    got = toxicity.training_rows(docs, own.unionByName(labels), 40).collect()
+    assert len(got) == 40
+    few = toxicity.training_rows(docs, own, 40, max_chars=20_000).collect()
+    assert 0 < len(few) < 40 and sum(len(r.text) for r in few) <= 20_000
