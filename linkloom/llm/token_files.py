@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import small_batches
+from linkloom.llm.common import small_batches, tidy
 from linkloom.llm.tokens import little_endian, task_encoder, vocabulary_text
 
 STORED = "doc_id long, part int, row_start long, n_tokens long, ids array<int>"
@@ -78,7 +78,7 @@ def write(
         "parquet.enable.dictionary#ids.list.element": str(encoding == "dictionary").lower(),
     }
     with small_batches(docs.sparkSession, 4_000):
-        ordered.select("doc_id", "text").mapInArrow(encode, STORED).write.options(**options).parquet(path)
+        ordered.select("doc_id", "text").mapInArrow(tidy(encode), STORED).write.options(**options).parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -112,5 +112,5 @@ def checksums(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(kept, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return rows.select("doc_id", "start", "n_tokens", "ids").mapInArrow(
-        crc, "doc_id long, start long, n_tokens long, ids_crc32 long"
+        tidy(crc), "doc_id long, start long, n_tokens long, ids_crc32 long"
     )

@@ -53,6 +53,35 @@ def test_end_mark_in_a_text_is_its_token(vocabulary):
     assert encoded(tokens.Encoder(vocabulary), ["a <|endoftext|> b"]) == [[64, 220, 50256, 275, 0]]
 
 
+def test_line_feeds_cut_words_too(vocabulary, plain):
+    texts = ["a.\nb\nc d", "\na", "a\n", "a \nb", "a\n b", "a\n\nb\n\n\nc\n\n\n\nd", "a\n \nb", "a\n\tb", "a\t\nb", "a\u3000\nb", "a\r\nb", "\n", "a\n's b"]
+    assert encoded(tokens.Encoder(vocabulary), texts) == plain(texts)
+
+
+class Counting:
+    """A tokenizer that notes the texts it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.calls = tokenizer, []
+
+    def __getattr__(self, name):
+        def call(texts, **options):
+            self.calls.append(texts)
+            return getattr(self.tokenizer, name)(texts, **options)
+
+        return call
+
+
+def test_library_gets_little_at_a_time(vocabulary, plain):
+    """Texts that are encoded whole go to the library in groups, words around line feeds not as one text."""
+    encoder = tokens.Encoder(vocabulary)
+    encoder.tokenizer = counting = Counting(encoder.tokenizer)
+    texts = [f"odd  text {i} " + "lorem ipsum  " * 4000 for i in range(30)] + [f"end.\nStart{'x' * i} on" for i in range(50)]
+    assert encoded(encoder, texts) == plain(texts)
+    assert max(sum(map(len, c)) for c in counting.calls) <= tokens.WHOLE_BYTES
+    assert not any("\nStart" in t for c in counting.calls for t in c)
+
+
 def test_best_fit_decreasing_takes_the_tightest():
     rng = np.random.default_rng(3)
     lengths = np.sort(rng.integers(1, 64, 400))[::-1]
