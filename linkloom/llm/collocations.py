@@ -8,8 +8,8 @@ the counts of words, pairs and triples.
 
 Shards are cut by prefix range: ranges of first words of about ``range_tokens`` words each, found from
 exact word counts; where a word (or all ranges, once their number is at its bound) holds more, the range
-is cut further by a hash of the second and third words. Automata of one range are united, weights summed.
-Phrases of ``min_count`` or more are the candidates; their parts are looked up by composing them with
+is cut further by a hash of the second word, and for pairs with many windows of the third word too.
+Automata of one range are united, weights summed. Phrases of ``min_count`` or more are the candidates; their parts are looked up by composing them with
 automata of the parts, again by prefix range, requests of a hot range being spread over salted copies.
 
 A null language is ``und``; null and empty texts have no words; repeated rows count as often as they
@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import in_order, part_offsets, small_batches, written
+from linkloom.llm.common import give_back, in_order, part_offsets, small_batches, tidy, written
 
 NO_LANG = "und"
 END = ""  # stands for "no further word of the piece"; no word is empty
@@ -36,8 +36,9 @@ BLANKS, CUTS = b" \t", b".,;:!?\n\x0b\x0c\r"
 SLICE_BYTES = 3 << 19
 RANGE_TOKENS = 700_000
 MAX_RANGES = 50_000  # bounds sent to every task; ranges of more tokens are cut by hash, so tasks do not grow
+SOME_TASKS = 2_000  # tasks that unite cells: one per cell up to so many, or as many as Spark is set to
 REQUESTS = 500_000  # part lookups of one range that one task answers
-CELLS = "range int, share int, whole boolean, lang string, automaton binary"
+CELLS = "range int, share int, lang string, automaton binary"
 COUNTED = "lang string, w1 string, w2 string, w3 string, a long, whole boolean"
 
 _KIND = np.zeros(256, np.uint8)
@@ -103,16 +104,17 @@ class Transducer:
 
     @classmethod
     def union(cls, parts: list[Transducer]) -> Transducer:
-        """One automaton whose weights are the sums over all parts."""
+        """One automaton whose weights are the sums over all parts. ``parts`` is emptied on the way, so that few are held twice."""
         if len(parts) == 1:
-            return parts[0]
+            return parts.pop()
         labels, new = numbered([p.labels for p in parts])
-        base, codes, weights = 0, [], []
-        for p in parts:
+        base, codes, weights = len(new), [], []
+        while parts:
+            p = parts.pop()
             *own, weight = p.entries()
+            base -= len(p.labels)
             codes.append([new[base + c] for c in own])
             weights.append(weight)
-            base += len(p.labels)
         return cls.counted(labels, [np.concatenate(c) for c in zip(*codes)], np.concatenate(weights))
 
     def entries(self) -> list[np.ndarray]:
@@ -123,6 +125,12 @@ class Transducer:
         at, n = _gather(offsets2, t)
         return [np.repeat(a, n), np.repeat(b, n), label2[at], weight[at]]
 
+    def pairs(self) -> list[np.ndarray]:
+        """All pairs in order, and the number of windows of each."""
+        (a, s), (offsets, label, state) = self.root, self.first
+        at, n = _gather(offsets, s)
+        return [np.repeat(a, n), label[at], np.diff(self.second[0])[state[at]]]
+
     def weights_of(self, phrases: list[pa.Array]) -> np.ndarray:
         """Composition with three-word phrases (end marks included): the weight of each, 0 if unknown."""
         codes = [pc.index_in(p.cast(pa.large_string()), value_set=self.labels) for p in phrases]
@@ -295,7 +303,7 @@ def shards(docs: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([blob], pa.binary())], ["lang", "automaton"])
 
     with small_batches(docs.sparkSession):
-        return written(rows.mapInArrow(build, "lang string, automaton binary"), "phrase-shards", 8 << 20)
+        return written(rows.mapInArrow(tidy(build), "lang string, automaton binary"), "phrase-shards", 8 << 20)
 
 
 def word_counts(made: DataFrame) -> DataFrame:
@@ -312,7 +320,7 @@ def word_counts(made: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(f)), words, f], ["lang", "word", "f"])
 
     with small_batches(made.sparkSession, 1):
-        rows = made.mapInArrow(roots, "lang string, word string, f long")
+        rows = made.mapInArrow(tidy(roots), "lang string, word string, f long")
         return written(rows.groupBy("lang", "word").agg(F.sum("f").alias("f")), "phrase-words")
 
 
@@ -357,14 +365,62 @@ def ranges(words: DataFrame, range_tokens: int = RANGE_TOKENS) -> Ranges:
     return Ranges(starts, [max(1, round(int(n) / range_tokens)) for n in sizes])
 
 
-def counts(made: DataFrame, bounds: Ranges, min_count: int) -> tuple[DataFrame, DataFrame]:
-    """``lang, w1, w2, a`` and ``lang, w1, w2, w3, a`` of all pairs and triples met ``min_count`` times or more."""
+class HotPairs:
+    """Pairs of words whose windows are too many for one share of a range."""
+
+    def __init__(self, rows: list):
+        self.of_lang: dict[str, list[pa.Array]] = {}
+        for lang in {r.lang for r in rows}:
+            own = [(r.w1, r.w2) for r in rows if r.lang == lang]
+            self.of_lang[lang] = [pa.array(words, pa.large_string()) for words in zip(*own)]
+
+    def among(self, lang: str, labels: pa.Array, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which of the pairs of label numbers are hot."""
+        if lang not in self.of_lang:
+            return np.zeros(len(a), bool)
+        codes = [pc.index_in(words, value_set=labels) for words in self.of_lang[lang]]
+        known = pc.and_(*(c.is_valid() for c in codes))
+        first, second = (c.filter(known).to_numpy().astype(np.int64) for c in codes)
+        return np.isin(a.astype(np.int64) * len(labels) + b, first * len(labels) + second)
+
+
+def hot_pairs(made: DataFrame, bounds: Ranges, range_tokens: int = RANGE_TOKENS) -> HotPairs:
+    """All pairs with half of ``range_tokens`` windows or more in ranges that are cut into shares, and none below a quarter.
+
+    A shard names the pairs with more than the shards' share of a quarter: what it leaves out of a pair is less than
+    a quarter over all shards. At most four pairs for each ``range_tokens`` windows come to the driver.
+    """
+    if (bounds.shares == 1).all():
+        return HotPairs([])
     known = made.sparkSession.sparkContext.broadcast(bounds)
-    names = {"range": pa.int32(), "share": pa.int32(), "whole": pa.bool_(), "lang": pa.string(), "automaton": pa.binary()}
+    least = max(1, range_tokens // (4 * made.count()))
+
+    def named(batches):
+        ranges = known.value
+        for batch in batches:
+            for lang, blob in zip(batch.column("lang").to_pylist(), batch.column("automaton")):
+                t = Transducer.from_bytes(blob.as_py())
+                a, b, n = t.pairs()
+                split = ranges.shares[ranges.of(lang, [w.encode() for w in t.labels.to_pylist()])] > 1
+                at = np.flatnonzero((n >= least) & split[a])
+                words = [t.labels.take(pa.array(x[at])).cast(pa.string()) for x in (a, b)]
+                columns = [pa.array([lang] * len(at), pa.string()), *words, pa.array(n[at], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "w1", "w2", "windows"])
+
+    with small_batches(made.sparkSession, 1):
+        rows = made.mapInArrow(tidy(named), "lang string, w1 string, w2 string, windows long")
+        large = rows.groupBy("lang", "w1", "w2").agg(F.sum("windows").alias("windows")).where(F.col("windows") >= range_tokens // 4)
+        return HotPairs(large.select("lang", "w1", "w2").collect())
+
+
+def counts(made: DataFrame, bounds: Ranges, min_count: int, range_tokens: int = RANGE_TOKENS) -> tuple[DataFrame, DataFrame]:
+    """``lang, w1, w2, a`` and ``lang, w1, w2, w3, a`` of all pairs and triples met ``min_count`` times or more."""
+    known = made.sparkSession.sparkContext.broadcast((bounds, hot_pairs(made, bounds, range_tokens)))
+    names = {"range": pa.int32(), "share": pa.int32(), "lang": pa.string(), "automaton": pa.binary()}
     cell_schema = pa.schema(list(names.items()))
 
     def cut(batches):
-        ranges = known.value
+        ranges, hot = known.value
         for batch in batches:
             for lang, blob in zip(batch.column("lang").to_pylist(), batch.column("automaton")):
                 whole = Transducer.from_bytes(blob.as_py())
@@ -375,39 +431,43 @@ def counts(made: DataFrame, bounds: Ranges, min_count: int) -> tuple[DataFrame,
                 share = np.zeros(len(number), np.int64)
                 if (split := shares > 1).any():
                     crc = np.fromiter(map(zlib.crc32, words), np.int64, len(words))
-                    share[split] = (crc[entries[1][split]] * 31 + crc[entries[2][split]]) % shares[split]
+                    third = np.where(hot.among(lang, whole.labels, *entries[:2]), crc[entries[2]], 0)
+                    share[split] = (crc[entries[1][split]] * 31 + third[split]) % shares[split]
                 key = number * (int(shares.max()) + 1) + share
                 order = np.argsort(key, kind="stable")
                 heads = _changes(key[order])
                 for rows in np.split(order, heads[1:]):
                     part = whole.restricted(rows, entries)
                     r = rows[0]
-                    cell = {"range": int(number[r]), "share": int(share[r]), "whole": bool(shares[r] == 1), "lang": lang}
+                    cell = {"range": int(number[r]), "share": int(share[r]), "lang": lang}
                     yield pa.RecordBatch.from_pylist([cell | {"automaton": part.to_bytes()}], cell_schema)
 
     def unite(rows: pa.Table) -> pa.Table:
-        out = []
-        complete = rows.column("whole")[0].as_py()
+        out, hot = [], known.value[1]
         for lang in pc.unique(rows.column("lang")).to_pylist():
             blobs = rows.filter(pc.equal(rows.column("lang"), lang)).column("automaton")
             t = Transducer.union([Transducer.from_bytes(b.as_py()) for b in blobs])
             a, b, c, weight = t.entries()
             heads = _changes(a, b)
             sums = np.add.reduceat(weight, heads, dtype=np.int64)
-            # A pair whose windows lie in one cell only is complete here; shares of pairs are summed later.
-            pairs = (b[heads] > 0) & ((sums >= min_count) | (not complete))
+            # A pair is complete here, but for hot ones: their shares are summed later.
+            cut_up = hot.among(lang, t.labels, a[heads], b[heads])
+            pairs = (b[heads] > 0) & ((sums >= min_count) | cut_up)
             triples = (c > 0) & (weight >= min_count)
-            for keep, at, f in ((pairs, heads, sums), (triples, np.arange(len(c)), weight.astype(np.int64))):
+            for keep, at, f, whole in ((pairs, heads, sums, ~cut_up), (triples, np.arange(len(c)), weight.astype(np.int64), np.ones(len(c), bool))):
                 at, f = at[keep], f[keep]
                 words = [t.labels.take(pa.array(x[at])) for x in (a, b, c)]
                 if keep is pairs:
                     words[2] = pa.nulls(len(at), pa.string())
                 columns = [pa.array([lang] * len(at), pa.string()), *(w.cast(pa.string()) for w in words), pa.array(f)]
-                out.append(pa.Table.from_arrays([*columns, pa.array(np.full(len(at), complete))], ["lang", "w1", "w2", "w3", "a", "whole"]))
+                out.append(pa.Table.from_arrays([*columns, pa.array(whole[keep])], ["lang", "w1", "w2", "w3", "a", "whole"]))
+        give_back()
         return pa.concat_tables(out)
 
+    tasks = max(int(made.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(SOME_TASKS, int(bounds.shares.sum())))
     with small_batches(made.sparkSession, 1):
-        found = written(made.mapInArrow(cut, CELLS).groupBy("range", "share").applyInArrow(unite, COUNTED), "phrase-counts")
+        cells = made.mapInArrow(tidy(cut), CELLS).repartition(tasks, "range", "share")
+        found = written(cells.groupBy("range", "share").applyInArrow(unite, COUNTED), "phrase-counts")
     pairs = found.where("w3 IS NULL")
     summed = pairs.where("NOT whole").groupBy("lang", "w1", "w2").agg(F.sum("a").alias("a")).where(F.col("a") >= min_count)
     triples = found.where("w3 IS NOT NULL").select("lang", "w1", "w2", "w3", "a")
@@ -447,11 +507,11 @@ def parts_looked_up(phrases: DataFrame, parts: DataFrame, bounds: Ranges, per_ta
     requests = phrases.select("lang", "w1", "w2", "w3", "a", each).where("q.part IS NOT NULL").select(
         "lang", F.col("q.part.p1").alias("w1"), F.col("q.part.p2").alias("w2"), F.struct("w1", "w2", "w3", "a").alias("phrase"), F.col("q.slot").alias("slot")
     )
-    requests = written(requests.mapInArrow(ranged, "lang string, w1 string, w2 string, phrase struct<w1:string,w2:string,w3:string,a:long>, slot string, range int"), "phrase-requests")
+    requests = written(requests.mapInArrow(tidy(ranged), "lang string, w1 string, w2 string, phrase struct<w1:string,w2:string,w3:string,a:long>, slot string, range int"), "phrase-requests")
     copies = requests.groupBy("range").agg(F.ceil(F.count("*") / per_task).cast("int").alias("copies"))
     copies = F.broadcast(written(copies, "phrase-copies"))  # MAX_RANGES rows at most
     salted = requests.join(copies, "range").withColumn("salt", F.pmod(F.xxhash64("lang", "phrase"), "copies").cast("int"))
-    held = parts.mapInArrow(ranged, "lang string, w1 string, w2 string, f long, range int").join(copies, "range")
+    held = parts.mapInArrow(tidy(ranged), "lang string, w1 string, w2 string, f long, range int").join(copies, "range")
     held = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
 
     def compose(parts: pa.Table, asked: pa.Table) -> pa.Table:
@@ -467,6 +527,7 @@ def parts_looked_up(phrases: DataFrame, parts: DataFrame, bounds: Ranges, per_ta
             ends = pa.array([END] * rows.num_rows, pa.large_string())
             f = t.weights_of([rows.column("w1").combine_chunks(), rows.column("w2").combine_chunks(), ends])
             out.append(rows.select(["lang", "phrase", "slot"]).append_column("f", pa.array(f)))
+        give_back()
         return pa.concat_tables(out) if out else empty.empty_table()
 
     answer = "lang string, phrase struct<w1:string,w2:string,w3:string,a:long>, slot string, f long"
@@ -485,7 +546,7 @@ def mined(docs: DataFrame, min_count: int = 10, inside_percent: int = 50, top: i
     words = word_counts(made)
     bounds = ranges(words, range_tokens)
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    pairs, triples = counts(made, bounds, min_count)
+    pairs, triples = counts(made, bounds, min_count, range_tokens)
     pairs = written(pairs, "phrase-pairs")
     parts = words.where(F.col("f") >= min_count).select("lang", F.col("word").alias("w1"), F.lit(END).alias("w2"), "f")
     parts = parts.unionByName(pairs.select("lang", "w1", "w2", F.col("a").alias("f")))

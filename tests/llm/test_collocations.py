@@ -79,6 +79,19 @@ def test_one_pair_holds_most_rows(spark):
     assert mined(docs, min_count=10, range_tokens=200) == plain([("en", t) for t in texts], 10, 2000)
 
 
+def test_rare_pairs_of_a_frequent_word_stay_in_their_cells(spark, monkeypatch):
+    """A word over several shares: of its pairs only those met often enough, and pieces of hot ones, leave the cells."""
+    made, kept = C.written, {}
+    monkeypatch.setattr(C, "written", lambda df, label, *a: kept.setdefault(label, made(df, label, *a)))
+    texts = [f"hot w{i}" for i in range(1500)] + ["hot pair"] * 12 + [f"hot third v{i % 150}" for i in range(300)]
+    docs = spark.createDataFrame([("en", t) for t in texts], "lang string, text string").repartition(4)
+    got = mined(docs, min_count=10, range_tokens=200)
+    assert got == plain([("en", t) for t in texts], 10, 2000) and len(got) == 2
+    pairs = kept["phrase-counts"].where("w3 IS NULL")
+    assert {(r.w1, r.w2) for r in pairs.collect()} == {("hot", "pair"), ("hot", "third")}
+    assert pairs.where("whole").count() == 1 and pairs.count() > 3
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="aAb ,.\t\né ", max_size=25), max_size=6))
 def test_windows_and_union(texts):
