@@ -8,8 +8,10 @@ the counts of words, pairs and triples.
 
 Shards are cut by prefix range: ranges of first words of about ``range_tokens`` words each, found from
 exact word counts; where a word (or all ranges, once their number is at its bound) holds more, the range
-is cut further by a hash of the second word, and for pairs with many windows of the third word too.
-Automata of one range are united, weights summed. Phrases of ``min_count`` or more are the candidates; their parts are looked up by composing them with
+is cut further by a hash of the second word, and for pairs with many windows of the third word too. A shard
+meets the more ranges the larger the table, so all its pieces are made at once and packed side by side,
+and all pieces of a range are read at once. Automata of one range are united, weights summed. Phrases of
+``min_count`` or more are the candidates; their parts are looked up by composing them with
 automata of the parts, again by prefix range, requests of a hot range being spread over salted copies.
 
 A null language is ``und``; null and empty texts have no words; repeated rows count as often as they
@@ -38,9 +40,11 @@ RANGE_TOKENS = 700_000
 MAX_RANGES = 50_000  # bounds sent to every task; ranges of more tokens are cut by hash, so tasks do not grow
 SOME_TASKS = 2_000  # tasks that unite cells: one per cell up to so many, or as many as Spark is set to
 REQUESTS = 500_000  # part lookups of one range that one task answers
-CELLS = "range int, share int, lang string, automaton binary"
+CELLS = "range int, share int, lang string, letters binary, automaton binary"
 COUNTED = "lang string, w1 string, w2 string, w3 string, a long, whole boolean"
 
+HEAD = np.dtype([("n", "<u4"), ("width", "u1")])
+
 _KIND = np.zeros(256, np.uint8)
 _KIND[list(BLANKS)], _KIND[list(CUTS)] = 1, 2
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -104,9 +108,10 @@ class Transducer:
 
     @classmethod
     def union(cls, parts: list[Transducer]) -> Transducer:
-        """One automaton whose weights are the sums over all parts. ``parts`` is emptied on the way, so that few are held twice."""
-        if len(parts) == 1:
-            return parts.pop()
+        """One automaton whose weights are the sums over all parts, each one automaton or many side by side.
+
+        ``parts`` is emptied on the way, so that few are held twice.
+        """
         labels, new = numbered([p.labels for p in parts])
         base, codes, weights = len(new), [], []
         while parts:
@@ -148,15 +153,51 @@ class Transducer:
         out[known] = state[known]
         return out
 
-    def restricted(self, rows: np.ndarray, entries: list[np.ndarray]) -> Transducer:
-        """The automaton of some of its entries, with the labels they use."""
-        *codes, weights = (e[rows] for e in entries)
-        used = np.zeros(len(self.labels), bool)
-        used[0] = True
-        for c in codes:
-            used[c] = True
-        new = np.cumsum(used) - 1
-        return Transducer.build(self.labels.filter(pa.array(used)), [new[c] for c in codes], weights)
+    def cut(self, key: np.ndarray, entries: list[np.ndarray]) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        """The automata of the entries of each key, with the labels they use: a row of each key, and their letters and numbers.
+
+        All are built as one, each with labels of its own, so that no state is shared between two: the work
+        grows with the entries and hardly with the number of keys.
+        """
+        order = np.argsort(key, kind="stable")
+        heads, wide = _changes(key[order]), np.int64(len(self.labels))
+        base = np.repeat(np.arange(len(heads)) * wide, np.diff(np.append(heads, len(order))))
+        *codes, weights = (e[order] for e in entries)
+        places = [base + c for c in codes]
+        used = np.sort(np.concatenate([np.arange(len(heads)) * wide, *places]))
+        used = used[_changes(used)]
+        labels = self.labels.take(pa.array(used % wide))
+        own = Transducer.build(labels, [np.searchsorted(used, p) for p in places], weights)
+        return order[heads], *own.apart(np.bincount(used // wide))
+
+    def apart(self, n: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        """Letters and numbers of automata that stand side by side, with ``n`` labels each."""
+        letters, ends = _letters(self.labels)
+        (a, s), (offsets, label, state), (offsets2, label2, weight) = self.root, self.first, self.second
+        n1, n2, first = np.diff(offsets), np.diff(offsets2), _offsets(n)
+        arc = np.repeat(np.arange(len(n)), np.diff(np.searchsorted(a, first)))  # the automaton of each arc and state
+        state1, state2 = np.empty(len(n1), np.int64), np.empty(len(n2), np.int64)
+        state1[s] = arc
+        arc1 = np.repeat(state1, n1)
+        state2[state] = arc1
+        arc2 = np.repeat(state2, n2)
+        owners = [np.repeat(np.arange(len(n)), n), arc, arc, state1, arc1, arc1, state2, arc2, arc2]
+        sizes = [np.bincount(o, minlength=len(n)) for o in owners]
+        low, low1, low2 = first[:-1], _offsets(sizes[3])[:-1], _offsets(sizes[6])[:-1]
+        numbers = [np.diff(ends), a - low[arc], s - low1[arc], n1, label - low[arc1], state - low2[arc1], n2, label2 - low[arc2], weight]
+        cuts = ends[first]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(cuts), pa.py_buffer(letters)]), packed(numbers, sizes)
+
+    @classmethod
+    def side_by_side(cls, letters: pa.Array, numbers: pa.Array) -> Transducer:
+        """Automata that were set apart as one: labels, states and arcs of each follow those of the one before."""
+        (lengths, a, s, n1, label1, state1, n2, label2, weight2), sizes = unpacked(numbers, 9)
+        low, low1, low2 = (_offsets(sizes[k])[:-1] for k in (0, 3, 6))
+        for values, k, base in ((a, 1, low), (s, 2, low1), (label1, 4, low), (state1, 5, low2), (label2, 7, low)):
+            values += np.repeat(base.astype(values.dtype), sizes[k])
+        bytes_of, _ = _letters(letters.cast(pa.large_binary()))
+        labels = pa.LargeStringArray.from_buffers(len(lengths), pa.py_buffer(_offsets(lengths)), pa.py_buffer(bytes_of))
+        return cls(labels, [a, s], [_offsets(n1), label1, state1], [_offsets(n2), label2, weight2])
 
     def to_bytes(self) -> bytes:
         letters, ends = _letters(self.labels)
@@ -187,6 +228,10 @@ def _letters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]], ends - ends[0]
 
 
+def _plain(texts: pa.Array) -> list[bytes]:
+    return texts.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+
+
 def numbered(words: list[pa.Array]) -> tuple[pa.Array, np.ndarray]:
     """The distinct words, sorted, and the number of each word of the arrays, one after the other."""
     coded = pa.concat_arrays(words).dictionary_encode()
@@ -225,38 +270,74 @@ def _sorted(codes: list[np.ndarray], wide: int) -> tuple[np.ndarray, np.ndarray]
 def _gather(offsets: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The arcs of the given states one after the other, and how many each has."""
     n = offsets[states + 1] - offsets[states]
-    before = np.cumsum(n) - n
-    return np.arange(n.sum()) + np.repeat(offsets[states] - before, n), n
+    return _spread(offsets[states], n), n
+
+
+def packed(arrays: list[np.ndarray], sizes: list[np.ndarray]) -> pa.Array:
+    """A blob per group: its numbers of all arrays, each in as few bytes as hold the largest of group and array.
+
+    An array lists the numbers of all groups one after the other, ``sizes`` tells how many of each.
+    """
+    head = np.zeros((len(sizes[0]), len(arrays)), HEAD)
+    parts = []
+    for k, (x, n) in enumerate(zip(arrays, sizes)):
+        top, full = np.zeros(len(n), np.int64), n > 0
+        top[full] = np.maximum.reduceat(x, (np.cumsum(n) - n)[full]) if full.any() else 0
+        width = np.searchsorted(1 << 8 * np.arange(8), top, "right")
+        head["n"][:, k], head["width"][:, k] = n, width
+        wide = int(width.max(initial=0))
+        bytes_of = x.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :wide]
+        parts.append(bytes_of[np.arange(wide) < np.repeat(width, n)[:, None]])
+    # The bytes of one group stand together: its head, then its part of each array.
+    lengths = np.concatenate([np.full((len(head), 1), HEAD.itemsize * len(arrays)), head["n"].astype(np.int64) * head["width"]], axis=1)
+    offsets = _offsets(lengths.ravel())
+    starts, out = offsets[:-1].reshape(lengths.shape), np.empty(offsets[-1], np.uint8)
+    for k, part in enumerate([head.view(np.uint8).ravel(), *parts]):
+        out[_spread(starts[:, k], lengths[:, k])] = part
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(head), [None, pa.py_buffer(offsets[:: lengths.shape[1]].copy()), pa.py_buffer(out)])
+
+
+def unpacked(blobs: pa.Array, arrays: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The arrays and sizes that were packed."""
+    raw, ends = _letters(blobs.cast(pa.large_binary()))
+    head = raw[ends[:-1, None] + np.arange(HEAD.itemsize * arrays)].view(HEAD)
+    at, out = ends[:-1] + HEAD.itemsize * arrays, []
+    for k in range(arrays):
+        n, width = head["n"][:, k].astype(np.int64), head["width"][:, k].astype(np.int64)
+        wide = 4 if width.max(initial=0) < 4 else 8
+        numbers = np.zeros((n.sum(), wide), np.uint8)
+        numbers[np.arange(wide) < np.repeat(width, n)[:, None]] = raw[_spread(at, n * width)]
+        out.append(numbers.view(f"<i{wide}").ravel())
+        at = at + n * width
+    return out, [head["n"][:, k].astype(np.int64) for k in range(arrays)]
+
+
+def _spread(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``n`` places from each start on."""
+    return np.arange(n.sum()) + np.repeat(starts - (np.cumsum(n) - n), n)
 
 
 def _frozen(heads: np.ndarray, label: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Freezes runs of arcs as states: the state of each run, the states' offsets, the places of their arcs.
 
-    A run that equals an earlier one becomes the same state. Runs of one arc are compared as numbers,
-    longer ones by their bytes.
+    A run that equals an earlier one becomes the same state; states are numbered as they come up. Runs of
+    one arc are compared as numbers, longer ones by their bytes.
     """
     sizes = np.diff(np.append(heads, len(label)))
-    state = np.empty(len(heads), np.int64)
+    first = np.arange(len(heads))  # the first run that equals each
     single = np.flatnonzero(sizes == 1)
     at = heads[single]
     wide = int(label.max(initial=0)) + 1
     _, pick, number = np.unique(target[at].astype(np.int64) * wide + label[at], return_index=True, return_inverse=True)
-    state[single] = number
-    kept = [single[pick]]
+    first[single] = single[pick[number]]
     register: dict[bytes, int] = {}
     longer = np.flatnonzero(sizes > 1)
     arcs = np.stack([label, target], axis=1)
-    new = []
-    for run, low, n in zip(longer.tolist(), heads[longer].tolist(), sizes[longer].tolist()):
-        key = arcs[low : low + n].tobytes()
-        found = register.setdefault(key, len(pick) + len(register))
-        if found == len(pick) + len(new):
-            new.append(run)
-        state[run] = found
-    kept = np.concatenate([*kept, np.array(new, np.int64)])
-    offsets = _offsets(sizes[kept])
+    first[longer] = [register.setdefault(arcs[low : low + n].tobytes(), run) for run, low, n in zip(longer.tolist(), heads[longer].tolist(), sizes[longer].tolist())]
+    new = first == np.arange(len(first))
+    kept = np.flatnonzero(new)
     places, _ = _gather(np.append(heads, len(label)), kept)
-    return state, offsets, places
+    return (np.cumsum(new) - 1)[first], _offsets(sizes[kept]), places
 
 
 def _arc(keys: np.ndarray, targets: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -303,7 +384,7 @@ def shards(docs: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([blob], pa.binary())], ["lang", "automaton"])
 
     with small_batches(docs.sparkSession):
-        return written(rows.mapInArrow(tidy(build), "lang string, automaton binary"), "phrase-shards", 8 << 20)
+        return written(rows.mapInArrow(tidy(build), "lang string, automaton binary"), "phrase-shards", 8 << 20, "zstd")
 
 
 def word_counts(made: DataFrame) -> DataFrame:
@@ -401,7 +482,7 @@ def hot_pairs(made: DataFrame, bounds: Ranges, range_tokens: int = RANGE_TOKENS)
             for lang, blob in zip(batch.column("lang").to_pylist(), batch.column("automaton")):
                 t = Transducer.from_bytes(blob.as_py())
                 a, b, n = t.pairs()
-                split = ranges.shares[ranges.of(lang, [w.encode() for w in t.labels.to_pylist()])] > 1
+                split = ranges.shares[ranges.of(lang, _plain(t.labels))] > 1
                 at = np.flatnonzero((n >= least) & split[a])
                 words = [t.labels.take(pa.array(x[at])).cast(pa.string()) for x in (a, b)]
                 columns = [pa.array([lang] * len(at), pa.string()), *words, pa.array(n[at], pa.int64())]
@@ -416,15 +497,13 @@ def hot_pairs(made: DataFrame, bounds: Ranges, range_tokens: int = RANGE_TOKENS)
 def counts(made: DataFrame, bounds: Ranges, min_count: int, range_tokens: int = RANGE_TOKENS) -> tuple[DataFrame, DataFrame]:
     """``lang, w1, w2, a`` and ``lang, w1, w2, w3, a`` of all pairs and triples met ``min_count`` times or more."""
     known = made.sparkSession.sparkContext.broadcast((bounds, hot_pairs(made, bounds, range_tokens)))
-    names = {"range": pa.int32(), "share": pa.int32(), "lang": pa.string(), "automaton": pa.binary()}
-    cell_schema = pa.schema(list(names.items()))
 
     def cut(batches):
         ranges, hot = known.value
         for batch in batches:
             for lang, blob in zip(batch.column("lang").to_pylist(), batch.column("automaton")):
                 whole = Transducer.from_bytes(blob.as_py())
-                words = [w.encode() for w in whole.labels.to_pylist()]
+                words = _plain(whole.labels)
                 entries = whole.entries()
                 number = ranges.of(lang, words)[entries[0]]
                 shares = ranges.shares[number]
@@ -433,20 +512,16 @@ def counts(made: DataFrame, bounds: Ranges, min_count: int, range_tokens: int =
                     crc = np.fromiter(map(zlib.crc32, words), np.int64, len(words))
                     third = np.where(hot.among(lang, whole.labels, *entries[:2]), crc[entries[2]], 0)
                     share[split] = (crc[entries[1][split]] * 31 + third[split]) % shares[split]
-                key = number * (int(shares.max()) + 1) + share
-                order = np.argsort(key, kind="stable")
-                heads = _changes(key[order])
-                for rows in np.split(order, heads[1:]):
-                    part = whole.restricted(rows, entries)
-                    r = rows[0]
-                    cell = {"range": int(number[r]), "share": int(share[r]), "lang": lang}
-                    yield pa.RecordBatch.from_pylist([cell | {"automaton": part.to_bytes()}], cell_schema)
+                rows, letters, automata = whole.cut(number * (int(shares.max()) + 1) + share, entries)
+                columns = [pa.array(number[rows], pa.int32()), pa.array(share[rows], pa.int32()), pa.array([lang] * len(rows))]
+                columns += [letters.cast(pa.binary()), automata.cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["range", "share", "lang", "letters", "automaton"])
 
     def unite(rows: pa.Table) -> pa.Table:
         out, hot = [], known.value[1]
         for lang in pc.unique(rows.column("lang")).to_pylist():
-            blobs = rows.filter(pc.equal(rows.column("lang"), lang)).column("automaton")
-            t = Transducer.union([Transducer.from_bytes(b.as_py()) for b in blobs])
+            own = rows.filter(pc.equal(rows.column("lang"), lang)).select(["letters", "automaton"]).combine_chunks()
+            t = Transducer.union([Transducer.side_by_side(*(c.combine_chunks() for c in own.columns))])
             a, b, c, weight = t.entries()
             heads = _changes(a, b)
             sums = np.add.reduceat(weight, heads, dtype=np.int64)
@@ -465,7 +540,8 @@ def counts(made: DataFrame, bounds: Ranges, min_count: int, range_tokens: int =
         return pa.concat_tables(out)
 
     tasks = max(int(made.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(SOME_TASKS, int(bounds.shares.sum())))
-    with small_batches(made.sparkSession, 1):
+    # About one shard to a batch of the first step, many cells to one of the second.
+    with small_batches(made.sparkSession, 10_000, "1m"):
         cells = made.mapInArrow(tidy(cut), CELLS).repartition(tasks, "range", "share")
         found = written(cells.groupBy("range", "share").applyInArrow(unite, COUNTED), "phrase-counts")
     pairs = found.where("w3 IS NULL")

@@ -18,13 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, label: str, group_bytes: int = 128 << 20) -> DataFrame:
+def written(df: DataFrame, label: str, group_bytes: int = 128 << 20, codec: str = "") -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, and still there when an executor is lost.
 
-    A task holds a row group of about ``group_bytes`` as it writes or reads.
+    A task holds a row group of about ``group_bytes`` as it writes or reads. Without a ``codec`` Spark's setting holds.
     """
     path = fresh_path(df.sparkSession, f"llm-{label}")
-    df.write.option("parquet.block.size", group_bytes).parquet(path)
+    df.write.option("parquet.block.size", group_bytes).options(**{"compression": codec} if codec else {}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

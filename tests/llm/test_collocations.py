@@ -1,4 +1,5 @@
 import re
+import sys
 from collections import Counter, defaultdict
 
 import duckdb
@@ -131,3 +132,45 @@ def test_many_words_are_sorted_without_packing():
     small, same = C._sorted(codes, 10)
     large, same2 = C._sorted(codes, 1 << 40)
     assert small.tolist() == large.tolist() == [3, 1, 0, 2] and same.tolist() == same2.tolist() == [False, False, False, True]
+
+
+def calls(run):
+    """What ``run`` returns, and how many functions were called meanwhile."""
+    n = [0]
+
+    def count(frame, event, arg):
+        n[0] += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        return run(), n[0]
+    finally:
+        sys.setprofile(None)
+
+
+def test_cells_cost_little_by_number():
+    """On a large table a shard meets thousands of ranges: cutting it and reading its pieces must not work cell by cell."""
+    texts = pa.array([f"w{i % 1900} x{i % 7} y{i % 11} z. w{i % 300} zz w{i * 31 % 1900}" for i in range(4000)])
+    t = C.Transducer.counted(*C.windows(texts))
+    entries = t.entries()
+    took = []
+    for cells in (20, 1500):
+        key = entries[0].astype(np.int64) * cells // len(t.labels)
+        (rows, letters, numbers), n = calls(lambda: t.cut(key, entries))
+        assert len(rows) > 0.7 * cells and key[rows].tolist() == sorted(set(key.tolist()))
+        one = C.Transducer.side_by_side(letters.slice(3, 1), numbers.slice(3, 1)).entries()
+        assert one[3].tolist() == entries[3][key == key[rows[3]]].tolist()
+        parts = [C.Transducer.side_by_side(x, y) for x, y in ((letters[::2], numbers[::2]), (letters[1::2], numbers[1::2]))]
+        back, m = calls(lambda: C.Transducer.union(parts))
+        assert back.labels.equals(t.labels) and all((x == y).all() for x, y in zip(back.entries(), entries))
+        took.append((n, m))
+    assert took[1][0] < 2 * took[0][0] + 1000 and took[1][1] < 2 * took[0][1] + 1000
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.lists(st.integers(0, 1 << 62), max_size=4), min_size=3, max_size=3), max_size=5))
+def test_packed_numbers(groups):
+    arrays = [np.array([x for g in groups for x in g[k]], np.int64) for k in range(3)]
+    sizes = [np.array([len(g[k]) for g in groups], np.int64) for k in range(3)]
+    got, counts = C.unpacked(C.packed(arrays, sizes), 3)
+    assert [x.tolist() for x in got] == [x.tolist() for x in arrays] and [x.tolist() for x in counts] == [x.tolist() for x in sizes]
